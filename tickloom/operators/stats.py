@@ -77,8 +77,8 @@ def score(rows: DataFrame, keys: list[str], policies: DataFrame) -> DataFrame:
 def pareto_front(points: DataFrame, key: str, up: list[str], down: list[str]) -> DataFrame:
     """The points no other point dominates: at least as good everywhere, better somewhere; equal points keep each other.
 
-    For a candidate summary (one row per candidate). A dominating point has a greater sum of ranks, so points are
-    sorted into buckets of that sum and compared only with buckets that can hold a dominator."""
+    For a candidate summary, one row per candidate. A theta join has no equi key, so the 200 points of the greatest sum,
+    a fixed number, are broadcast first and remove nearly every dominated point; the exact check runs among the rest."""
     dims = [*up, *down]
     good = [(F.col(c) if c in up else -F.col(c)).alias(f"g{i}") for i, c in enumerate(dims)]
     p = points.dropna(subset=dims).select(F.col(key).alias("k"), *good)
@@ -86,8 +86,6 @@ def pareto_front(points: DataFrame, key: str, up: list[str], down: list[str]) ->
     n = range(len(dims))
     every = " and ".join(f"o{i} >= g{i}" for i in n)
     some = " or ".join(f"o{i} > g{i}" for i in n)
-    # Only maxima of the first two dimensions within their bucket can dominate for all of it: a small set of champions
-    # removes nearly every point before the exact check of the rest.
     champs = F.broadcast(q.orderBy(F.desc(sum((F.col(f"o{i}") for i in n), F.lit(0.0)))).limit(200))
     rest = p.join(champs, F.expr(f"({every}) and ({some})"), "left_anti")
     others = rest.select(F.col("k").alias("ok"), *[F.col(f"g{i}").alias(f"o{i}") for i in n])
