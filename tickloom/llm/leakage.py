@@ -93,7 +93,7 @@ class Index:
         order = np.argsort(inv.ravel(), kind="stable")
         self.items = own[order]
         self.item_at = np.searchsorted(inv.ravel()[order], np.arange(len(self.seq) + 1))
-        self.fp = np.concatenate([fingerprints(s) for s in self.seq]) if len(self.seq) < 1000 else self._bulk()
+        self.fp = self._fingerprints()
         self.tables = []
         for at, width in _CUTS:
             key = (self.fp >> np.uint64(at)) & np.uint64((1 << width) - 1)
@@ -102,8 +102,8 @@ class Index:
             np.cumsum(np.bincount(key.astype("int64"), minlength=1 << width), out=start[1:])
             self.tables.append((np.uint64(at), np.uint64((1 << width) - 1), start, order))
 
-    def _bulk(self) -> np.ndarray:
-        out = []
+    def _fingerprints(self) -> np.ndarray:
+        out = [np.zeros(0, "uint64")]
         for i in range(0, len(self.seq), 20_000):
             s = np.ascontiguousarray(self.seq[i : i + 20_000])
             bits = np.unpackbits(s.view("uint8").reshape(len(s), ITEM_WORDS, 8), axis=2)
