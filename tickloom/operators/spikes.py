@@ -56,9 +56,10 @@ def _seasons(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = lambda f, i: F.col(f"q_{f}")[i]
     agg: list[Column] = [F.max("unit").alias("unit")]
     for f in FIELDS:
-        # Quartiles, and medians over slices: a slice full of excursions moves them little. Twice the distance
-        # of a quartile is near the highest and lowest tenth of sound residuals.
-        agg += [F.median(at(f, 1)).alias(f"c_{f}"), (2 * F.median(at(f, 2) - at(f, 1))).alias(f"u_{f}"), (2 * F.median(at(f, 1) - at(f, 0))).alias(f"l_{f}")]
+        # Quartiles, and medians over the slices weighted by their readings: a slice full of excursions moves them
+        # little. Twice the distance of a quartile is near the highest and lowest tenth of sound residuals.
+        mid = lambda c, f=f: F.percentile(c, 0.5, F.col(f"n_{f}"))
+        agg += [mid(at(f, 1)).alias(f"c_{f}"), (2 * mid(at(f, 2) - at(f, 1))).alias(f"u_{f}"), (2 * mid(at(f, 1) - at(f, 0))).alias(f"l_{f}")]
     return s, s.groupBy("session_id").agg(*agg)
 
 
@@ -84,8 +85,11 @@ def _offset(f: str) -> Column:
 def thresholds(base: DataFrame) -> DataFrame:
     """Per (session, slice): off_f, hi_f, lo_f of each field, and the repeat-free parameters for the spike rule."""
     s, per = _seasons(base)
+    # Prices are quantised: no threshold below one price unit or half the usual spread. A stuck stretch drifts to one
+    # side and widens it; neither side may exceed twice the other.
+    least = F.greatest("unit", *[F.abs(F.col(f"c_{f}")) for f in FIELDS])
     s = materialize(s.join(per.withColumnRenamed("unit", "_unit"), s["session_id"].eqNullSafe(per["session_id"])).drop(per["session_id"]).drop("unit").withColumnRenamed("_unit", "unit")
-        .select("session_id", "slice", "unit", *[c for f in FIELDS for c in (_offset(f).alias(f"off_{f}"), F.greatest(f"u_{f}", F.col("unit")).alias(f"u_{f}"), F.greatest(f"l_{f}", F.col("unit")).alias(f"l_{f}"))]))
+        .select("session_id", "slice", "unit", *[c for f in FIELDS for c in (_offset(f).alias(f"off_{f}"), F.greatest(F.least(f"u_{f}", 2 * F.col(f"l_{f}")), least).alias(f"u_{f}"), F.greatest(F.least(f"l_{f}", 2 * F.col(f"u_{f}")), least).alias(f"l_{f}"))]))
     p = small(s.withColumnsRenamed({"session_id": "_sid", "slice": "_slice", "unit": "_unit"}))
     j = base.join(p, base["session_id"].eqNullSafe(p["_sid"]) & (base["slice"] == p["_slice"]))
     agg = [F.max("_unit").alias("unit")]
