@@ -103,3 +103,8 @@ m as (
 select ticker, side, metric, q.q as q, case q.q when 0.5 then quantile_cont(bps, 0.5) when 0.75 then quantile_cont(bps, 0.75) else quantile_cont(bps, 0.9) end as value
 from m, (values (0.5::double), (0.75::double), (0.9::double)) as q(q) where bps is not null group by ticker, side, metric, q.q""",
 }
+
+#: Computed numbers, rounded to six places on both sides of a comparison: sums depend on their order in the last bits.
+ROUNDED: dict[str, list[str]] = {
+    "p6_percentiles": ["q", "value"],
+}
