@@ -89,3 +89,8 @@ n as (select *, lead(s) over (partition by con_id, session_date order by s) as a
 select con_id, session_date, 'period' as kind, s as start_ms, e as end_ms from n
 union all select con_id, session_date, 'gap', e, after from n where after is not null""",
 }
+
+#: Computed numbers, rounded to six places on both sides of a comparison: sums depend on their order in the last bits.
+ROUNDED: dict[str, list[str]] = {
+    "p4_points": ["price"],
+}

@@ -247,3 +247,21 @@ SQL["captured_atr"] = f"""with {_POINTS}, {X}, k as (select cycle_id, t, median(
 select x.id, k.saved as atr_pct from x asof join k on x.cycle_id = k.cycle_id and x.t >= k.t where x.t - k.t <= 180000000"""
 SQL["fill_context"] = f"""with {_POINTS}, {X}, k as (select cycle_id, t, max(line_id) as line_id, max_by(price, line_id) as price from pt group by 1, 2)
 select x.id, k.line_id, k.price as point_price from x asof join k on x.cycle_id = k.cycle_id and x.t >= k.t where x.t - k.t <= 60000000"""
+
+#: Computed numbers, rounded to six places on both sides of a comparison: sums depend on their order in the last bits.
+ROUNDED: dict[str, list[str]] = {
+    "quote_prices": ["vbid", "vask", "price"],
+    "ohlc_bars": ["open", "high", "low", "close"],
+    "latest_atr": ["close", "atr", "atr_pct"],
+    "tick_atr": ["atr_pct"],
+    "session_quality": ["coverage_pct", "start_lag_s", "end_lead_s", "max_gap_s", "minute_coverage_pct", "p95_last_gap_s"],
+    "fill_quotes": ["quote", "age_s", "slippage_bps"],
+    "after_exit": ["avoided_bps", "regret_bps"],
+    "first_buys": ["trigger_price", "low"],
+    "buy_excursions": ["mfe_bps", "mae_bps"],
+    "first_sells": ["trigger_price", "high"],
+    "quote_ages": ["mean_age_s", "max_age_s"],
+    "tick_atr_phase": ["lowest", "highest"],
+    "captured_atr": ["atr_pct"],
+    "fill_context": ["point_price"],
+}

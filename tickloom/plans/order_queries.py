@@ -254,3 +254,22 @@ select id, s / nullif(n, 0) as others_bps, n as others from z""",
     "hash_draws": f"with {C} select id, (cast('0x' || left(sha256('{SEED}|' || cycle_number || '|' || id), 16) as ubigint) % 1000)::bigint as draw from c",
 }
 
+#: Computed numbers, rounded to six places on both sides of a comparison: sums depend on their order in the last bits.
+ROUNDED: dict[str, list[str]] = {
+    "fills_once": ["notional", "commission"],
+    "order_groups": ["quantity", "notional", "commission", "vwap"],
+    "allocated_commissions": ["allocated"],
+    "commission_percentiles": ["p50", "p75", "p90"],
+    "cross_fitted_costs": ["assumed"],
+    "cycle_fills": ["quantity", "price"],
+    "pnl_summary": ["median_pnl", "net_pnl"],
+    "return_scores": ["score"],
+    "return_bootstrap": ["mean", "lo95", "lo80", "hi80", "hi95", "positive"],
+    "return_leave_one_out": ["lowest", "highest", "stable_share"],
+    "walk_forward_folds": ["train", "validate"],
+    "hold_survival": ["survival"],
+    "equity_drawdown": ["max_drawdown_bps", "return_bps"],
+    "pareto_tickers": ["median", "spread"],
+    "leave_own_out": ["others_bps"],
+    "setting_checks": ["pct", "up", "down"],
+}
