@@ -228,6 +228,7 @@ def register(spark: SparkSession) -> None:
     from ..util import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordingSource)
     spark.dataSource.register(SqliteSource)
 
