@@ -131,7 +131,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, t in enumerate(b.column(0).to_pylist()):
             codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
-            ha, hb, s0, s1 = (np.asarray(b.column(k)[i].values).astype("int64") for k in (1, 2, 3, 4))
+            ha, hb, s0, s1, one, many = (np.asarray(b.column(k)[i].values).astype("int64") for k in range(1, 7))
             for k in range(0, len(codes) - LENGTH + 1, CHUNK):
                 # Each chunk takes the starts that fall into it.
                 lo, hi = np.maximum(s0, k), np.minimum(s1, min(k + CHUNK, len(codes) - LENGTH + 1) - 1)
@@ -146,7 +146,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for m in range(0, len(row), 100_000):
                     s = slice(m, m + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ha[row[s]]), pa.array(hb[row[s]]), pa.array((start[s] - s0[row[s]]).astype("int32")), pa.array(x[s].view("int64")), pa.array(y[s].view("int64"))], names=["ha", "hb", "at", "x", "y"]
+                        [pa.array(ha[row[s]]), pa.array(hb[row[s]]), pa.array((start[s] - s0[row[s]]).astype("int32")), pa.array(x[s].view("int64")), pa.array(y[s].view("int64")), pa.array(one[row[s]]), pa.array(many[row[s]])],
+                        names=["ha", "hb", "at", "x", "y", "lo", "hi"],
                     )
 
 
@@ -167,10 +168,10 @@ def shared_spans(docs: DataFrame) -> DataFrame:
     sigs = cls.groupBy("sig").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi"), F.count(F.lit(1)).alias("classes")).where("slo < shi").select("sig", "classes")
     cls = materialize(cls.join(sigs, "sig").select(*key, "lo", "hi", "rep", "classes"))
     # Classes that differ from others of their signature: compare the stretches of one representative each.
-    todo = cls.where("classes > 1").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(*key, "rep.s0", "rep.s1")).alias("w"))
-    texts = d.join(todo, "doc_id").select("text", "w.ha", "w.hb", "w.s0", "w.s1")
-    st = texts.mapInArrow(_stretches, "ha long, hb long, at int, x long, y long")
-    st = materialize(st.join(cls.where("classes > 1").select(*key, "lo", "hi"), key))
+    todo = cls.where("classes > 1").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(*key, "rep.s0", "rep.s1", "lo", "hi")).alias("w"))
+    texts = d.join(todo, "doc_id").select("text", "w.ha", "w.hb", "w.s0", "w.s1", "w.lo", "w.hi")
+    # The range of documents goes along with its window, so the stretches are shuffled by their hashes alone.
+    st = materialize(texts.mapInArrow(_stretches, "ha long, hb long, at int, x long, y long, lo long, hi long"))
     common = st.groupBy("x", "y").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("x", "y")
     part = st.where("lo = hi").join(common, ["x", "y"], "left_semi").select(*key, "at").distinct()
     # Runs of neighbouring starts of a class.
