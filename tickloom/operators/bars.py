@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,18 @@ def bar_atr(bars: DataFrame, period: int) -> DataFrame:
 def latest(bars: DataFrame) -> DataFrame:
     """Each session's last bar with its ATR, and the session's rank by ATR% (ties: session_id)."""
     last = bars.where("atr_pct is not null").groupBy("session_id").agg(F.max_by(F.struct("bar", "close", "atr", "atr_pct"), "bar").alias("x")).select("session_id", "x.*")
-    # One row per session is ranked, not the bars.
-    return last.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("atr_pct", 9)), "session_id")))
+    return ranked(last, -F.round("atr_pct", 9), "session_id")
+
+
+def ranked(df: DataFrame, order: Column, tie: str, width: float = 0.001) -> DataFrame:
+    """Adds rank, 1 for the smallest ``order`` (ties: ``tie``), without sorting everything in one task: rows are ranked
+    within buckets of ``order``, and the buckets' counts, summed in order, are added. The buckets are as many as the values
+    span widths; a bucket holds one width's rows."""
+    d = df.withColumn("_o", order).withColumn("_b", F.floor(F.col("_o") / width))
+    n = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy("_b").orderBy("_o", tie))
+    return d.withColumn("_r", local).join(before, "_b").withColumn("rank", (F.col("_r") + F.col("_before")).cast("int")).drop("_o", "_b", "_r", "_before")
 
 
 def tick_atr(t: DataFrame, period: int, bar_seconds: int, phase_seconds: float = 0.0) -> DataFrame:

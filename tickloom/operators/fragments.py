@@ -42,9 +42,9 @@ def _choose(g: pd.DataFrame) -> pd.DataFrame:
 def best_fragments(fragments: DataFrame) -> DataFrame:
     """(con_id, session_day, fragment_id, start_ms, end_ms): the chosen fragments.
 
-    Fragments with a null bound or key, or no length, are left out, and so are those that lie within a longer one: they
-    are never needed. This dominance check runs as a window, so a group reaches the scheduler without its copies; what
-    is left per contract and date is chained, not nested."""
+    Fragments with a null bound or key, or no length, are left out; of equal intervals the smallest id stands. Each
+    contract and date is first cut into clusters of overlapping fragments by a window, so a task schedules one cluster
+    and not a whole group."""
     from pyspark.sql import Window
 
     f = fragments.select(
