@@ -134,3 +134,11 @@ def test_replay_carries_over_sessions_and_shares_equal_settings(spark):
     out = sorted((r.profile, r.bought_us, r.sold_us, r.buy_price, r.sell_price, r.sessions, r.open) for r in replay.replay(df.repartition(5), [("p", 5.0, 2.0, 3.0, 2.0), ("q", 5.0, 2.0, 3.0, 2.0), ("never", 99.0, 1.0, 1.0, 1.0)]).collect())
     assert [o for o in out if o[0] == "p"] == [("p", 3, 7, 9.11, 10.19, 2, False), ("p", 10, 11, 8.91, 8.99, 1, True)]
     assert [o[1:] for o in out if o[0] == "q"] == [o[1:] for o in out if o[0] == "p"] and not [o for o in out if o[0] == "never"]
+
+
+def test_connectivity_hours_and_settings(spark):
+    df = spark.createDataFrame([(1100, None), (2104, "x"), (5, "Broker_Disconnected"), (None, "reconnected"), (None, None)], "c int, n string")
+    assert [r[0] for r in df.select(scalars.connectivity(F.col("c"), F.col("n"))).collect()] == ["loss", "restored", "loss", "restored", "other"]
+    hours = spark.range(1).select(scalars.trading_hours(F.lit("20260105:0930-20260105:1600;20260106:CLOSED;20260199:0930-20260199:1600; 20260707:0930-20260707:1600"), F.lit("America/New_York")).alias("h"))
+    assert [tuple(r) for r in hours.selectExpr("inline(h)").selectExpr("unix_seconds(open)", "unix_seconds(close)").collect()] == [(1767623400, 1767646800), (1783431000, 1783454400)]
+    assert [one(spark, scalars.json_setting(F.lit(x).cast("string"))) for x in ('"a"', "1.5", "true", '{"b": [1]}', "plain text", None)] == ["a", "1.5", "true", '{"b":[1]}', "plain text", None]

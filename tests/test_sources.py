@@ -90,3 +90,22 @@ def test_capture_archives(spark, tmp_path):
     assert sorted(r.error.split(":")[0] for r in rows if r.error) == ["archive", "json", "json", "price"]
     inv = {r.file.rsplit("/", 1)[-1]: r for r in captures.inventory(spark, str(tmp_path)).collect()}
     assert inv["e.zip"].event_type == "BUY_FILL" and inv["f.zip"].error == "manifest" and inv["g.zip"].error.startswith("archive")
+
+
+def test_hash_chain(spark, tmp_path):
+    rows = [{"sequence": i, "bid": i * 0.5} for i in range(1, 6)]
+    hashes = [recording.row_hash(r) for r in rows]
+    chain = list(recording.chain_hashes(iter(hashes)))
+
+    def build(name, change=None):
+        with sqlite3.connect(tmp_path / name) as c:
+            c.execute("create table ticks (sequence, bid, record_hash, chain_hash)")
+            c.executemany("insert into ticks values (?,?,?,?)", [(r["sequence"], r["bid"], h, k) for r, h, k in zip(rows, hashes, chain)])
+            if change:
+                c.execute(change)
+
+    build("ok.db")
+    build("bid.db", "update ticks set bid = 9 where sequence = 3")
+    build("cut.db", "delete from ticks where sequence = 2")
+    got = {(r.path.rsplit("/", 1)[-1], r.problem) for r in recording.verify_recordings(spark, str(tmp_path)).collect()}
+    assert got == {("bid.db", "record 3"), ("cut.db", "chain 3"), ("cut.db", "sequence 3")}

@@ -92,3 +92,30 @@ def hash_index(seed: Column, replicate: Column, draw: Column, size: Column) -> C
     lo = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
     # (hi * 2^32 + lo) mod size without leaving 64 bits, for sizes below 2^31.
     return F.pmod(F.pmod(hi, size) * F.pmod(F.lit(1 << 32), size) + lo, size)
+
+#: Connectivity codes of the recorded feed that mean a loss and a restored connection.
+LOSS_CODES = [1100, 1300, 2103]
+RESTORED_CODES = [1101, 1102, 2104, 2106, 2158]
+
+
+def connectivity(code: Column, name: Column) -> Column:
+    """loss, restored or other, by an event's code, else by its name."""
+    n = F.upper(F.coalesce(name, F.lit("")))
+    by_name = F.when(n.rlike("RESTOR|RECONNECT"), "restored").when(n.rlike("DISCONNECT|CONNECTION_LOST|CONNECTIVITY_LOST"), "loss").otherwise("other")
+    return F.when(code.isin(LOSS_CODES), "loss").when(code.isin(RESTORED_CODES), "restored").otherwise(by_name)
+
+
+def trading_hours(text: Column, zone: Column) -> Column:
+    """Array of (open, close) instants from ``YYYYMMDD:HHMM-YYYYMMDD:HHMM;...`` at an exchange; closed days and what does not parse are left out."""
+    parts = F.split(F.coalesce(text, F.lit("")), ";")
+    good = F.filter(parts, lambda x: F.trim(x).rlike(r"^\d{8}:\d{4}-\d{8}:\d{4}$"))
+    at = lambda x, i: F.try_to_timestamp(F.substring(F.trim(x), i, 13), F.lit("yyyyMMdd:HHmm"))
+    # The wall clock is read in the session's zone (UTC) and moved to the exchange's.
+    spans = F.transform(good, lambda x: F.struct(F.to_utc_timestamp(at(x, 1), zone).alias("open"), F.to_utc_timestamp(at(x, 15), zone).alias("close")))
+    return F.filter(spans, lambda s: s["open"].isNotNull() & s["close"].isNotNull() & (s["open"] < s["close"]))
+
+
+def json_setting(raw: Column) -> Column:
+    """A stored setting as text: the value of a JSON scalar, the JSON of anything nested, else the raw text."""
+    v = F.try_parse_json(raw)
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v), raw)

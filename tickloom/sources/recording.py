@@ -233,3 +233,52 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
 
 
+
+
+def row_hash(row: dict) -> str:
+    """SHA-256 of a row's canonical JSON."""
+    return hashlib.sha256(json.dumps(row, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def chain_hashes(hashes: Iterator[str], start: str = "") -> Iterator[str]:
+    """h_i = SHA-256(h_(i-1) + r_i). A chain is sequential by nature; one file is one chain, so files are verified side by side."""
+    link = start
+    for r in hashes:
+        link = hashlib.sha256((link + r).encode()).hexdigest()
+        yield link
+
+
+def verify_chain(path: str) -> list[str]:
+    """What is wrong with a database's tick hashes: rows that do not match their record_hash, the first broken chain link,
+    a break in the sequence. Databases without the hash columns have nothing to verify."""
+    found: list[str] = []
+    with tempfile.TemporaryDirectory() as t, closing(sqlite3.connect(_private(path, t))) as c:
+        c.row_factory = sqlite3.Row
+        have = {r["name"] for r in c.execute("pragma table_info(ticks)")}
+        if not {"record_hash", "chain_hash"} <= have:
+            return found
+        rows = [dict(r) for r in c.execute("select * from ticks order by sequence")]
+    want = [{k: v for k, v in r.items() if k not in ("record_hash", "chain_hash")} for r in rows]
+    found += [f"record {r['sequence']}" for r, w in zip(rows, want) if r["record_hash"] != row_hash(w)]
+    broken = next((r["sequence"] for r, h in zip(rows, chain_hashes(iter([r["record_hash"] for r in rows]))) if r["chain_hash"] != h), None)
+    found += [f"chain {broken}"] if broken is not None else []
+    gap = next((b["sequence"] for a, b in zip(rows, rows[1:]) if b["sequence"] != a["sequence"] + 1), None)
+    return found + ([f"sequence {gap}"] if gap is not None else [])
+
+
+def verify_recordings(spark: SparkSession, path: str):
+    """(path, problem): the problems of every database under a path, one file a task."""
+    import pandas as pd
+
+    from ..util import ship
+
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tickloom.sources.recording import verify_chain
+
+        for b in batches:
+            yield pd.DataFrame([(p, x) for p in b.path for x in verify_chain(p)], columns=["path", "problem"])
+
+    files = _paths({"path": path})
+    return spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, len(files))).mapInPandas(run, "path string, problem string")
