@@ -142,3 +142,14 @@ def test_connectivity_hours_and_settings(spark):
     hours = spark.range(1).select(scalars.trading_hours(F.lit("20260105:0930-20260105:1600;20260106:CLOSED;20260199:0930-20260199:1600; 20260707:0930-20260707:1600"), F.lit("America/New_York")).alias("h"))
     assert [tuple(r) for r in hours.selectExpr("inline(h)").selectExpr("unix_seconds(open)", "unix_seconds(close)").collect()] == [(1767623400, 1767646800), (1783431000, 1783454400)]
     assert [one(spark, scalars.json_setting(F.lit(x).cast("string"))) for x in ('"a"', "1.5", "true", '{"b": [1]}', "plain text", None)] == ["a", "1.5", "true", '{"b":[1]}', "plain text", None]
+
+
+def test_exact_rounding_and_grid_axis(spark):
+    from tickloom.functions import udfs
+
+    xs = [2.675, 0.125, 0.375, -1.005, None, 1e300]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    assert [r[0] for r in df.select(udfs.exact_round(F.col("v"), 2)).collect()] == [None if x is None else round(x, 2) for x in xs]
+    udfs.register(spark)
+    assert [tuple(r) for r in spark.sql("select * from grid_axis(0.1D, 0.5D, 0.1D)").collect()] == [(0, 0.1), (1, 0.2), (2, 0.3), (3, 0.4), (4, 0.5)]
+    assert spark.sql("select * from grid_axis(1D, 0D, 0.1D)").collect() == [] and spark.sql("select * from grid_axis(1D, 2D, 0D)").collect() == []

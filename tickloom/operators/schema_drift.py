@@ -165,28 +165,25 @@ def drift_report(exports: DataFrame) -> DataFrame:
     return kept.unionByName(ren).unionByName(new).unionByName(gone).unionByName(retyped)
 
 
-def canonical_names(renames: DataFrame) -> dict[str, str]:
-    """Each renamed spelling's unified column: the spelling that most of the connected renames start from.
+def canonical_names(renames: DataFrame, files: dict[str, int]) -> dict[str, str]:
+    """Each renamed spelling's unified column: of the spellings that renames connect, the one in most files (ties: the first in the alphabet).
 
     Only distinct pairs of field names reach the driver; their number is bounded by the vocabulary of field
     names, not by files or records.
     """
-    links = renames.groupBy("prior_name", "field_name").count().collect()
     root: dict[str, str] = {}
-    score: dict[str, int] = {}
 
     def find(x: str) -> str:
         while root.setdefault(x, x) != x:
             x = root[x]
         return x
 
-    for r in sorted(links, key=lambda r: (-r["count"], r.prior_name, r.field_name)):
-        score[r.prior_name] = score.get(r.prior_name, 0) + r["count"]
-        root[find(r.field_name)] = find(r.prior_name)
+    for r in renames.select("prior_name", "name").distinct().collect():
+        root[find(r.name)] = find(r.prior_name)
     groups: dict[str, list[str]] = {}
     for x in list(root):
         groups.setdefault(find(x), []).append(x)
-    return {x: max(sorted(g), key=lambda y: score.get(y, 0)) for g in groups.values() for x in g}
+    return {x: min(g, key=lambda y: (-files.get(y, 0), y)) for g in groups.values() for x in g}
 
 
 def unified_cycles(exports: DataFrame) -> DataFrame:
@@ -198,8 +195,9 @@ def unified_cycles(exports: DataFrame) -> DataFrame:
     exports = exports.dropDuplicates(["export_id", "row_json"])
     cell = materialize(cells(exports))
     _, renames = _changes(exports, cell)
-    names = canonical_names(renames.withColumnRenamed("name", "field_name"))
-    fields = [r.name for r in cell.select("name").distinct().collect() if r.name]
+    files = {r.name: r.n for r in cell.where("name is not null").groupBy("name").agg(F.count_distinct("export_id").alias("n")).collect()}
+    names = canonical_names(renames, files)
+    fields = list(files)
     wide = sorted({names.get(f, f) for f in fields} - {"id", "export_id"})
     spelled = {w: sorted(f for f in fields if names.get(f, f) == w) for w in wide}
     return cell.where("id is not null").groupBy("export_id", "id").agg(*[F.max(F.when(F.col("name").isin(spelled[w]), F.col("value"))).alias(w) for w in wide] or [F.count(F.lit(1)).alias("records")])
