@@ -153,3 +153,23 @@ def test_exact_rounding_and_grid_axis(spark):
     udfs.register(spark)
     assert [tuple(r) for r in spark.sql("select * from grid_axis(0.1D, 0.5D, 0.1D)").collect()] == [(0, 0.1), (1, 0.2), (2, 0.3), (3, 0.4), (4, 0.5)]
     assert spark.sql("select * from grid_axis(1D, 0D, 0.1D)").collect() == [] and spark.sql("select * from grid_axis(1D, 2D, 0D)").collect() == []
+
+
+def test_order_checks_over_slice_borders(spark, monkeypatch):
+    from datetime import datetime, timezone
+
+    from tickloom.operators import quotes
+
+    r = random.Random(12)
+    rows, seq, us = [], 0, 0
+    for i in range(300):
+        seq += r.choice([1, 1, 1, 1, 3])
+        us += r.choice([5, 5, 5, -3])
+        rows.append((1 + i % 2 * 0, i, seq, datetime.fromtimestamp(1767600000 + us, timezone.utc), us * 10**9))
+    rows += rows[40:60]
+    df = spark.createDataFrame(rows, "session_id long, tick_id long, sequence long, captured_at_utc timestamp, elapsed_ns long")
+    u = sorted(set(rows), key=lambda x: x[2])
+    want = (1, 300, sum(b[2] != a[2] + 1 for a, b in zip(u, u[1:])), sum(b[3] < a[3] for a, b in zip(u, u[1:])), sum(b[4] < a[4] for a, b in zip(u, u[1:])))
+    for size in (7, 50, 100_000):
+        monkeypatch.setattr(quotes, "CHECK_SLICE", size)
+        assert [tuple(x) for x in quotes.order_checks(df).collect()] == [want]

@@ -47,14 +47,31 @@ def feed_evidence(t: DataFrame) -> DataFrame:
     return d.withColumns({"any_live": F.col("live") > 0, "mixed": kinds > 1, "any_frozen": (F.col("frozen") + F.col("delayed_frozen")) > 0})
 
 
+#: Sequence numbers of one slice of a session's order checks.
+CHECK_SLICE = 4096
+
+
 def order_checks(t: DataFrame) -> DataFrame:
-    """Per session, in sequence order: holes in the sequence, reversals of the wall clock and of the monotonic clock."""
-    w = Window.partitionBy("session_id").orderBy("sequence", "tick_id")
-    d = t.withColumns({"_s": F.lag("sequence").over(w), "_t": F.lag("captured_at_utc").over(w), "_e": F.lag("elapsed_ns").over(w)})
-    return d.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("readings"), F.count_if(F.col("sequence") != F.col("_s") + 1).alias("sequence_breaks"),
-        F.count_if(F.col("captured_at_utc") < F.col("_t")).alias("wall_reversals"), F.count_if(F.col("elapsed_ns") < F.col("_e")).alias("clock_reversals"),
-    )
+    """Per session, in sequence order: holes in the sequence, reversals of the wall clock and of the monotonic clock.
+
+    ``t`` may hold repeated deliveries. Neighbours are compared within slices of the sequence, so a session of any size is
+    many tasks; the first and the last reading of each slice, one row, are then compared over the borders."""
+    cols = ["sequence", "captured_at_utc", "elapsed_ns"]
+    t = t.where("tick_id is not null").select("session_id", "tick_id", *cols).withColumn("_slice", F.coalesce(F.floor(F.col("sequence") / CHECK_SLICE), F.lit(-1)))
+    w = Window.partitionBy("session_id", "_slice").orderBy("sequence", "tick_id")
+    d = t.withColumn("_id", F.lag("tick_id").over(w)).where("_id is null or _id <> tick_id")  # a second delivery stands beside the first
+    d = d.withColumn("_p", F.lag(F.struct(*cols)).over(w))
+    bad = {
+        "sequence_breaks": lambda c, q: c["sequence"] != q["sequence"] + 1,
+        "wall_reversals": lambda c, q: c["captured_at_utc"] < q["captured_at_utc"],
+        "clock_reversals": lambda c, q: c["elapsed_ns"] < q["elapsed_ns"],
+    }
+    here = {c: F.col(c) for c in cols}
+    at, row = F.struct("sequence", "tick_id"), F.struct(*cols)
+    s = d.groupBy("session_id", "_slice").agg(F.count(F.lit(1)).alias("readings"), *[F.count_if(f(here, F.col("_p"))).alias(n) for n, f in bad.items()], F.min_by(row, at).alias("_a"), F.max_by(row, at).alias("_z"))
+    s = s.withColumn("_q", F.lag("_z").over(Window.partitionBy("session_id").orderBy("_slice")))
+    border = {n: F.coalesce(F.when(f(F.col("_a"), F.col("_q")), 1), F.lit(0)) for n, f in bad.items()}
+    return s.groupBy("session_id").agg(F.sum("readings").alias("readings"), *[F.sum(F.col(n) + border[n]).alias(n) for n in bad])
 
 
 def compress(t: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def feed_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_checks(spark: SparkSession, d: str) -> DataFrame:
-    return quotes.order_checks(quotes.clean_ticks(table(spark, d, "ticks"), ["session_id", "tick_id", "sequence", "captured_at_utc", "elapsed_ns"]))
+    return quotes.order_checks(table(spark, d, "ticks"))
 
 
 def compressed_readings(spark: SparkSession, d: str) -> DataFrame:
