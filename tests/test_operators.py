@@ -173,3 +173,33 @@ def test_order_checks_over_slice_borders(spark, monkeypatch):
     for size in (7, 50, 100_000):
         monkeypatch.setattr(quotes, "CHECK_SLICE", size)
         assert [tuple(x) for x in quotes.order_checks(df).collect()] == [want]
+
+
+def test_compression_does_not_depend_on_slices(spark, monkeypatch):
+    from datetime import datetime, timezone
+
+    from tickloom.operators import quotes
+
+    r = random.Random(21)
+    rows, us = [], 0
+    for i in range(400):
+        us += r.choice([0, 200_000, 400_000, 30_000_000])
+        q = r.choice([10.0, 10.0, 10.0, 10.01])
+        rows.append((1 + i % 2, i, i, datetime.fromtimestamp(1767600000 + us / 1e6, timezone.utc), us * 1000, r.choice([q, q, q, None]), q + 0.02, None, None, r.choice([q, q, None]), 1, r.choice(["bid", "bid", "bid", "last", ""])))
+    df = spark.createDataFrame(rows, "session_id long, tick_id long, sequence long, captured_at_utc timestamp, elapsed_ns long, bid double, ask double, last double, close double, mark_price double, market_data_type int, changed_fields string")
+    t = quotes.with_prices(df)
+    seen = []
+    for size in (10**15, 60 * 10**9, 10**9):
+        monkeypatch.setattr(quotes, "COMPRESS_SLICE", size)
+        seen.append(sorted(x.tick_id for x in quotes.compress(t).collect()))
+    assert seen[0] == seen[1] == seen[2] and 150 < len(seen[0]) < 400
+    prices = {x.tick_id: x for x in t.collect()}
+    for session in (1, 2):
+        mine, kept, sig, sec = [x for x in rows if x[0] == session], [], None, None
+        for i, x in enumerate(mine):
+            p = prices[x[1]]
+            now, s = (p.vbid, p.vask, p.price, p.market_data_type), (x[4] // 10**9 if p.price is not None else None)
+            if i in (0, len(mine) - 1) or p.full_snapshot or p.last_event or now != sig or (s is not None and s != sec):
+                kept.append(x[1])
+                sig, sec = now, s if s is not None else sec
+        assert kept == [k for k in seen[0] if k % 2 == session - 1]

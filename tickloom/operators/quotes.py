@@ -74,20 +74,36 @@ def order_checks(t: DataFrame) -> DataFrame:
     return s.groupBy("session_id").agg(F.sum("readings").alias("readings"), *[F.sum(F.col(n) + border[n]).alias(n) for n in bad])
 
 
+#: Nanoseconds of the monotonic clock in one slice of a session's compression.
+COMPRESS_SLICE = 900_000_000_000
+
+
 def compress(t: DataFrame) -> DataFrame:
     """Readings that tell something new: the first and last, full snapshots, Last events, a change of the feed or of the
     signature (sound quote and price), and the first priced reading of a second.
 
     A dropped reading equals the last kept one in its signature, so the reading before decides and no fold is needed.
+    Windows run per slice of the session's clock; what lies before a slice comes from one row per slice.
     """
     order = [F.col("elapsed_ns"), F.col("sequence"), F.col("tick_id")]
-    w = Window.partitionBy("session_id").orderBy(*order)
+    key = ["session_id", "_slice"]
+    w = Window.partitionBy(*key).orderBy(*order)
     sig = F.struct("vbid", "vask", "price", "market_data_type")
     second = F.when(F.col("price").isNotNull(), F.floor(F.unix_micros("captured_at_utc") / 1_000_000))
-    d = t.withColumns({"_sig": sig, "_sec": second})
+    d = t.withColumns({"_sig": sig, "_sec": second, "_slice": F.coalesce(F.floor(F.col("elapsed_ns") / COMPRESS_SLICE), F.lit(-1))})
+    at = F.struct(*order)
+    s = d.groupBy(*key).agg(F.max_by("_sig", at).alias("_s"), F.max_by("_sec", F.when(F.col("_sec").isNotNull(), at)).alias("_c"))
+    o = Window.partitionBy("session_id").orderBy("_slice")
+    s = s.select(
+        F.col("session_id").alias("_k"), F.col("_slice").alias("_l"), F.lag("_s").over(o).alias("_bs"), F.last("_c", True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("_bc"),
+        (F.row_number().over(o) == 1).alias("_head"), F.lead("_slice").over(o).isNull().alias("_tail"),
+    )
     d = d.withColumns({
         "_n": F.row_number().over(w), "_more": F.lead(F.lit(1)).over(w), "_p": F.lag("_sig").over(w),
         "_ps": F.last("_sec", True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
     })
-    keep: Column = (F.col("_n") == 1) | F.col("_more").isNull() | F.col("full_snapshot") | F.col("last_event") | ~F.col("_sig").eqNullSafe(F.col("_p")) | (F.col("_sec").isNotNull() & ~F.col("_sec").eqNullSafe(F.col("_ps")))
-    return d.where(keep).drop("_sig", "_sec", "_n", "_more", "_p", "_ps")
+    d = d.join(s, d["session_id"].eqNullSafe(s["_k"]) & (d["_slice"] == s["_l"]))
+    before = F.when(F.col("_n") > 1, F.col("_p")).otherwise(F.col("_bs"))
+    ends = ((F.col("_n") == 1) & F.col("_head")) | (F.col("_more").isNull() & F.col("_tail"))
+    keep: Column = ends | F.col("full_snapshot") | F.col("last_event") | ~F.col("_sig").eqNullSafe(before) | (F.col("_sec").isNotNull() & ~F.col("_sec").eqNullSafe(F.coalesce("_ps", "_bc")))
+    return d.where(keep).select(*t.columns)
