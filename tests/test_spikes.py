@@ -57,6 +57,29 @@ def test_lively_and_quiet_sources_have_their_own_limits(spark):
     assert run(spark, rows) == {(50, "last"): "spike"}
 
 
+def test_the_tail_of_a_wide_quote_is_that_of_its_own_noise(spark):
+    rows = walk(1, 600, 7) + walk(2, 600, 8, 10_000)
+    for r in rows:  # half a spread of 40 units that itself moves by two at most
+        r[3], r[4] = round(r[3] - 0.38, 2), round(r[4] + 0.38, 2)
+    assert run(spark, rows) == {}
+    rows[70][3] = round(rows[70][3] - 0.3, 2)
+    rows[400][4] = round(rows[400][4] + 0.3, 2)
+    assert run(spark, rows) == {(70, "bid"): "spike", (400, "ask"): "spike"}
+
+
+def test_exceedances_move_a_cutoff_by_degrees(spark):
+    from tickloom.operators import spikes
+
+    cut = []
+    for k in (6, 7, 8, 9):  # the count of exceedances is no switch
+        rows = walk(1, 400, 12)
+        for i in range(k):
+            rows[20 + 40 * i][3] = round(rows[20 + 40 * i][3] + 0.12, 2)
+        th = spikes.thresholds(spikes._base(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)))
+        cut.append(max(r.hi_bid for r in th.collect()))
+    assert max(b / a for a, b in zip(cut, cut[1:])) < 1.3 and min(b / a for a, b in zip(cut, cut[1:])) > 0.7
+
+
 def test_order_and_slices_do_not_matter(spark, monkeypatch):
     from tickloom.operators import spikes
 

@@ -2,9 +2,10 @@
 
 A reading's residual is its log distance from the reference (the mark), less the source's seasonal median for
 that time slice. Per source, field and side a generalised Pareto tail is fitted to the residuals over a high
-threshold (peaks over threshold); the cutoff is the level passed with a fixed small risk. A reading keeps the
-residual it had when it first appeared, so a value that is merely old is no spike. Stuck stretches are runs
-too long for the source's own repeat rate; impossible numbers fall to plain rules.
+quantile (peaks over threshold), together with a few exceedances of all sources' mean, so that short sources have
+a tail too; the cutoff is the level passed with a fixed small risk. A reading keeps the residual it had when it
+first appeared, so a value that is merely old is no spike. Stuck stretches are runs too long for the source's own
+repeat rate; impossible numbers fall to plain rules.
 
 Three passes, all in the JVM: quantiles per (session, slice), exceedance moments per session, and one window
 pass per (session, slice). Slices split a hot session over many tasks; runs are carried across slice borders
@@ -23,6 +24,12 @@ FIELDS = ("bid", "ask", "last")
 SLICE_S = 900
 #: Probability that a sound reading passes its cutoff.
 RISK = 1e-6
+#: Share of a slice's readings beyond the quantile that sets a side's threshold.
+TAIL = 0.1
+#: Exceedances of all sessions' mean that count beside a session's own.
+POOL = 20
+#: Exceedances beyond so many reaches of a side stay out of the fit.
+TRIM = 8
 #: Largest shape of a fitted tail: sound residuals are not heavier.
 SHAPE_MAX = 0.1
 #: Probability that a sound run of repeats is as long as the shortest stuck one; never fewer readings than STUCK_MIN.
@@ -49,47 +56,54 @@ def _base(ticks: DataFrame) -> DataFrame:
 
 
 def _seasons(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per slice: seasonal medians; per session: centre, scale and the two thresholds of each field)."""
-    q = [F.percentile_approx(f"r_{f}", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias(f"q_{f}") for f in FIELDS]
+    """(per slice: seasonal medians; per session: centre, quartile distance and reach of each field's sides)."""
+    q = [F.percentile_approx(f"r_{f}", F.array(*map(F.lit, (TAIL, 0.25, 0.5, 0.75, 1 - TAIL))), 1000).alias(f"q_{f}") for f in FIELDS]
     n = [F.count(f"r_{f}").alias(f"n_{f}") for f in FIELDS]
     s = materialize(base.groupBy("session_id", "slice").agg(*q, *n, F.max("unit").alias("unit")))
     at = lambda f, i: F.col(f"q_{f}")[i]
     agg: list[Column] = [F.max("unit").alias("unit")]
     for f in FIELDS:
-        # Quartiles, and medians over the slices weighted by their readings: a slice full of excursions moves them
-        # little. Twice the distance of a quartile is near the highest and lowest tenth of sound residuals.
+        # Medians over the slices weighted by their readings: a slice full of excursions moves them little.
         mid = lambda c, f=f: F.percentile(c, 0.5, F.col(f"n_{f}"))
-        agg += [mid(at(f, 1)).alias(f"c_{f}"), (2 * mid(at(f, 2) - at(f, 1))).alias(f"u_{f}"), (2 * mid(at(f, 1) - at(f, 0))).alias(f"l_{f}")]
+        agg += [mid(at(f, 2)).alias(f"c_{f}"), (2 * F.least(mid(at(f, 3) - at(f, 2)), mid(at(f, 2) - at(f, 1)))).alias(f"b_{f}")]
+        agg += [mid(at(f, 4) - at(f, 2)).alias(f"a_hi_{f}"), mid(at(f, 2) - at(f, 0)).alias(f"a_lo_{f}")]
     return s, s.groupBy("session_id").agg(*agg)
 
 
-def _cutoff(n: Column, k: Column, s1: Column, s2: Column, u: Column, unit: Column) -> Column:
-    """The level passed with probability RISK: GPD by moments over the k exceedances of threshold u among n residuals."""
-    mean = s1 / k
-    var = s2 / k - mean * mean
-    shape = F.greatest(F.lit(-0.2), F.least(F.lit(SHAPE_MAX), 0.5 * (1 - mean * mean / F.greatest(var, 1e-18 + 0.01 * mean * mean))))
-    scale = F.greatest(mean * (1 - shape), 0.1 * unit)
-    ratio = F.greatest(F.lit(1.0), k / n / RISK)
-    level = F.when(F.abs(shape) < 0.01, scale * F.ln(ratio)).otherwise(scale / shape * (F.pow(ratio, shape) - 1))
-    # Too few exceedances for a fit: a multiple of the threshold. Rounding to the price unit is never a spike.
-    return F.greatest(u + F.when(k >= 8, level).otherwise(8 * u), 4 * u, 3 * unit)
-
-
 def _offset(f: str) -> Column:
     """Seasonal median of a slice with enough readings, held near the session's centre."""
-    band = 0.5 * F.greatest(F.least(f"u_{f}", f"l_{f}"), F.col("unit"))
-    near = F.greatest(F.col(f"c_{f}") - band, F.least(F.col(f"c_{f}") + band, F.col(f"q_{f}")[1]))
+    band = 0.5 * F.greatest(f"b_{f}", "unit")
+    near = F.greatest(F.col(f"c_{f}") - band, F.least(F.col(f"c_{f}") + band, F.col(f"q_{f}")[2]))
     return F.when(F.col(f"n_{f}") >= 20, near).otherwise(F.col(f"c_{f}"))
 
 
-def thresholds(base: DataFrame) -> DataFrame:
-    """Per (session, slice): off_f, hi_f, lo_f of each field, and the repeat-free parameters for the spike rule."""
+def _reach(f: str, side: str, other: str) -> Column:
+    """The distance of the TAIL quantile of a side: prices are quantised, so one price unit at least. A stuck stretch
+    drifts to one side and widens it; neither side may exceed twice the other."""
+    a, b = (F.greatest(f"a_{d}_{f}", "unit") for d in (side, other))
+    return F.least(a, 2 * b)
+
+
+def _fit(f: str, side: str) -> Column:
+    """The level passed with probability RISK: GPD by moments over the exceedances of the threshold. POOL exceedances of
+    all sessions' mean are added to the session's own, so that a short session leans on the others by degrees."""
+    c = lambda x: F.col(f"{x}_{side}_{f}")
+    everywhere = F.greatest(c("all_k"), F.lit(1))
+    k = c("k") + POOL
+    mean = (c("s") + POOL * F.coalesce(c("all_s"), F.lit(0.0)) / everywhere) / k
+    var = (c("t") + POOL * F.coalesce(c("all_t"), F.lit(0.0)) / everywhere) / k - mean * mean
+    shape = F.greatest(F.lit(-0.2), F.least(F.lit(SHAPE_MAX), 0.5 * (1 - mean * mean / F.greatest(var, 1e-18 + 0.01 * mean * mean))))
+    scale = mean * (1 - shape)
+    ratio = F.greatest(F.lit(1.0), k / F.greatest(F.col(f"n_{f}") + POOL * F.col(f"all_n_{f}") / everywhere, F.lit(1.0)) / RISK)
+    level = F.when(F.abs(shape) < 0.01, scale * F.ln(ratio)).otherwise(scale / shape * (F.pow(ratio, shape) - 1))
+    return c("a") - 0.5 * F.col("unit") + level * c("a")
+
+
+def fits(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per slice: off_f of each field; per session: the exceedances of each field's sides, and those of all sessions)."""
     s, per = _seasons(base)
-    # Prices are quantised: no threshold below one price unit or half the usual spread. A stuck stretch drifts to one
-    # side and widens it; neither side may exceed twice the other.
-    least = F.greatest("unit", *[F.abs(F.col(f"c_{f}")) for f in FIELDS])
     s = materialize(s.join(per.withColumnRenamed("unit", "_unit"), s["session_id"].eqNullSafe(per["session_id"])).drop(per["session_id"]).drop("unit").withColumnRenamed("_unit", "unit")
-        .select("session_id", "slice", "unit", *[c for f in FIELDS for c in (_offset(f).alias(f"off_{f}"), F.greatest(F.least(f"u_{f}", 2 * F.col(f"l_{f}")), least).alias(f"u_{f}"), F.greatest(F.least(f"l_{f}", 2 * F.col(f"u_{f}")), least).alias(f"l_{f}"))]))
+        .select("session_id", "slice", "unit", *[c for f in FIELDS for c in (_offset(f).alias(f"off_{f}"), _reach(f, "hi", "lo").alias(f"a_hi_{f}"), _reach(f, "lo", "hi").alias(f"a_lo_{f}"))]))
     p = small(s.withColumnsRenamed({"session_id": "_sid", "slice": "_slice", "unit": "_unit"}))
     j = base.join(p, base["session_id"].eqNullSafe(p["_sid"]) & (base["slice"] == p["_slice"]))
     agg = [F.max("_unit").alias("unit")]
@@ -97,11 +111,22 @@ def thresholds(base: DataFrame) -> DataFrame:
         # Only readings that changed: a value that is merely carried on says nothing of the market's noise.
         e = F.when(F.concat(F.lit(","), "changed", F.lit(",")).contains(f",{f},"), F.col(f"r_{f}") - F.col(f"off_{f}"))
         agg.append(F.count(e).alias(f"n_{f}"))
-        for side, x, u in (("hi", e, F.col(f"u_{f}")), ("lo", -e, F.col(f"l_{f}"))):
-            over = F.when((x > u) & (x <= 8 * u), x - u)  # beyond lie the excursions themselves: they must not widen the tail
-            agg += [F.count(over).alias(f"k_{side}_{f}"), F.sum(over).alias(f"s_{side}_{f}"), F.sum(over * over).alias(f"t_{side}_{f}"), F.max(u).alias(f"u_{side}_{f}")]
-    m = j.groupBy("session_id").agg(*agg)
-    cut = [_cutoff(F.col(f"n_{f}"), F.col(f"k_{d}_{f}"), F.col(f"s_{d}_{f}"), F.col(f"t_{d}_{f}"), F.col(f"u_{d}_{f}"), F.col("unit")).alias(f"{d}_{f}") for f in FIELDS for d in ("hi", "lo")]
+        for side, x in (("hi", e), ("lo", -e)):
+            # A rounded reading stands for half a unit to either side: the threshold lies so far below the quantile,
+            # which leaves about the share TAIL above it. Excesses count in reaches, alike in all sessions.
+            a = F.col(f"a_{side}_{f}")
+            y = (x - a + 0.5 * F.col("_unit")) / a
+            over = F.when((y > 0) & (x <= TRIM * a), y)  # beyond lie the excursions themselves: they must not widen the tail
+            agg += [F.count(over).alias(f"k_{side}_{f}"), F.coalesce(F.sum(over), F.lit(0.0)).alias(f"s_{side}_{f}"), F.coalesce(F.sum(over * over), F.lit(0.0)).alias(f"t_{side}_{f}"), F.max(a).alias(f"a_{side}_{f}")]
+    m = materialize(j.groupBy("session_id").agg(*agg))
+    pool = m.agg(*[F.sum(f"n_{f}").alias(f"all_n_{f}") for f in FIELDS], *[F.sum(f"{c}_{d}_{f}").alias(f"all_{c}_{d}_{f}") for c in "kst" for d in ("hi", "lo") for f in FIELDS])
+    return s, m.crossJoin(F.broadcast(pool))
+
+
+def thresholds(base: DataFrame) -> DataFrame:
+    """Per (session, slice): off_f, hi_f, lo_f of each field, and the repeat-free parameters for the spike rule."""
+    s, m = fits(base)
+    cut = [_fit(f, d).alias(f"{d}_{f}") for f in FIELDS for d in ("hi", "lo")]
     m = m.select(F.col("session_id").alias("_m"), *cut)
     return materialize(s.join(m, s["session_id"].eqNullSafe(m["_m"])).select("session_id", "slice", *[c for f in FIELDS for c in (f"off_{f}", f"hi_{f}", f"lo_{f}")]))
 
