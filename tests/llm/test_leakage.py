@@ -64,6 +64,31 @@ def test_blocks_of_items_and_slabs_of_long_texts(spark, monkeypatch):
     assert found == {(int(i), int(p)) for _, pos, item, _, exact in leakage._scan([docs[-1][1]], ix) for p, i, e in zip(pos, item, exact) if e}
 
 
+def test_near_windows_against_brute_force_on_similarity(spark):
+    r = random.Random(4)
+    item = lambda k: [r.choice([f"w{i}" for i in range(300)]) for _ in range(k)]
+    items = [(f"i{k}", item(r.randrange(10, 30)), "") for k in range(12)] + [("turned", "a b c a d e a f g h".split(), "")]
+    docs = []
+    for d in range(60):
+        v = list(r.choice(items)[1])
+        at = r.randrange(0, len(v) - 9)
+        v = v[at : at + 10]
+        v[r.choice([0, 9, 9, r.randrange(10)])] = f"x{d}"
+        docs.append((d, " ".join(item(5) + v + item(5)), ""))
+    docs += [(60, " ".join(items[0][1]), ""), (61, "a d e a b c a f g h", "")]  # pairs of neighbours in another order
+    want = {}
+    for d, t, _ in docs:
+        w = leakage.word_hashes(t.split())
+        for name, p, _ in items:
+            v = leakage.word_hashes(p)
+            sims = [similarity(w[i : i + 10], v[j : j + 10]) for i in range(len(w) - 9) for j in range(len(v) - 9)]
+            near = [x for x in sims if x >= leakage.NEAR]
+            if near:
+                want[d, name] = (len(near), round(max(near), 9))
+    got = {(x.doc_id, x.item_id): (x.windows, round(x.similarity, 9)) for x in run(spark, docs, [(n, " ".join(p), q) for n, p, q in items])}
+    assert got == want and len(want) > 30 and (61, "turned") in want
+
+
 def test_every_fingerprint_within_the_radius_is_a_candidate():
     r = np.random.default_rng(1)
     ix = Index([r.integers(0, 2**63, 300, dtype="uint64") for _ in range(10)])

@@ -5,6 +5,11 @@ are indexed by blocks of bits: RADIUS + 1 blocks, so two hashes within the radiu
 and none is missed. A corpus window looks its blocks up, hashes within the radius become candidates, and an
 exact weighted-shingle similarity verifies them; equal word sequences have similarity 1 and distance 0.
 
+One changed word of ten moves far more bits than the radius holds, so near windows have an index of their own. A
+window's shingles weigh 10 + 2 * 9 = 28; similarity 0.8 needs 25 of them shared, so at most one pair of neighbours
+may be lost. The sums of the hashes of every eight of a window's nine pairs are its keys: two windows share a key
+if and only if (but for hash collisions, which the similarity removes) they share eight pairs, in any order.
+
 The corpus is mapped over once, without a shuffle. The items are a stated query set: they are broken into
 blocks of at most BLOCK_WINDOWS windows, and each block, of bounded size, goes over all of the corpus.
 """
@@ -77,10 +82,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return sum((x & y).values()) / sum((x | y).values())
 
 
+def pair_keys(w: np.ndarray) -> np.ndarray:
+    """Of windows of word hashes (one a row), the sums of the hashes of their pairs of neighbours with one pair left out: one column per pair."""
+    p = _mixed(_mixed(w[:, :-1]) + w[:, 1:])
+    return p.sum(axis=1, dtype="uint64", keepdims=True) - p  # modulo 2^64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Index:
     """Windows of the items: distinct word sequences, the items that hold each, and block tables over the fingerprints."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, items: list[np.ndarray], near: bool = True):
         seqs, owner = [], []
         for i, h in enumerate(items):
             if len(h) >= ITEM_WORDS:
@@ -101,6 +118,14 @@ class Index:
             start = np.zeros((1 << width) + 1, "int32")
             np.cumsum(np.bincount(key.astype("int64"), minlength=1 << width), out=start[1:])
             self.tables.append((np.uint64(at), np.uint64((1 << width) - 1), start, order))
+        self.near = near
+        if near:
+            key = np.concatenate([np.zeros(0, "uint64")] + [pair_keys(self.seq[i : i + 20_000]).ravel() for i in range(0, len(self.seq), 20_000)])
+            order = np.argsort(key, kind="stable")
+            self.keys, self.key_of = key[order], (order // (ITEM_WORDS - 1)).astype("int32")
+            # Most windows of a corpus have no key here: a table of bits tells without a search.
+            self.some = np.zeros(1 << 25, bool)
+            self.some[(self.keys >> np.uint64(39)).astype("int64")] = True
 
     def _fingerprints(self) -> np.ndarray:
         out = [np.zeros(0, "uint64")]
@@ -132,14 +157,28 @@ class Index:
         return pair[0], pair[1]
 
 
+    def near_candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, sequence): all pairs of a window of the given word hashes and an indexed one that share all pairs of neighbours but one."""
+        ps, qs = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+        for key in pair_keys(np.lib.stride_tricks.sliding_window_view(h, ITEM_WORDS)).T:
+            g = np.flatnonzero(self.some[(key >> np.uint64(39)).astype("int64")])
+            lo, hi = np.searchsorted(self.keys, key[g]), np.searchsorted(self.keys, key[g], side="right")
+            c = hi - lo
+            ps.append(np.repeat(g, c))
+            qs.append(self.key_of[np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)].astype("int64"))
+        pair = np.unique(np.stack([np.concatenate(ps), np.concatenate(qs)]), axis=1)
+        return pair[0], pair[1]
+
+
 _built: dict[str, Index] = {}
 
 
-def _index(key: str, items: list[np.ndarray]) -> Index:
+def _index(key: str, items: list[np.ndarray], near: bool) -> Index:
     """The index of a block of items, kept by the worker for its next task."""
+    key = f"{key} {near}"
     if key not in _built:
         _built.clear()
-        _built[key] = Index(items)
+        _built[key] = Index(items, near)
     return _built[key]
 
 
@@ -159,6 +198,9 @@ def _scan(texts: list[str | None], ix: Index) -> Iterator[tuple[np.ndarray, np.n
             return None
         fp = fingerprints(h)
         pos, seq = ix.candidates(fp)
+        if ix.near:
+            both = np.unique(np.concatenate([np.stack([pos, seq]), np.stack(ix.near_candidates(h))], axis=1), axis=1)
+            pos, seq = both[0], both[1]
         inside = d[pos] == d[pos + ITEM_WORDS - 1]
         # A slab of a long text continues the one before; both keep their own windows.
         inside &= at[pos + ITEM_WORDS - 1] - at[pos] == ITEM_WORDS - 1
@@ -197,9 +239,12 @@ def _scan(texts: list[str | None], ix: Index) -> Iterator[tuple[np.ndarray, np.n
             yield got
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
     """Rows (doc_id, item_id, exact, windows, similarity): documents and items that share windows.
 
+    Windows count as shared from similarity NEAR on; without ``near``, all equal ones do and of the others only
+    those whose fingerprints are within RADIUS.
+
     exact tells whether any shared window is equal word for word, that is, whether ITEM_WORDS consecutive words
     are shared; windows counts the pairs of windows, similarity is the best. Null, empty and short texts and
     passages match nothing; null ids are left out; items sharing a passage are all reported; repeated rows count
@@ -219,7 +264,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from tickloom.llm import leakage
 
-            ix = leakage._index(key, [h for _, h in sent.value])
+            ix = leakage._index(key, [h for _, h in sent.value], near)
             names = pa.array([n for n, _ in sent.value], pa.string())
             for b in batches:
                 ids = b.column(0)
@@ -237,6 +282,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return d.mapInArrow(run, "doc_id long, item_id string, exact boolean, windows long, similarity double")
 
+    most = BLOCK_WINDOWS // 4 if near else BLOCK_WINDOWS  # the keys of near windows take about four times the room
     block: list[tuple[str, np.ndarray]] = []
     size = 0
     for r in rows:
@@ -244,7 +290,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         n = len(h) - ITEM_WORDS + 1
         if n < 1:
             continue
-        if size and size + n > BLOCK_WINDOWS:
+        if size and size + n > most:
             part = over(block)
             out = part if out is None else out.unionByName(part)
             block, size = [], 0
