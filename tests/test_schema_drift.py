@@ -53,6 +53,19 @@ def test_unified_table_follows_renames(spark):
     assert len(rows) == 10 and {(r.export_id, r.id, r.p) for r in rows} == {(f, f"c{i}", str(i + 0.5)) for f in (0, 1) for i in range(5)}
 
 
+def test_unified_values_stay_as_they_are_and_get_one_type(spark):
+    a = [{"id": f"c{i}", "ticker": f"AbC{i}", "code": f"00{i}", "pct": i + 0.25, "at": f"2026-01-0{i + 1}T00:00:00.000Z", "on": i % 2, "qty": 10**16 + i} for i in range(5)]
+    b = [r | {"ticker": f"aBc{i}", "pct": f"{i + 0.25}%", "at": 1767225600000 + 86400000 * i, "on": bool(r["on"])} for i, r in enumerate(a)]
+    df = unified_cycles(files(spark, a, b))
+    rows = {(r.export_id, r.id): r for r in df.collect()}
+    for i in range(5):
+        x, y = rows[0, f"c{i}"], rows[1, f"c{i}"]
+        assert (x.ticker, y.ticker, x.code, y.pct, x.qty) == (f"AbC{i}", f"aBc{i}", f"00{i}", f"{i + 0.25}%", str(10**16 + i))
+        assert (x.typed.ticker, x.typed.code, x.typed.qty) == (f"AbC{i}", f"00{i}", 10**16 + i)
+        assert x.typed.pct == y.typed.pct == i + 0.25 and x.typed.at == y.typed.at and x.typed.on is y.typed.on is bool(i % 2)
+    assert {f.name: f.dataType.simpleString() for f in df.schema["typed"].dataType} == {"ticker": "string", "code": "string", "pct": "double", "at": "timestamp", "on": "boolean", "qty": "bigint"}
+
+
 def test_matching_is_optimal():
     r = random.Random(2)
     for _ in range(200):

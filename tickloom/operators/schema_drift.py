@@ -8,6 +8,8 @@ Chains of renames then map every spelling to one unified column.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,26 +22,37 @@ AGREE = 0.8
 SKETCH = 16
 
 
+def _number(t: Column) -> Column:
+    return F.regexp_replace(F.rtrim(F.regexp_replace(t, "%$", "")), ",(?=[0-9]{3})", "").try_cast("double")
+
+
+def _stamp(t: Column) -> Column:
+    return F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]"), t).try_cast("timestamp")
+
+
+def _truth(t: Column) -> Column:
+    return F.when(F.lower(t).isin("true", "yes"), True).when(F.lower(t).isin("false", "no"), False)
+
+
 def normal_value(value: Column, kind: Column) -> Column:
     """One notation for the values of a field, whatever its type: numbers as doubles, times as epoch milliseconds, truth values as 1 and 0."""
     t = F.trim(value)
-    number = F.regexp_replace(F.rtrim(F.regexp_replace(t, "%$", "")), ",(?=[0-9]{3})", "").try_cast("double")
-    stamp = F.unix_millis(F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]"), t).try_cast("timestamp")).cast("double")
-    truth = F.when(F.lower(t).isin("true", "yes"), 1.0).when(F.lower(t).isin("false", "no"), 0.0)
-    v = F.when(kind == "number", t.try_cast("double")).when(kind == "boolean", truth).otherwise(F.coalesce(number, truth, stamp))
+    truth = _truth(t).cast("double")
+    v = F.when(kind == "number", t.try_cast("double")).when(kind == "boolean", truth).otherwise(F.coalesce(_number(t), truth, F.unix_millis(_stamp(t)).cast("double")))
     return F.coalesce(F.round(v, 9).cast("string"), F.lower(t))
 
 
 def cells(exports: DataFrame) -> DataFrame:
-    """(export_id, id, name, kind, value): one row per record and field, the value in the one notation. kind is text, number, boolean, or null for a null value."""
+    """(export_id, id, name, kind, raw, value): one row per record and field; raw is the value as it stands, value the
+    one notation, which serves comparisons only. kind is text, number, boolean, or null for a null value."""
     v = exports.select("export_id", F.try_parse_json("row_json").alias("_v")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
     x = v.select("export_id", F.try_variant_get("_v", "$.id", "string").alias("id"), "_v")
     x = x.lateralJoin(x.sparkSession.tvf.variant_explode(F.col("_v").outer())).select("export_id", "id", F.col("key").alias("name"), F.col("value").alias("_x"))
     form = F.schema_of_variant("_x")
     kind = F.when(form == "VOID", None).when(form == "BOOLEAN", "boolean").when(form.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), "number").otherwise("text")
     value = F.when(form == "VOID", None).otherwise(F.coalesce(F.expr("try_variant_get(_x, '$', 'string')"), F.to_json("_x")))
-    x = x.select("export_id", "id", "name", kind.alias("kind"), value.alias("_raw"))
-    return x.withColumn("value", normal_value(F.col("_raw"), F.col("kind"))).drop("_raw")
+    x = x.select("export_id", "id", "name", kind.alias("kind"), value.alias("raw"))
+    return x.withColumn("value", normal_value(F.col("raw"), F.col("kind")))
 
 
 def versions(exports: DataFrame) -> DataFrame:
@@ -153,7 +166,7 @@ def drift_report(exports: DataFrame) -> DataFrame:
     is never retyped. Repeated records, key order and records that are no JSON object change nothing; files
     without a file before them, and an empty table, report nothing.
     """
-    both, renames = _changes(exports, materialize(cells(exports.dropDuplicates(["export_id", "row_json"]))))
+    both, renames = _changes(exports, materialize(cells(exports.dropDuplicates(["export_id", "row_json"])).drop("raw")))
     kept = both.where("is_now and was and kind <> prior_kind").select("export_id", F.lit("retyped").alias("change"), F.col("name").alias("field_name"), F.lit("").alias("prior_name"))
     ren = renames.select("export_id", F.lit("renamed").alias("change"), F.col("name").alias("field_name"), "prior_name")
     new = both.where("is_now and not was").join(renames, ["export_id", "name"], "left_anti").select("export_id", F.lit("added").alias("change"), F.col("name").alias("field_name"), F.lit("").alias("prior_name"))
@@ -186,18 +199,59 @@ def canonical_names(renames: DataFrame, files: dict[str, int]) -> dict[str, str]
     return {x: min(g, key=lambda y: (-files.get(y, 0), y)) for g in groups.values() for x in g}
 
 
+def unified_type(c: Counter) -> str:
+    """The one type that holds every value of a field, from the counts of its values in each form; string where none does."""
+    if c["stamp"] and c["stamp"] + c["epoch"] == c["n"]:
+        return "timestamp"
+    if c["word"] and (c["boolean"] or c["number"]) and c["word"] + c["bit"] == c["n"]:
+        return "boolean"
+    if c["number"] and c["numeric"] == c["n"]:
+        return "bigint" if c["whole"] == c["n"] else "double"
+    return "string"  # also texts that merely look like numbers: their zeros and signs belong to them
+
+
+def _cast(raw: Column, to: str) -> Column:
+    t = F.trim(raw)
+    if to == "timestamp":
+        return F.coalesce(_stamp(t), F.timestamp_millis(t.try_cast("bigint")))
+    if to == "boolean":
+        return F.coalesce(_truth(t), t.try_cast("double") == 1)
+    return t.try_cast("bigint") if to == "bigint" else _number(t) if to == "double" else raw
+
+
 def unified_cycles(exports: DataFrame) -> DataFrame:
-    """One row (export_id, id, one text column per unified field) per record of every file, values in the one notation.
+    """One row (export_id, id, one text column per unified field, typed) per record of every file.
 
+    The text columns hold the values as they stand in the files; the struct typed has the same fields, each cast to
+    the one type that all its values fit: timestamp (also from epoch milliseconds), boolean (also from 1 and 0),
+    bigint, double (also from percentages), else string. A field called typed moves the struct to _typed.
     Records without an id, and what is no JSON object, are left out; repeated records count once (of
-    contradicting ones the largest value of each field stands).
+    contradicting ones the largest value of each field in the one notation stands).
     """
     exports = exports.dropDuplicates(["export_id", "row_json"])
     cell = materialize(cells(exports))
-    _, renames = _changes(exports, cell)
-    files = {r.name: r.n for r in cell.where("name is not null").groupBy("name").agg(F.count_distinct("export_id").alias("n")).collect()}
+    _, renames = _changes(exports, cell.drop("raw"))
+    t = F.trim("raw")
+    forms = {
+        "n": t.isNotNull(), "number": F.col("kind") == "number", "boolean": F.col("kind") == "boolean", "numeric": _number(t).isNotNull(), "whole": t.rlike("^-?[0-9]{1,18}$"),
+        "epoch": t.rlike("^-?[0-9]{1,14}$"), "stamp": _stamp(t).isNotNull(), "word": _truth(t).isNotNull(), "bit": t.try_cast("double").isin(0.0, 1.0),
+    }
+    seen = cell.where("name is not null").groupBy("name").agg(F.count_distinct("export_id").alias("files"), *[F.count_if(c).alias(f"_{k}") for k, c in forms.items()]).collect()
+    files = {r.name: r.files for r in seen}
     names = canonical_names(renames, files)
     fields = list(files)
     wide = sorted({names.get(f, f) for f in fields} - {"id", "export_id"})
     spelled = {w: sorted(f for f in fields if names.get(f, f) == w) for w in wide}
-    return cell.where("id is not null").groupBy("export_id", "id").agg(*[F.max(F.when(F.col("name").isin(spelled[w]), F.col("value"))).alias(w) for w in wide] or [F.count(F.lit(1)).alias("records")])
+    counts: dict[str, Counter] = {w: Counter() for w in wide}
+    for r in seen:
+        if (w := names.get(r.name, r.name)) in counts:
+            counts[w].update({k: r[f"_{k}"] for k in forms})
+    rows = cell.where("id is not null").groupBy("export_id", "id")
+    if not wide:
+        return rows.agg(F.count(F.lit(1)).alias("records"))
+    out = rows.agg(*[F.max(F.when(F.col("name").isin(spelled[w]) & F.col("raw").isNotNull(), F.struct("value", "raw")))["raw"].alias(w) for w in wide])
+    name = "typed"
+    while name in {w.lower() for w in wide}:
+        name = f"_{name}"
+    quoted = lambda w: F.col("`" + w.replace("`", "``") + "`")
+    return out.withColumn(name, F.struct(*[_cast(quoted(w), unified_type(counts[w])).alias(w) for w in wide]))
