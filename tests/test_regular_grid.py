@@ -45,3 +45,19 @@ def test_imputation_recovers_a_wave():
     out = ssa_impute(y)
     assert np.array_equal(out[~gone], x[~gone]) and np.abs(out[gone] - x[gone]).mean() < 0.03
     assert np.isnan(ssa_impute(np.full(5, np.nan))).all() and ssa_impute(np.array([np.nan, 2.0, np.nan])).tolist() == [2, 2, 2]
+
+
+def test_imputation_settles_or_says_that_it_did_not():
+    r = np.random.default_rng(3)
+    y = np.cumsum(r.normal(size=160))
+    y[r.random(160) < 0.6] = np.nan
+    x, settled = regular_grid.ssa_settle(y)
+    again, _ = regular_grid.ssa_settle(np.where(np.isnan(y), np.nan, y), tol=1e-5)
+    assert settled and np.abs(x - again).max() < 0.05 * np.nanstd(y)
+    assert not regular_grid.ssa_settle(y, tol=-1.0)[1]  # never below: given up, and said so
+
+
+def test_blocks_without_readings_take_their_neighbours(spark):
+    got = run(spark, [(1, 1, 0, 4.0), (2, 1, 60_000, 10.0)], [(1, 9, 0, 100_000)], ((9, 5),))
+    assert len(got) == 20_001 and all(r[2] is not None for r in got)
+    assert [round(r[2], 1) for r in got[4800:12_001:2400]] == [6.4, 7.6, 8.8, 10.0] and got[-1][2] == 10.0
