@@ -143,6 +143,8 @@ def buy_excursions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_sells(spark: SparkSession, d: str) -> DataFrame:
+    """First trailing sale of each filled cycle. The activation price is that of the registered SQL, which divides
+    rise_trigger_pct by 1000: a tenth of the percentage by which the reference raises the buy price."""
     c = cycles_once(table(spark, d, "cycles"))
     s = c.select("id", F.upper("ticker").alias("e"), F.unix_micros("buy_filled_at").alias("t"), (F.col("avg_buy_price") * (1 + F.col("rise_trigger_pct") / 1000)).alias("required"), "sell_trailing_stop_pct").where("t is not null and required > 0 and sell_trailing_stop_pct > 0")
     return triggers.first_sell(triggers.paths(s, _prices(spark, d), 4 * HALF_HOUR_US), "required", "sell_trailing_stop_pct")
