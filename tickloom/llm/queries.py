@@ -63,11 +63,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), near=False).where("exact").select("doc_id", "item_id")
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("exact").select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, d: str) -> DataFrame:
-    """All leaking pairs, also those with changed words, with their best similarity."""
+    """All leaking pairs, also those with changed words: the equal windows of ten words, and the best similarity of an item-sized one."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
