@@ -34,7 +34,7 @@ def near_pairs(docs, items):
             v = words(p)
             n = min(len(v), len(w))
             if d is not None and name is not None and len(v) >= 10 and n >= 5:
-                if len({*w} & {*v}) < 5:
+                if not {*w} & {*v}:
                     continue
                 best = max(shingle_similarity(w[i : i + n], v) for i in range(len(w) - n + 1))
                 if best >= leakage.NEAR - 1e-12:
@@ -104,7 +104,7 @@ def test_passages_with_changed_words_are_recalled(spark):
         assert got.items() <= want.items()
         assert {(r.doc_id, r.item_id) for r in rows if r.exact} == exact_pairs(docs, items)
         found, true, only_near = found + len(got), true + len(want), only_near + sum(x < 1 for x in want.values())
-    assert true > 200 and only_near > 150 and found >= 0.99 * true
+    assert true > 150 and only_near > 100 and found >= 0.99 * true
 
 
 def test_blocks_of_items_and_slabs_of_long_texts(spark, monkeypatch):

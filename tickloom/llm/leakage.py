@@ -12,7 +12,7 @@ expected distance at similarity NEAR and three standard deviations more.
 
 So large a radius is no filter for each window of a corpus. A bound that loses nothing comes first: of two windows with
 n shingles each, similarity NEAR leaves at most n * (1 - NEAR) / (1 + NEAR) unshared, so a window with more shingles
-that no item has needs no fingerprint.
+that no passage of its size has needs no fingerprint.
 
 The corpus is mapped over without a shuffle. The items are hashed in Spark and sent along in blocks of bounded size.
 """
@@ -147,7 +147,7 @@ class MultiIndex:
             key = ((fp >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype("int64")
             start = np.zeros((1 << width) + 1, "int64")
             np.cumsum(np.bincount(key, minlength=1 << width), out=start[1:])
-            self.tables.append((np.uint64(at), start, np.argsort(key, kind="stable")))
+            self.tables.append((np.uint64(at), start, np.argsort(key, kind="stable"), np.diff(start) > 0))
         near = np.arange(1 << width, dtype="int64")
         bits = np.bitwise_count(near)
         self.masks = [near[bits <= r] for r in range(BLOCK_RADIUS + 1)]
@@ -161,10 +161,12 @@ class MultiIndex:
             step = max(1, 1_000_000 // len(mask))
             for i in range(0, len(of), step):
                 g = of[i : i + step]
-                for at, start, order in self.tables:
+                for at, start, order, some in self.tables:
                     key = ((fp[g] >> at) & np.uint64(len(start) - 2)).astype("int64")[:, None] ^ mask
-                    row, place = _spread(start[key].ravel(), (start[key + 1] - start[key]).ravel())
-                    row, hit = g[row // len(mask)], order[place]
+                    full = np.flatnonzero(some[key])
+                    key = key.ravel()[full]
+                    row, place = _spread(start[key], start[key + 1] - start[key])
+                    row, hit = g[full[row] // len(mask)], order[place]
                     ok = np.bitwise_count(fp[row] ^ self.fp[hit]) <= most[row]
                     rows.append(row[ok])
                     found.append(hit[ok])
@@ -200,6 +202,18 @@ class Index:
         self.some = np.zeros(1 << 25, bool)
         within, at = _spread(base[:-1], n)
         self.some[(sh[at] >> np.uint64(39)).astype("int64")] = True
+        # Every shingle with the sizes of the passages that hold it.
+        held = np.unique(np.stack([sh[at], self.size[within].astype("uint64")]), axis=1)
+        self.held, self.held_size = held[0], held[1].astype("int64")
+
+    def sizes_of(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(size, position) of all given shingles that a passage of that size holds, ordered by size and position."""
+        at = np.flatnonzero(self.some[(sh >> np.uint64(39)).astype("int64")])
+        lo, hi = np.searchsorted(self.held, sh[at]), np.searchsorted(self.held, sh[at], side="right")
+        row, place = _spread(lo, hi - lo)
+        size, at = self.held_size[place], at[row]
+        order = np.lexsort((at, size))
+        return size[order], at[order]
 
     def shingle_counts(self, p: int) -> tuple[np.ndarray, np.ndarray]:
         if p not in self.counted:
@@ -248,10 +262,16 @@ def _wholes(sh: np.ndarray, seen: np.ndarray, sums: _Sums, ix: Index, inside, st
         size.append(words)
         whole.append(np.full(len(at), full))
 
+    held, place = ix.sizes_of(sh)
     for w in ix.sizes:
         n = int(w) - SHINGLE + 1
-        at = np.arange(max(len(seen) - n, 0))
-        at = at[seen[at + n] - seen[at] >= n - unshared(n)]
+        mine = place[np.searchsorted(held, w) : np.searchsorted(held, w, side="right")]
+        if len(mine) < n - unshared(n):
+            continue
+        own = np.zeros(len(sh) + 1, "int64")  # counts the shingles that passages of this size have
+        np.cumsum(np.bincount(mine, minlength=len(sh)), out=own[1:])
+        at = np.arange(max(len(own) - n, 0))
+        at = at[own[at + n] - own[at] >= n - unshared(n)]
         at = at[inside(at, int(w))]
         add(at, np.full(len(at), w), False)
     if len(ix.sizes):
