@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import ship, small
+from ..util import materialize, ship, small
 
 #: Bars of one imputation block; bounds the memory of a task, whatever a session's length.
 BLOCK = 4096
@@ -117,7 +117,7 @@ def regular_bars(ticks: DataFrame, sessions: DataFrame, instruments: DataFrame)
     us = F.col("_bar") * 1_000_000
     s = s.withColumn("_first", F.expr("unix_micros(schedule_open_utc) div (_bar * 1000000)") * F.col("_bar"))
     s = s.withColumn("_bars", ((F.unix_micros("schedule_close_utc") - 1 - F.col("_first") * 1_000_000) / us).cast("long") + 1)
-    s = s.where("schedule_close_utc > schedule_open_utc and _bars > 0").select("_s", "_bar", "_first", "_bars")
+    s = materialize(s.where("schedule_close_utc > schedule_open_utc and _bars > 0").select("_s", "_bar", "_first", "_bars"))
     t = ticks.where(F.col("last").isNotNull() & ~F.isnan("last") & (F.abs("last") != float("inf"))).select(
         F.col("session_id").alias("_s"), F.unix_micros("captured_at_utc").alias("_us"), "tick_id", F.col("last").cast("double").alias("last")
     )

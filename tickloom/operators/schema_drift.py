@@ -138,7 +138,7 @@ def _changes(exports: DataFrame, cell: DataFrame) -> tuple[DataFrame, DataFrame]
     # Values of the candidate fields alone, keyed by the later file.
     side = lone.join(v, "export_id").select("export_id", "name", "is_now", F.when(F.col("is_now"), F.col("export_id")).otherwise(F.col("prior_id")).alias("_file"))
     c = cell.where("id is not null and value is not null").select(F.col("export_id").alias("_file"), "id", "name", F.col("value").alias("_val"))
-    c = c.join(small(side), ["_file", "name"]).select("export_id", "id", "name", "is_now", "_val").distinct()
+    c = c.join(small(materialize(side)), ["_file", "name"]).select("export_id", "id", "name", "is_now", "_val").distinct()
     a = c.where("not is_now").select("export_id", "id", F.col("name").alias("prior_name"), F.col("_val").alias("_old"))
     b = c.where("is_now").select("export_id", "id", "name", F.col("_val").alias("_new"))
     same = a.join(b, ["export_id", "id"]).groupBy("export_id", "prior_name", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_old") == F.col("_new")).alias("eq"), F.count_distinct(F.when(F.col("_old") == F.col("_new"), F.col("_old"))).alias("kinds"))

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in rows, that an operator may broadcast after counting it.
-BROADCAST_ROWS = 400_000
+#: Largest table, in bytes on disk, that an operator may broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (a shuffle join).
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its plan's size is at most ``limit`` (BROADCAST_BYTES) bytes, else as it is (a
+    shuffle join).
 
-    ``df`` should be cheap to count: a written table or a small scan.
+    The size is the optimizer's: of a written table the bytes of its files, of a plan over files a bound that joins
+    only widen. No job runs.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def micros(c: Column | str) -> Column:
