@@ -78,7 +78,7 @@ def test_windows_are_nodes_of_the_cartesian_tree():
         codes = np.array([r.choice([97, 97, 98]) for _ in range(r.randrange(LENGTH, 400))], "uint32")
         s0, s1, c, sig, *_ = compact_windows(codes)
         at = np.arange(len(codes) - spans.GRAM + 1)
-        key = (spans.Prefix(codes, 0).of(at, at + spans.GRAM) >> np.uint64(24)).tolist()
+        key = (spans.Prefix(codes).of(at, at + spans.GRAM) >> np.uint64(24)).tolist()
         found = set()
 
         def tree(lo, hi):
@@ -94,5 +94,24 @@ def test_windows_are_nodes_of_the_cartesian_tree():
         assert set(zip(s0.tolist(), s1.tolist(), c.tolist())) == found
 
 
+def test_pieces_have_one_set_of_smallest_grams():
+    r = random.Random(8)
+    codes = np.array([r.randrange(97, 100) for _ in range(700)], "uint32")
+    s0, s1, *_ = compact_windows(codes)
+    row, p0, p1, joint, _ = spans.joint_pieces(codes, s0, s1)
+    assert (np.sort(np.concatenate([np.arange(a, b + 1) for a, b in zip(p0, p1)])) == np.arange(len(codes) - LENGTH + 1)).all()
+    assert (p0 >= s0[row]).all() and (p1 <= s1[row]).all() and len(row) > len(s0)
+    for a, b, j in zip(p0, p1, joint):
+        for s in range(a, b + 1):  # the signature of a stretch depends on its own characters alone
+            *_, alone, _ = spans.joint_pieces(codes[s : s + LENGTH], np.array([0]), np.array([0]))
+            assert alone.tolist() == [j]
+
+
+def test_joins_of_tables_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("tickloom.util.BROADCAST_BYTES", -1)
+    docs = make(9)
+    assert run(spark, docs) == brute(docs)
+
+
 def test_empty(spark):
     assert run(spark, []) == set()

@@ -1,10 +1,13 @@
 """Long spans of text that stand verbatim in more than one record.
 
-Every text is cut into compact windows: over the hashes of its character grams, each window is the set of all
-stretches of LENGTH characters that share their smallest gram - a node of the Cartesian tree over the hashes,
-as far as it holds stretches of that length. Two equal stretches lie in windows with equal signatures, so one
-hash function misses nothing. Windows are joined by signature without making pairs: equal windows fall into one
-class; only classes that differ under one signature have their stretches compared, by two independent hashes.
+Tokens are the grams of GRAM characters; three hash functions order them. Under the first, every text is cut into
+compact windows: each is the set of all stretches of LENGTH characters that share their smallest gram - a node of the
+Cartesian tree over the hashes, as far as it holds stretches of that length. Windows are grouped by signature without
+making pairs: equal windows fall into one class, which is shared if more than one record holds it. Where classes
+differ under one signature, the windows of the other hash functions are joined to theirs by overlap of their intervals
+of starts: a piece between two borders has one joint signature, the smallest grams under all functions and how far
+they lie apart. Two equal stretches have equal joint signatures, so none is missed. Where different records share one,
+the stretches are verified, each by a hash of its LENGTH characters within its joint signature.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import materialize, ship
+from ..util import materialize, ship, small
 
 #: Characters of the shortest shared span.
 LENGTH = 100
@@ -24,10 +27,12 @@ LENGTH = 100
 GRAM = 50
 #: Characters hashed at once; longer texts are cut with overlap, so their spans stay whole.
 CHUNK = 1 << 20
+#: Multipliers that make the second and third hash function out of the first.
+ORDERS = (0xD1342543DE82EF95, 0xDA942042E4DD58B5)
 
 _STARTS = LENGTH - GRAM + 1  # grams of a stretch
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's constants
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,36 +41,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the base and of its inverse modulo 2^64."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, 4096)
-        inv = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inv):
-            p = np.full(size, b, "uint64")
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(max(n, 4096), b, "uint64")
             p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers[base] = (out[0], out[1])
-    a, b = _powers[base]
-    return a[:n], b[:n]
+            _powers.append(np.multiply.accumulate(p))
+    return _powers[0][:n], _powers[1][:n]
 
 
 class Prefix:
     """Hashes of any stretches of one text: sums of mixed characters times powers of an odd base."""
 
-    def __init__(self, codes: np.ndarray, which: int):
+    def __init__(self, codes: np.ndarray):
         n = len(codes)
-        up, self.down = _power(_BASES[which], n + 1)
+        up, self.down = _power(n + 1)
         self.sum = np.zeros(n + 1, "uint64")
-        np.cumsum(_mix(codes.astype("uint64") * np.uint64(2) + np.uint64(1 + which)) * up[:n], out=self.sum[1:])
+        np.cumsum(_mix(codes.astype("uint64") * np.uint64(2) + np.uint64(1)) * up[:n], out=self.sum[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sum[end] - self.sum[start]) * self.down[start])
 
+    def grams(self) -> np.ndarray:
+        n = len(self.sum) - GRAM
+        return _mix((self.sum[GRAM:] - self.sum[:n]) * self.down[:n])
+
 
 def smallest(h: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` values the position of its smallest, of ties the leftmost."""
@@ -80,15 +85,41 @@ def smallest(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def compact_windows(codes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first start, last start, anchor, signature, content hashes a and b) of each compact window of a text of at least LENGTH characters."""
-    a, b = Prefix(codes, 0), Prefix(codes, 1)
-    at = np.arange(len(codes) - GRAM + 1)
-    gram = a.of(at, at + GRAM)
+    """(first start, last start, anchor, signature, content hash) of each compact window of a text of at least LENGTH characters."""
+    h = Prefix(codes)
+    gram = h.grams()
     centre = smallest(gram, _STARTS)
     cut = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
     s0, s1 = cut, np.r_[cut[1:], len(centre)] - 1
     c = centre[cut]
-    return s0, s1, c, gram[c], a.of(s0, s1 + LENGTH), b.of(s0, s1 + LENGTH)
+    return s0, s1, c, gram[c], h.of(s0, s1 + LENGTH)
+
+
+def joint_pieces(codes: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(window, first start, last start, joint signature) of the pieces into which the windows of the other hash
+    functions cut the given windows of the first; and the hash of every stretch of the text."""
+    h = Prefix(codes)
+    gram = h.grams()
+    first = smallest(gram, _STARTS)
+    joint = gram[first]
+    border = np.zeros(len(first), bool)
+    for k in ORDERS:
+        centre = smallest(_mix(gram * np.uint64(k)), _STARTS)
+        border[1:] |= centre[1:] != centre[:-1]
+        # The anchors' distance belongs to the signature.
+        joint = _mix(joint + _mix(gram[centre] + (centre - first).astype("uint64") * np.uint64(_BASE)))
+    # Interval join: a window goes from border to border.
+    cuts = np.flatnonzero(border)
+    lo, hi = np.searchsorted(cuts, s0, side="right"), np.searchsorted(cuts, s1, side="right")
+    n = hi - lo + 1
+    row = np.repeat(np.arange(len(n)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    edge = np.r_[cuts, 0]
+    at = edge[np.minimum(lo[row] + k - 1, len(cuts))] if len(cuts) else np.zeros(len(row), "int64")
+    p0 = np.where(k == 0, s0[row], at)
+    p1 = np.where(k == n[row] - 1, s1[row], np.r_[p0[1:], 0] - 1)
+    starts = np.arange(len(codes) - LENGTH + 1)
+    return row, p0, p1, joint[p0], h.of(starts, starts + LENGTH)
 
 
 def _chunks(text: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -99,25 +130,29 @@ def _chunks(text: str) -> Iterator[tuple[int, np.ndarray]]:
         yield k, codes[k : k + CHUNK + LENGTH - 1]
 
 
-_WINDOWS = "doc_id long, s0 int, s1 int, sig long, ha long, hb long"
+_WINDOWS = "doc_id long, s0 int, s1 int, sig long, x long"
+_PIECES = "j long, sig long, x long, lo long, hi long, at int, y array<long>"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _WINDOWS.split(", ")]
     for b in batches:
         parts: list[tuple] = []
         size = 0
 
         def emit():
-            row = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
-            cols = [np.concatenate([p[i] for p in parts]) for i in range(1, 6)]
-            arrays = [b.column(0).take(pa.array(row)), *[pa.array(c.astype("int32")) for c in cols[:2]], *[pa.array(c.view("int64")) for c in cols[2:]]]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+            row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+            s0, s1, sig, x = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+            cols = [b.column(0).take(pa.array(row)), pa.array(s0.astype("int32")), pa.array(s1.astype("int32")), pa.array(sig.view("int64")), pa.array(x.view("int64"))]
+            return pa.RecordBatch.from_arrays(cols, names=_names(_WINDOWS))
 
         for i, t in enumerate(b.column(1).to_pylist()):
             for base, codes in _chunks(t or ""):
-                s0, s1, _, sig, ha, hb = compact_windows(codes)
-                parts.append((i, s0 + base, s1 + base, sig, ha, hb))
+                s0, s1, _, sig, x = compact_windows(codes)
+                parts.append((i, s0 + base, s1 + base, sig, x))
                 size += len(s0)
                 if size > 100_000:
                     yield emit()
@@ -126,29 +161,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield emit()
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every stretch of the listed windows of a text."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of the listed windows (sig, x, s0, s1, lo, hi) of a text, each with the hashes of its stretches."""
     for b in batches:
         for i, t in enumerate(b.column(0).to_pylist()):
-            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
-            ha, hb, s0, s1, one, many = (np.asarray(b.column(k)[i].values).astype("int64") for k in range(1, 7))
-            for k in range(0, len(codes) - LENGTH + 1, CHUNK):
-                # Each chunk takes the starts that fall into it.
-                lo, hi = np.maximum(s0, k), np.minimum(s1, min(k + CHUNK, len(codes) - LENGTH + 1) - 1)
-                n = np.maximum(hi - lo + 1, 0)
-                if not n.sum():
+            lists = [np.asarray(b.column(k)[i].values).astype("int64") for k in range(1, 7)]
+            for base, codes in _chunks(t):
+                here = np.flatnonzero(lists[2] // CHUNK == base // CHUNK)
+                if not len(here):
                     continue
-                piece = codes[k : k + CHUNK + LENGTH - 1]
-                pa_, pb = Prefix(piece, 0), Prefix(piece, 1)
-                row = np.repeat(np.arange(len(n)), n)
-                start = lo[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                x, y = pa_.of(start - k, start - k + LENGTH), pb.of(start - k, start - k + LENGTH)
-                for m in range(0, len(row), 100_000):
-                    s = slice(m, m + 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ha[row[s]]), pa.array(hb[row[s]]), pa.array((start[s] - s0[row[s]]).astype("int32")), pa.array(x[s].view("int64")), pa.array(y[s].view("int64")), pa.array(one[row[s]]), pa.array(many[row[s]])],
-                        names=["ha", "hb", "at", "x", "y", "lo", "hi"],
-                    )
+                sig, x, s0, s1, lo, hi = (v[here] for v in lists)
+                row, p0, p1, joint, y = joint_pieces(codes, s0 - base, s1 - base)
+                n = p1 - p0 + 1
+                for k in range(0, len(row), 10_000):
+                    r, m = row[k : k + 10_000], n[k : k + 10_000]
+                    flat = np.repeat(p0[k : k + 10_000] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    each = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)].astype("int32")), pa.array(y[flat].view("int64")))
+                    cols = [joint[k : k + 10_000].view("int64"), sig[r], x[r], lo[r], hi[r], (p0[k : k + 10_000] + base - s0[r]).astype("int32")]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), each], names=_names(_PIECES))
 
 
 def shared_spans(docs: DataFrame) -> DataFrame:
@@ -156,29 +186,34 @@ def shared_spans(docs: DataFrame) -> DataFrame:
     LENGTH characters found verbatim in the text of another doc_id.
 
     Positions count code points; span_end is exclusive. Null, empty and shorter texts share nothing; rows with a
-    null doc_id are left out; repeated rows of one doc_id are one record, so its own repeats do not count.
-    Equality is that of two independent 64-bit hashes. No pairs of records are made, and no group is collected.
+    null doc_id are left out; repeated rows of one doc_id are one record, so its own repeats do not count. Windows and
+    stretches are compared by 64-bit hashes of their text, and only under one 64-bit signature. No pairs of records
+    are made, and no group is collected.
     """
     ship(docs.sparkSession)
     d = docs.where(f"doc_id is not null and length(text) >= {LENGTH}").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     win = materialize(d.mapInArrow(_windows, _WINDOWS))
-    key = ["ha", "hb"]  # the content tells everything else about a window
-    # Classes of equal windows, with the range of the documents that hold them.
-    cls = win.groupBy("sig", *key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "s0", "s1")).alias("rep"))
-    sigs = cls.groupBy("sig").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi"), F.count(F.lit(1)).alias("classes")).where("slo < shi").select("sig", "classes")
-    cls = materialize(cls.join(sigs, "sig").select(*key, "lo", "hi", "rep", "classes"))
-    # Classes that differ from others of their signature: compare the stretches of one representative each.
-    todo = cls.where("classes > 1").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(*key, "rep.s0", "rep.s1", "lo", "hi")).alias("w"))
-    texts = d.join(todo, "doc_id").select("text", "w.ha", "w.hb", "w.s0", "w.s1", "w.lo", "w.hi")
-    # The range of documents goes along with its window, so the stretches are shuffled by their hashes alone.
-    st = materialize(texts.mapInArrow(_stretches, "ha long, hb long, at int, x long, y long, lo long, hi long"))
-    common = st.groupBy("x", "y").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("x", "y")
-    part = st.where("lo = hi").join(common, ["x", "y"], "left_semi").select(*key, "at").distinct()
+    several = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")]  # more than one record if these differ
+    sigs = materialize(win.groupBy("sig").agg(*several).where("lo < hi").select("sig"))
+    win = materialize(win.join(small(sigs), "sig", "left_semi").select("doc_id", "s0", "s1", "sig", "x"))
+    # Classes of equal windows: the signature and the content tell everything else about a window.
+    key = ["sig", "x"]
+    cls = materialize(win.groupBy(*key).agg(*several, F.min(F.struct("doc_id", "s0", "s1")).alias("rep")))
+    open_ = materialize(cls.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"))
+    # Classes that differ from others of their signature: one representative each goes back to its text.
+    todo = cls.join(small(open_), "sig", "left_semi").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(*key, "rep.s0", "rep.s1", "lo", "hi")).alias("w"))
+    texts = d.join(small(materialize(todo)), "doc_id").select("text", "w.sig", "w.x", "w.s0", "w.s1", "w.lo", "w.hi")
+    p = materialize(texts.mapInArrow(_pieces, _PIECES))
+    joint = materialize(p.groupBy("j").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("j"))
+    st = p.join(small(joint), "j", "left_semi").select("j", *key, "lo", "hi", "at", F.posexplode("y").alias("_k", "y"))
+    st = materialize(st.withColumn("at", F.col("at") + F.col("_k")).drop("_k"))
+    common = materialize(st.groupBy("j", "y").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("j", "y"))
+    part = st.where("lo = hi").join(small(common), ["j", "y"], "left_semi").select(*key, "at").distinct()
     # Runs of neighbouring starts of a class.
     o = Window.partitionBy(*key).orderBy("at")
     part = part.withColumn("run", F.col("at") - F.row_number().over(o)).groupBy(*key, "run").agg(F.min("at").alias("a"), F.max("at").alias("b")).select(*key, "a", "b")
     whole = cls.where("lo < hi").select(*key, F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
-    hits = win.join(whole.unionByName(part), key).select("doc_id", (F.col("s0") + F.col("a")).alias("s"), (F.coalesce(F.col("s0") + F.col("b"), F.col("s1")) + LENGTH).alias("e"))
+    hits = win.join(small(materialize(whole.unionByName(part))), key).select("doc_id", (F.col("s0") + F.col("a")).alias("s"), (F.coalesce(F.col("s0") + F.col("b"), F.col("s1")) + LENGTH).alias("e"))
     return merge_spans(hits)
 
 
