@@ -66,9 +66,9 @@ def test_long_texts_in_chunks(spark, monkeypatch):
     assert run(spark, docs) == want
     text_windows = []
     monkeypatch.setattr(spans, "CHUNK", 777)
-    for base, codes in spans._chunks(a):
-        s0, s1, *_ = compact_windows(codes)
-        text_windows += [(base + x, base + y) for x, y in zip(s0, s1)]
+    for codes, _, base, first, n in spans._groups([a], 1000):
+        t, s0, s1, *_ = compact_windows(codes, first, n)
+        text_windows += [(int(x), int(y)) for x, y in zip(s0 + (base - first)[t], s1 + (base - first)[t])]
     assert text_windows[0][0] == 0 and text_windows[-1][1] == len(a) - LENGTH and all(y + 1 == x for (_, y), (x, _) in zip(text_windows, text_windows[1:]))
 
 
@@ -76,7 +76,7 @@ def test_windows_are_nodes_of_the_cartesian_tree():
     r = random.Random(6)
     for _ in range(30):
         codes = np.array([r.choice([97, 97, 98]) for _ in range(r.randrange(LENGTH, 400))], "uint32")
-        s0, s1, c, sig, *_ = compact_windows(codes)
+        _, s0, s1, c, *_ = compact_windows(codes)
         at = np.arange(len(codes) - spans.GRAM + 1)
         key = (spans.Prefix(codes).of(at, at + spans.GRAM) >> np.uint64(24)).tolist()
         found = set()
@@ -97,13 +97,13 @@ def test_windows_are_nodes_of_the_cartesian_tree():
 def test_pieces_have_one_set_of_smallest_grams():
     r = random.Random(8)
     codes = np.array([r.randrange(97, 100) for _ in range(700)], "uint32")
-    s0, s1, *_ = compact_windows(codes)
-    row, p0, p1, joint, _ = spans.joint_pieces(codes, s0, s1)
+    _, s0, s1, *_ = compact_windows(codes)
+    row, p0, p1, joint, *_ = spans.joint_pieces(codes, s0, s1)
     assert (np.sort(np.concatenate([np.arange(a, b + 1) for a, b in zip(p0, p1)])) == np.arange(len(codes) - LENGTH + 1)).all()
     assert (p0 >= s0[row]).all() and (p1 <= s1[row]).all() and len(row) > len(s0)
     for a, b, j in zip(p0, p1, joint):
         for s in range(a, b + 1):  # the signature of a stretch depends on its own characters alone
-            *_, alone, _ = spans.joint_pieces(codes[s : s + LENGTH], np.array([0]), np.array([0]))
+            *_, alone, _, _ = spans.joint_pieces(codes[s : s + LENGTH], np.array([0]), np.array([0]))
             assert alone.tolist() == [j]
 
 

@@ -84,20 +84,29 @@ def smallest(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(tail[:n], head[width - 1 : width - 1 + n]) & np.uint64((1 << 24) - 1)).astype("int64")
 
 
-def compact_windows(codes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first start, last start, anchor, signature, content hash) of each compact window of a text of at least LENGTH characters."""
+def compact_windows(codes: np.ndarray, first: np.ndarray | None = None, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, first start, last start, anchor, signature, content hash) of each compact window of texts that stand one
+    after the other, each from ``first`` on with ``n`` characters; of one text, if these are not given."""
+    first = np.zeros(1, "int64") if first is None else first
+    starts = np.maximum((np.array([len(codes)]) if n is None else n) - LENGTH + 1, 0)
+    text = np.repeat(np.arange(len(first)), starts)
+    if not len(text):
+        none = np.zeros(0, "int64")
+        return none, none, none, none, none.view("uint64"), none.view("uint64")
     h = Prefix(codes)
     gram = h.grams()
-    centre = smallest(gram, _STARTS)
-    cut = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
-    s0, s1 = cut, np.r_[cut[1:], len(centre)] - 1
+    # Stretches across the border of two texts are left out; those inside a text hold its own grams alone.
+    start = np.arange(len(text)) + np.repeat(first - np.cumsum(starts) + starts, starts)
+    centre = smallest(gram, _STARTS)[start]
+    cut = np.flatnonzero(np.r_[True, (centre[1:] != centre[:-1]) | (text[1:] != text[:-1])])
+    s0, s1 = start[cut], start[np.r_[cut[1:], len(text)] - 1]
     c = centre[cut]
-    return s0, s1, c, gram[c], h.of(s0, s1 + LENGTH)
+    return text[cut], s0, s1, c, gram[c], h.of(s0, s1 + LENGTH)
 
 
 def joint_pieces(codes: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(window, first start, last start, joint signature) of the pieces into which the windows of the other hash
-    functions cut the given windows of the first; and the hash of every stretch of the text."""
+    """(window, first start, last start, joint signature, content hash) of the pieces into which the windows of the other
+    hash functions cut the given windows of the first; and the hash of every stretch of the text."""
     h = Prefix(codes)
     gram = h.grams()
     first = smallest(gram, _STARTS)
@@ -119,19 +128,37 @@ def joint_pieces(codes: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> tuple[np.
     p0 = np.where(k == 0, s0[row], at)
     p1 = np.where(k == n[row] - 1, s1[row], np.r_[p0[1:], 0] - 1)
     starts = np.arange(len(codes) - LENGTH + 1)
-    return row, p0, p1, joint[p0], h.of(starts, starts + LENGTH)
-
-
-def _chunks(text: str) -> Iterator[tuple[int, np.ndarray]]:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    if len(codes) < LENGTH:
-        return
-    for k in range(0, len(codes) - LENGTH + 1, CHUNK):
-        yield k, codes[k : k + CHUNK + LENGTH - 1]
+    return row, p0, p1, joint[p0], h.of(p0, p1 + LENGTH), h.of(starts, starts + LENGTH)
+
+
+def _groups(texts: list[str | None], size: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(characters, row, base, first, n) of groups of texts that are handled together: each text, or chunk of a long one,
+    has its row, the place in its text where it begins, and its place and length in the group."""
+    parts: list[np.ndarray] = []
+    row: list[int] = []
+    base: list[int] = []
+    held = 0
+
+    def group():
+        n = np.array([len(p) for p in parts])
+        return np.concatenate(parts), np.array(row), np.array(base), np.cumsum(n) - n, n
+
+    for i, t in enumerate(texts):
+        codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4")
+        for k in range(0, len(codes) - LENGTH + 1, CHUNK):
+            parts.append(codes[k : k + CHUNK + LENGTH - 1])
+            row.append(i)
+            base.append(k)
+            held += len(parts[-1])
+            if held >= size:
+                yield group()
+                parts, row, base, held = [], [], [], 0
+    if parts:
+        yield group()
 
 
 _WINDOWS = "doc_id long, s0 int, s1 int, sig long, x long"
-_PIECES = "j long, sig long, x long, lo long, hi long, at int, y array<long>"
+_PIECES = "j long, z long, sig long, x long, lo long, hi long, at int, y array<long>"
 
 
 def _names(schema: str) -> list[str]:
@@ -140,45 +167,36 @@ def _names(schema: str) -> list[str]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        parts: list[tuple] = []
-        size = 0
-
-        def emit():
-            row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-            s0, s1, sig, x = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
-            cols = [b.column(0).take(pa.array(row)), pa.array(s0.astype("int32")), pa.array(s1.astype("int32")), pa.array(sig.view("int64")), pa.array(x.view("int64"))]
-            return pa.RecordBatch.from_arrays(cols, names=_names(_WINDOWS))
-
-        for i, t in enumerate(b.column(1).to_pylist()):
-            for base, codes in _chunks(t or ""):
-                s0, s1, _, sig, x = compact_windows(codes)
-                parts.append((i, s0 + base, s1 + base, sig, x))
-                size += len(s0)
-                if size > 100_000:
-                    yield emit()
-                    parts, size = [], 0
-        if parts:
-            yield emit()
+        for codes, row, base, first, n in _groups(b.column(1).to_pylist()):
+            text, s0, s1, _, sig, x = compact_windows(codes, first, n)
+            move = (base - first)[text]
+            cols = [b.column(0).take(pa.array(row[text])), pa.array((s0 + move).astype("int32")), pa.array((s1 + move).astype("int32")), pa.array(sig.view("int64")), pa.array(x.view("int64"))]
+            yield pa.RecordBatch.from_arrays(cols, names=_names(_WINDOWS))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of the listed windows (sig, x, s0, s1, lo, hi) of a text, each with the hashes of its stretches."""
     for b in batches:
-        for i, t in enumerate(b.column(0).to_pylist()):
-            lists = [np.asarray(b.column(k)[i].values).astype("int64") for k in range(1, 7)]
-            for base, codes in _chunks(t):
-                here = np.flatnonzero(lists[2] // CHUNK == base // CHUNK)
-                if not len(here):
-                    continue
-                sig, x, s0, s1, lo, hi = (v[here] for v in lists)
-                row, p0, p1, joint, y = joint_pieces(codes, s0 - base, s1 - base)
-                n = p1 - p0 + 1
-                for k in range(0, len(row), 10_000):
-                    r, m = row[k : k + 10_000], n[k : k + 10_000]
-                    flat = np.repeat(p0[k : k + 10_000] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    each = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)].astype("int32")), pa.array(y[flat].view("int64")))
-                    cols = [joint[k : k + 10_000].view("int64"), sig[r], x[r], lo[r], hi[r], (p0[k : k + 10_000] + base - s0[r]).astype("int32")]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), each], names=_names(_PIECES))
+        lists = [b.column(k) for k in range(1, 7)]
+        begin = lists[0].offsets.to_numpy()
+        sig, x, s0, s1, lo, hi = (v.values.to_numpy().astype("int64") for v in lists)
+        for codes, text, base, first, _ in _groups(b.column(0).to_pylist()):
+            # The windows of each text or chunk; a window lies in one chunk.
+            count = begin[text + 1] - begin[text]
+            unit = np.repeat(np.arange(len(text)), count)
+            w = np.repeat(begin[text], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            here = s0[w] // CHUNK == base[unit] // CHUNK
+            unit, w = unit[here], w[here]
+            move = (first - base)[unit]
+            row, p0, p1, joint, z, y = joint_pieces(codes, s0[w] + move, s1[w] + move)
+            n = p1 - p0 + 1
+            for k in range(0, len(row), 10_000):
+                s = slice(k, k + 10_000)
+                r, m = w[row[s]], n[s]
+                flat = np.repeat(p0[s] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                each = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)].astype("int32")), pa.array(y[flat].view("int64")))
+                at = (p0[s] - move[row[s]] - s0[r]).astype("int32")
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (joint[s].view("int64"), z[s].view("int64"), sig[r], x[r], lo[r], hi[r], at)), each], names=_names(_PIECES))
 
 
 def shared_spans(docs: DataFrame) -> DataFrame:
@@ -204,16 +222,22 @@ def shared_spans(docs: DataFrame) -> DataFrame:
     todo = cls.join(small(open_), "sig", "left_semi").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(*key, "rep.s0", "rep.s1", "lo", "hi")).alias("w"))
     texts = d.join(small(materialize(todo)), "doc_id").select("text", "w.sig", "w.x", "w.s0", "w.s1", "w.lo", "w.hi")
     p = materialize(texts.mapInArrow(_pieces, _PIECES))
-    joint = materialize(p.groupBy("j").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("j"))
-    st = p.join(small(joint), "j", "left_semi").select("j", *key, "lo", "hi", "at", F.posexplode("y").alias("_k", "y"))
-    st = materialize(st.withColumn("at", F.col("at") + F.col("_k")).drop("_k"))
+    several = [F.min("lo").alias("a"), F.max("hi").alias("b"), F.count(F.lit(1)).alias("n")]
+    alike = materialize(p.groupBy("j", "z").agg(*several))
+    # A joint signature with one content needs no more; under one with several, only stretches of contents of one record are open.
+    joint = alike.groupBy("j").agg(F.min("a").alias("_a"), F.max("b").alias("_b"), F.count(F.lit(1)).alias("n")).where("_a < _b and n > 1").select("j")
+    joint = materialize(joint)
+    same = materialize(alike.where("a < b and n > 1").select("j", "z"))
+    met = p.where("lo = hi").join(small(same), ["j", "z"], "left_semi").select(*key, F.col("at").alias("a"), (F.col("at") + F.size("y") - 1).alias("b"))
+    st = p.join(small(joint), "j", "left_semi").join(small(same.withColumn("_s", F.lit(True))), ["j", "z"], "left")
+    st = materialize(st.select("j", "z", *key, "lo", "hi", "at", "_s", F.posexplode("y").alias("_k", "y")).withColumn("at", F.col("at") + F.col("_k")).drop("_k"))
     common = materialize(st.groupBy("j", "y").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("j", "y"))
-    part = st.where("lo = hi").join(small(common), ["j", "y"], "left_semi").select(*key, "at").distinct()
+    part = st.where("lo = hi and _s is null").join(small(common), ["j", "y"], "left_semi").select(*key, "at").distinct()
     # Runs of neighbouring starts of a class.
     o = Window.partitionBy(*key).orderBy("at")
     part = part.withColumn("run", F.col("at") - F.row_number().over(o)).groupBy(*key, "run").agg(F.min("at").alias("a"), F.max("at").alias("b")).select(*key, "a", "b")
     whole = cls.where("lo < hi").select(*key, F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
-    hits = win.join(small(materialize(whole.unionByName(part))), key).select("doc_id", (F.col("s0") + F.col("a")).alias("s"), (F.coalesce(F.col("s0") + F.col("b"), F.col("s1")) + LENGTH).alias("e"))
+    hits = win.join(small(materialize(whole.unionByName(part).unionByName(met))), key).select("doc_id", (F.col("s0") + F.col("a")).alias("s"), (F.coalesce(F.col("s0") + F.col("b"), F.col("s1")) + LENGTH).alias("e"))
     return merge_spans(hits)
 
 
