@@ -46,6 +46,23 @@ def test_no_shared_records_empty_and_first_files(spark):
     assert report(files(spark)) == set()
 
 
+def test_profiles_find_a_rename_without_shared_records(spark):
+    a = [{"id": f"a{i}", "initial_drop": i + 0.5, "stage": f"s{i % 2}", "old": f"o{i}"} for i in range(8)]
+    b = [{"id": f"b{i}", "initial_drop_pct": f"{i + 0.5}", "fresh": f"n{i}", "mood": f"s{i % 2}"} for i in range(8)]
+    assert report(files(spark, a, b)) == {
+        (1, "renamed", "initial_drop_pct", "initial_drop"), (1, "retyped", "initial_drop_pct", ""), (1, "removed", "old", ""), (1, "added", "fresh", ""),
+        (1, "removed", "stage", ""), (1, "added", "mood", ""),  # two values under different names are too little
+    }
+
+
+def test_two_spellings_beside_each_other_stay_two_columns(spark):
+    a = [{"id": f"a{i}", "drop": i + 0.5} for i in range(6)]
+    df = files(spark, a, [{"id": r["id"], "drop_pct": r["drop"]} for r in a]).unionByName(files(spark, [], [], [{"id": "b", "drop": 1.5, "drop_pct": 5.5}], bot=2))
+    rows = {(r.export_id, r.id): r for r in unified_cycles(df).collect()}
+    assert (rows[2, "b"].drop, rows[2, "b"].drop_pct) == ("1.5", "5.5")
+    assert all(rows[f, f"a{i}"].drop == str(i + 0.5) and rows[f, f"a{i}"].drop_pct is None for f in (0, 1) for i in range(6))
+
+
 def test_unified_table_follows_renames(spark):
     a = [{"id": f"c{i}", "p": i + 0.5} for i in range(5)]
     b = [{"id": f"c{i}", "price": f"{i + 0.5}"} for i in range(5)]

@@ -1,9 +1,10 @@
 """One table out of files whose fields drift, with a report of every change.
 
 Every file's columns are profiled (type class, share of nulls, a bottom-k sketch of the values, the name).
-Fields that are gone and fields that are new between two versions form a bipartite graph whose weights come
-from the values the shared records carry, the sketches and the names; an optimal matching finds the renames.
-Chains of renames then map every spelling to one unified column.
+Fields that are gone and fields that are new between two versions form a bipartite graph: an edge joins two that have
+sketch values in common or agree on shared records, and its weight is made of that agreement, the sketches, the types
+and the names; an optimal matching finds the renames. Shared records decide where there are any, the profiles alone
+where there are none. Chains of renames then map every spelling to one unified column, bot by bot.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..util import materialize, ship, small
 AGREE = 0.8
 #: Values kept in a column's sketch.
 SKETCH = 16
+#: Least share of common sketch values for a rename between fields that no shared record carries both of.
+ALIKE = 0.5
 
 
 def _number(t: Column) -> Column:
@@ -56,9 +59,9 @@ def cells(exports: DataFrame) -> DataFrame:
 
 
 def versions(exports: DataFrame) -> DataFrame:
-    """(export_id, prior_id): each file and the same bot's file before it, by exported_at (ties: export_id). A bot's first file has null."""
+    """(export_id, bot_id, prior_id): each file and the same bot's file before it, by exported_at (ties: export_id). A bot's first file has null."""
     files = exports.where("export_id is not null").groupBy("export_id").agg(F.min(F.struct("bot_id", "exported_at")).alias("f")).select("export_id", "f.*")
-    return files.select("export_id", F.lag("export_id").over(Window.partitionBy("bot_id").orderBy("exported_at", "export_id")).alias("prior_id"))
+    return files.select("export_id", "bot_id", F.lag("export_id").over(Window.partitionBy("bot_id").orderBy("exported_at", "export_id")).alias("prior_id"))
 
 
 def profiles(cell: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def _changes(exports: DataFrame, cell: DataFrame) -> tuple[DataFrame, DataFrame]
         F.first(F.when(F.col("now") == 1, F.col("sketch")), True).alias("sketch"), F.first(F.when(F.col("now") == 0, F.col("sketch")), True).alias("prior_sketch"),
     )
     both = materialize(both)
-    lone = both.where("is_now <> was").select("export_id", "name", "is_now", F.coalesce("sketch", "prior_sketch").alias("sketch"))
+    lone = both.where("is_now <> was").select("export_id", "name", "is_now", F.coalesce("sketch", "prior_sketch").alias("sketch"), F.coalesce("kind", "prior_kind").alias("kind"))
     # Only versions with fields on both sides can hold a rename.
     open_ = lone.groupBy("export_id").agg(F.max("is_now").alias("x"), F.min("is_now").alias("y")).where("x and not y").select("export_id")
     lone = materialize(lone.join(open_, "export_id", "left_semi"))
@@ -141,18 +144,27 @@ def _changes(exports: DataFrame, cell: DataFrame) -> tuple[DataFrame, DataFrame]
     c = c.join(small(materialize(side)), ["_file", "name"]).select("export_id", "id", "name", "is_now", "_val").distinct()
     a = c.where("not is_now").select("export_id", "id", F.col("name").alias("prior_name"), F.col("_val").alias("_old"))
     b = c.where("is_now").select("export_id", "id", "name", F.col("_val").alias("_new"))
-    same = a.join(b, ["export_id", "id"]).groupBy("export_id", "prior_name", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_old") == F.col("_new")).alias("eq"), F.count_distinct(F.when(F.col("_old") == F.col("_new"), F.col("_old"))).alias("kinds"))
-    sk = lone.where("is_now").select("export_id", "name", F.col("sketch").alias("_a"))
-    ps = lone.where("not is_now").select("export_id", F.col("name").alias("prior_name"), F.col("sketch").alias("_b"))
-    alike = F.size(F.array_intersect("_a", "_b")) / F.greatest(F.size(F.array_union("_a", "_b")), F.lit(1))
+    same = materialize(a.join(b, ["export_id", "id"]).groupBy("export_id", "prior_name", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_old") == F.col("_new")).alias("eq"), F.count_distinct(F.when(F.col("_old") == F.col("_new"), F.col("_old"))).alias("kinds")))
+    # Candidates: pairs with a sketch value in common, and pairs that meet in shared records. Neither makes all pairs.
+    hashes = lone.select("export_id", "name", "is_now", F.explode("sketch").alias("_h"))
+    met = hashes.where("is_now").join(hashes.where("not is_now").select("export_id", "_h", F.col("name").alias("prior_name")), ["export_id", "_h"])
+    pairs = met.select("export_id", "prior_name", "name").unionByName(same.select("export_id", "prior_name", "name")).distinct()
+    sk = lone.where("is_now").select("export_id", "name", F.col("sketch").alias("_a"), F.col("kind").alias("_ka"))
+    ps = lone.where("not is_now").select("export_id", F.col("name").alias("prior_name"), F.col("sketch").alias("_b"), F.col("kind").alias("_kb"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    alike = F.coalesce(common / F.greatest(F.size(F.array_union("_a", "_b")), F.lit(1)), F.lit(0.0))
     flat = lambda n: F.regexp_replace(F.lower(n), "[^a-z0-9]", "")
     name = 1 - F.levenshtein(flat("name"), flat("prior_name")) / F.greatest(F.length("name"), F.length("prior_name"), F.lit(1))
-    # Agreement counts most; more different agreeing values, alike sketches and alike names decide between equals.
-    edges = same.where(f"eq >= {AGREE} * n").join(sk, ["export_id", "name"]).join(ps, ["export_id", "prior_name"])
-    weight = F.col("eq") / F.col("n") + 0.2 * F.least(F.col("kinds"), F.lit(8)) / 8 + 0.1 * F.coalesce(alike, F.lit(0.0)) + 0.2 * name
-    # A pair that agrees in one value only (flags, constants) must also be alike in name.
-    ok = (F.col("kinds") >= 3) | (name >= 0.4)
-    edges = edges.where(ok).select("export_id", "prior_name", "name", weight.alias("weight"))
+    edges = pairs.join(same, ["export_id", "prior_name", "name"], "left").join(sk, ["export_id", "name"]).join(ps, ["export_id", "prior_name"])
+    # With shared records: they must agree, in several different values (flags and constants agree by chance) or under
+    # an alike name. Without: the profiles must agree so.
+    shared = (F.col("eq") >= AGREE * F.col("n")) & ((F.col("kinds") >= 3) | (name >= 0.4))
+    profiled = (alike >= ALIKE) & ((common >= 4) | (name >= 0.6))
+    # Agreement counts most; more different agreeing values, alike sketches, types and names decide between equals.
+    agree = F.coalesce(F.col("eq") / F.col("n"), alike)
+    several = 0.2 * F.least(F.coalesce(F.col("kinds"), common), F.lit(8)) / 8
+    weight = agree + several + 0.1 * alike + 0.2 * name + F.when(F.col("_ka") == F.col("_kb"), 0.05).otherwise(0.0)
+    edges = edges.where(F.when(F.col("n") > 0, shared).otherwise(profiled)).select("export_id", "prior_name", "name", weight.alias("weight"))
     ship(exports.sparkSession)
     renames = edges.groupBy("export_id").applyInPandas(_match, "export_id long, name string, prior_name string")
     return both, materialize(renames)
@@ -219,37 +231,49 @@ def _cast(raw: Column, to: str) -> Column:
     return t.try_cast("bigint") if to == "bigint" else _number(t) if to == "double" else raw
 
 
+def _columns(cell: DataFrame, exports: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The cells with _col, the unified column of each. Where any of a bot's files holds two spellings of one column
+    beside each other, they are two fields of that bot, which keep their own names."""
+    spark = cell.sparkSession
+    if not names:
+        return cell.withColumn("_col", F.col("name"))
+    # A row per spelling: bounded by the vocabulary of field names.
+    to = F.broadcast(spark.createDataFrame(sorted(names.items()), "name string, _to string"))
+    cell = cell.join(to, "name", "left").join(small(materialize(versions(exports).select("export_id", "bot_id"))), "export_id", "left")
+    beside = cell.where("_to is not null").groupBy("export_id", "bot_id", "_to").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
+    beside = materialize(beside.select(F.col("bot_id").alias("_bot"), F.col("_to").alias("_two")).distinct())
+    cell = cell.join(small(beside), F.col("bot_id").eqNullSafe(F.col("_bot")) & (F.col("_to") == F.col("_two")), "left")
+    return cell.withColumn("_col", F.when(F.col("_to").isNotNull() & F.col("_two").isNull(), F.col("_to")).otherwise(F.col("name"))).drop("bot_id", "_to", "_bot", "_two")
+
+
 def unified_cycles(exports: DataFrame) -> DataFrame:
     """One row (export_id, id, one text column per unified field, typed) per record of every file.
 
     The text columns hold the values as they stand in the files; the struct typed has the same fields, each cast to
     the one type that all its values fit: timestamp (also from epoch milliseconds), boolean (also from 1 and 0),
     bigint, double (also from percentages), else string. A field called typed moves the struct to _typed.
+    A field renamed in any bot's files has one column for all, except for bots with both spellings in one file.
     Records without an id, and what is no JSON object, are left out; repeated records count once (of
     contradicting ones the largest value of each field in the one notation stands).
     """
     exports = exports.dropDuplicates(["export_id", "row_json"])
     cell = materialize(cells(exports))
     _, renames = _changes(exports, cell.drop("raw"))
+    files = {r.name: r.files for r in cell.where("name is not null").groupBy("name").agg(F.count_distinct("export_id").alias("files")).collect()}
+    cell = materialize(_columns(cell, exports, canonical_names(renames, files)))
     t = F.trim("raw")
     forms = {
         "n": t.isNotNull(), "number": F.col("kind") == "number", "boolean": F.col("kind") == "boolean", "numeric": _number(t).isNotNull(), "whole": t.rlike("^-?[0-9]{1,18}$"),
         "epoch": t.rlike("^-?[0-9]{1,14}$"), "stamp": _stamp(t).isNotNull(), "word": _truth(t).isNotNull(), "bit": t.try_cast("double").isin(0.0, 1.0),
     }
-    seen = cell.where("name is not null").groupBy("name").agg(F.count_distinct("export_id").alias("files"), *[F.count_if(c).alias(f"_{k}") for k, c in forms.items()]).collect()
-    files = {r.name: r.files for r in seen}
-    names = canonical_names(renames, files)
-    fields = list(files)
-    wide = sorted({names.get(f, f) for f in fields} - {"id", "export_id"})
-    spelled = {w: sorted(f for f in fields if names.get(f, f) == w) for w in wide}
-    counts: dict[str, Counter] = {w: Counter() for w in wide}
-    for r in seen:
-        if (w := names.get(r.name, r.name)) in counts:
-            counts[w].update({k: r[f"_{k}"] for k in forms})
+    # A row per unified column: bounded by the vocabulary of field names.
+    seen = cell.where("_col is not null").groupBy("_col").agg(*[F.count_if(c).alias(f"_{k}") for k, c in forms.items()]).collect()
+    counts = {r["_col"]: Counter({k: r[f"_{k}"] for k in forms}) for r in seen}
+    wide = sorted(set(counts) - {"id", "export_id"})
     rows = cell.where("id is not null").groupBy("export_id", "id")
     if not wide:
         return rows.agg(F.count(F.lit(1)).alias("records"))
-    out = rows.agg(*[F.max(F.when(F.col("name").isin(spelled[w]) & F.col("raw").isNotNull(), F.struct("value", "raw")))["raw"].alias(w) for w in wide])
+    out = rows.agg(*[F.max(F.when((F.col("_col") == w) & F.col("raw").isNotNull(), F.struct("value", "raw")))["raw"].alias(w) for w in wide])
     name = "typed"
     while name in {w.lower() for w in wide}:
         name = f"_{name}"
