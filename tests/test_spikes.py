@@ -99,6 +99,20 @@ def test_nulls_empty_and_single_rows(spark):
     assert run(spark, rows) == {(1, "ask"): "impossible", (1, "last"): "impossible"}
 
 
+def test_spikes_without_a_mark(spark):
+    rows = walk(1, 600, 21)
+    for r in rows:
+        r[6] = None
+    for k in (3, 4, 5):
+        rows[350][k] = round(5 * rows[350][k], 2)
+    assert run(spark, rows) == {(350, f): "spike" for f in ("bid", "ask", "last")}
+    rows = walk(1, 600, 22)  # some marks are missing, also that of the spike
+    for i in [*range(0, 600, 7), 350]:
+        rows[i][6] = None
+    rows[350][3] = round(0.9 * rows[350][3], 2)
+    assert run(spark, rows) == {(350, "bid"): "spike"}
+
+
 @pytest.mark.parametrize("n", [17, 40])
 def test_stuck_without_reference(spark, n):
     rows = walk(1, 300, 11)

@@ -1,7 +1,8 @@
 """Implausible readings per source: spikes, stuck values and impossible numbers.
 
 A reading's residual is its log distance from the reference (the mark), less the source's seasonal median for
-that time slice. Per source, field and side a generalised Pareto tail is fitted to the residuals over a high
+that time slice; in a slice without any mark it is the distance from the source's own median price in that slice, and
+such slices are fitted apart from the others. Per source, field and side a generalised Pareto tail is fitted to the residuals over a high
 quantile (peaks over threshold), together with a few exceedances of all sources' mean, so that short sources have
 a tail too; the cutoff is the level passed with a fixed small risk. A reading keeps the residual it had when it
 first appeared, so a value that is merely old is no spike. Stuck stretches are runs too long for the source's own
@@ -51,15 +52,21 @@ def _base(ticks: DataFrame) -> DataFrame:
     )
     good = F.when((F.col("mark") > 0) & (F.col("mark") < LIMIT), F.col("mark"))
     r = [F.when(~impossible(F.col(f)), F.ln(F.col(f) / good)).alias(f"r_{f}") for f in FIELDS]
+    r += [F.when(~impossible(F.col(f)) & good.isNull(), F.ln(F.col(f))).alias(f"l_{f}") for f in FIELDS]
     slice_ = F.coalesce(F.floor(F.col("us") / (SLICE_S * 1_000_000)), F.lit(-1)).alias("slice")
     return d.select("session_id", slice_, "us", "tick_id", *FIELDS, *r, good.alias("good"), (0.01 / good).alias("unit"), "changed")
 
 
 def _seasons(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per slice: seasonal medians; per session: centre, quartile distance and reach of each field's sides)."""
-    q = [F.percentile_approx(f"r_{f}", F.array(*map(F.lit, (TAIL, 0.25, 0.5, 0.75, 1 - TAIL))), 1000).alias(f"q_{f}") for f in FIELDS]
-    n = [F.count(f"r_{f}").alias(f"n_{f}") for f in FIELDS]
-    s = materialize(base.groupBy("session_id", "slice").agg(*q, *n, F.max("unit").alias("unit")))
+    """(per slice: seasonal medians; per session and kind of reference: centre, quartile distance and reach of each field's sides)."""
+    five = F.array(*map(F.lit, (TAIL, 0.25, 0.5, 0.75, 1 - TAIL)))
+    q = [F.percentile_approx(f"{x}_{f}", five, 1000).alias(f"{y}_{f}") for f in FIELDS for x, y in (("r", "q"), ("l", "o"))]
+    n = [F.count(f"{x}_{f}").alias(f"{y}_{f}") for f in FIELDS for x, y in (("r", "n"), ("l", "m"))]
+    s = base.groupBy("session_id", "slice").agg(*q, *n, F.max("unit").alias("unit"), F.min_by("good", F.when(F.col("good").isNotNull(), F.struct("us", "tick_id"))).alias("good0"))
+    own = F.col("good0").isNull()  # no mark in the whole slice: its own median is the reference
+    unit = F.when(own, 0.01 / F.exp(F.greatest(*[F.col(f"o_{f}")[2] for f in FIELDS]))).otherwise(F.col("unit")).alias("unit")
+    pick = [F.when(own, F.col(f"{o}_{f}")).otherwise(F.col(f"{x}_{f}")).alias(f"{x}_{f}") for f in FIELDS for x, o in (("q", "o"), ("n", "m"))]
+    s = materialize(s.select("session_id", "slice", own.alias("own"), "good0", unit, *pick))
     at = lambda f, i: F.col(f"q_{f}")[i]
     agg: list[Column] = [F.max("unit").alias("unit")]
     for f in FIELDS:
@@ -67,20 +74,28 @@ def _seasons(base: DataFrame) -> tuple[DataFrame, DataFrame]:
         mid = lambda c, f=f: F.percentile(c, 0.5, F.col(f"n_{f}"))
         agg += [mid(at(f, 2)).alias(f"c_{f}"), (2 * F.least(mid(at(f, 3) - at(f, 2)), mid(at(f, 2) - at(f, 1)))).alias(f"b_{f}")]
         agg += [mid(at(f, 4) - at(f, 2)).alias(f"a_hi_{f}"), mid(at(f, 2) - at(f, 0)).alias(f"a_lo_{f}")]
-    return s, s.groupBy("session_id").agg(*agg)
+    return s, s.groupBy("session_id", "own").agg(*agg)
 
 
 def _offset(f: str) -> Column:
-    """Seasonal median of a slice with enough readings, held near the session's centre."""
+    """Seasonal median of a slice with enough readings, held near the session's centre; a slice without marks keeps its own."""
     band = 0.5 * F.greatest(f"b_{f}", "unit")
     near = F.greatest(F.col(f"c_{f}") - band, F.least(F.col(f"c_{f}") + band, F.col(f"q_{f}")[2]))
-    return F.when(F.col(f"n_{f}") >= 20, near).otherwise(F.col(f"c_{f}"))
+    return F.when(F.col("own"), F.col(f"q_{f}")[2]).when(F.col(f"n_{f}") >= 20, near).otherwise(F.col(f"c_{f}"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """Same session and kind of reference; of ``b`` the columns _m and _own."""
+    return a["session_id"].eqNullSafe(b["_m"]) & (a["own"] == b["_own"])
 
 
 def _reach(f: str, side: str, other: str) -> Column:
     """The distance of the TAIL quantile of a side: prices are quantised, so one price unit at least. A stuck stretch
     drifts to one side and widens it; neither side may exceed twice the other."""
-    a, b = (F.greatest(f"a_{d}_{f}", "unit") for d in (side, other))
+    # Around its own median a price wanders in one slice more than in others: a slice without marks has its own width.
+    q = F.col(f"q_{f}")
+    width = {"hi": q[4] - q[2], "lo": q[2] - q[0]}
+    a, b = (F.greatest(F.col(f"a_{d}_{f}"), F.col("unit"), F.when(F.col("own"), width[d])) for d in (side, other))
     return F.least(a, 2 * b)
 
 
@@ -102,14 +117,15 @@ def _fit(f: str, side: str) -> Column:
 def fits(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per slice: off_f of each field; per session: the exceedances of each field's sides, and those of all sessions)."""
     s, per = _seasons(base)
-    s = materialize(s.join(per.withColumnRenamed("unit", "_unit"), s["session_id"].eqNullSafe(per["session_id"])).drop(per["session_id"]).drop("unit").withColumnRenamed("_unit", "unit")
-        .select("session_id", "slice", "unit", *[c for f in FIELDS for c in (_offset(f).alias(f"off_{f}"), _reach(f, "hi", "lo").alias(f"a_hi_{f}"), _reach(f, "lo", "hi").alias(f"a_lo_{f}"))]))
-    p = small(s.withColumnsRenamed({"session_id": "_sid", "slice": "_slice", "unit": "_unit"}))
+    per = per.withColumnsRenamed({"unit": "_unit", "session_id": "_m", "own": "_own"})
+    s = materialize(s.join(per, _same(s, per)).drop("unit").withColumnRenamed("_unit", "unit")
+        .select("session_id", "slice", "own", "good0", "unit", *[c for f in FIELDS for c in (_offset(f).alias(f"off_{f}"), _reach(f, "hi", "lo").alias(f"a_hi_{f}"), _reach(f, "lo", "hi").alias(f"a_lo_{f}"))]))
+    p = small(s.drop("good0").withColumnsRenamed({"session_id": "_sid", "slice": "_slice", "unit": "_unit"}))
     j = base.join(p, base["session_id"].eqNullSafe(p["_sid"]) & (base["slice"] == p["_slice"]))
     agg = [F.max("_unit").alias("unit")]
     for f in FIELDS:
         # Only readings that changed: a value that is merely carried on says nothing of the market's noise.
-        e = F.when(F.concat(F.lit(","), "changed", F.lit(",")).contains(f",{f},"), F.col(f"r_{f}") - F.col(f"off_{f}"))
+        e = F.when(F.concat(F.lit(","), "changed", F.lit(",")).contains(f",{f},"), F.when(F.col("own"), F.col(f"l_{f}")).otherwise(F.col(f"r_{f}")) - F.col(f"off_{f}"))
         agg.append(F.count(e).alias(f"n_{f}"))
         for side, x in (("hi", e), ("lo", -e)):
             # A rounded reading stands for half a unit to either side: the threshold lies so far below the quantile,
@@ -118,17 +134,17 @@ def fits(base: DataFrame) -> tuple[DataFrame, DataFrame]:
             y = (x - a + 0.5 * F.col("_unit")) / a
             over = F.when((y > 0) & (x <= TRIM * a), y)  # beyond lie the excursions themselves: they must not widen the tail
             agg += [F.count(over).alias(f"k_{side}_{f}"), F.coalesce(F.sum(over), F.lit(0.0)).alias(f"s_{side}_{f}"), F.coalesce(F.sum(over * over), F.lit(0.0)).alias(f"t_{side}_{f}"), F.max(a).alias(f"a_{side}_{f}")]
-    m = materialize(j.groupBy("session_id").agg(*agg))
-    pool = m.agg(*[F.sum(f"n_{f}").alias(f"all_n_{f}") for f in FIELDS], *[F.sum(f"{c}_{d}_{f}").alias(f"all_{c}_{d}_{f}") for c in "kst" for d in ("hi", "lo") for f in FIELDS])
-    return s, m.crossJoin(F.broadcast(pool))
+    m = materialize(j.groupBy("session_id", "own").agg(*agg))
+    pool = m.groupBy("own").agg(*[F.sum(f"n_{f}").alias(f"all_n_{f}") for f in FIELDS], *[F.sum(f"{c}_{d}_{f}").alias(f"all_{c}_{d}_{f}") for c in "kst" for d in ("hi", "lo") for f in FIELDS])
+    return s, m.join(F.broadcast(pool), "own")  # two rows at most
 
 
 def thresholds(base: DataFrame) -> DataFrame:
     """Per (session, slice): off_f, hi_f, lo_f of each field, and the repeat-free parameters for the spike rule."""
     s, m = fits(base)
     cut = [_fit(f, d).alias(f"{d}_{f}") for f in FIELDS for d in ("hi", "lo")]
-    m = m.select(F.col("session_id").alias("_m"), *cut)
-    return materialize(s.join(m, s["session_id"].eqNullSafe(m["_m"])).select("session_id", "slice", *[c for f in FIELDS for c in (f"off_{f}", f"hi_{f}", f"lo_{f}")]))
+    m = m.select(F.col("session_id").alias("_m"), F.col("own").alias("_own"), *cut)
+    return materialize(s.join(m, _same(s, m)).select("session_id", "slice", "own", "good0", *[c for f in FIELDS for c in (f"off_{f}", f"hi_{f}", f"lo_{f}")]))
 
 
 def _runs(base: DataFrame, th: DataFrame) -> DataFrame:
@@ -138,7 +154,11 @@ def _runs(base: DataFrame, th: DataFrame) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("us", "tick_id")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     d = base.join(th, base["session_id"].eqNullSafe(th["_sid"]) & (base["slice"] == th["_slice"]))
-    d = d.withColumns({"_dup": F.lag("tick_id").over(w), "_good": F.lag("good").over(w)} | {f"q_{f}": F.lag(f).over(w) for f in FIELDS} | {f"p_{f}": F.last(f, True).over(past) for f in FIELDS})
+    # A reading without a mark in a slice with marks is measured against the mark before it, at the start the first.
+    mark = F.coalesce("good", F.last("good", True).over(past), "good0")
+    d = d.withColumns({"_mark": mark, "_dup": F.lag("tick_id").over(w)} | {f"q_{f}": F.lag(f).over(w) for f in FIELDS} | {f"p_{f}": F.last(f, True).over(past) for f in FIELDS})
+    d = d.withColumn("_good", F.lag("_mark").over(w))
+    d = d.withColumns({f"r_{f}": F.coalesce(f"r_{f}", F.when(F.col("own"), F.col(f"l_{f}")).otherwise(F.ln(F.when(~impossible(F.col(f)), F.col(f)) / F.col("_mark")))) for f in FIELDS})
     beyond = lambda r, f: F.greatest((r - F.col(f"off_{f}")) / F.col(f"hi_{f}"), (F.col(f"off_{f}") - r) / F.col(f"lo_{f}"))
     # After a null reading a value may be older than it looks: the nearer of both instants' references counts.
     x = [F.when(F.col(f"q_{f}").isNull(), F.least(beyond(F.col(f"r_{f}"), f), beyond(F.ln(F.when(~impossible(F.col(f)), F.col(f)) / F.col("_good")), f))).otherwise(beyond(F.col(f"r_{f}"), f)).cast("float").alias(f"x_{f}") for f in FIELDS]
@@ -206,8 +226,8 @@ def flag_readings(ticks: DataFrame) -> DataFrame:
 
     Readings are ordered by (captured_at_utc, tick_id); repeated deliveries of a tick count once; null readings
     are neither flagged nor break a run. A spike's flag holds for the repeats of its value; a stuck run is
-    flagged from its second row on. Without a usable reference (mark null or not above zero) only the impossible
-    and stuck rules apply. Null session ids form one source, null instants one slice; rows with a null tick_id
+    flagged from its second row on. A reading without a usable mark (null or not above zero) is measured
+    against the latest one of its slice, and in a slice without any against the slice's own median price. Null session ids form one source, null instants one slice; rows with a null tick_id
     are left out. Extra columns and an empty table are harmless.
     """
     base = _base(ticks)
