@@ -154,11 +154,16 @@ def _runs(base: DataFrame, th: DataFrame) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("us", "tick_id")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     d = base.join(th, base["session_id"].eqNullSafe(th["_sid"]) & (base["slice"] == th["_slice"]))
-    # A reading without a mark in a slice with marks is measured against the mark before it, at the start the first.
+    # A reading without a mark in a slice with marks is measured against the mark before it, at the start the first, and
+    # the next reading's: what lies between both counts as no distance.
     mark = F.coalesce("good", F.last("good", True).over(past), "good0")
-    d = d.withColumns({"_mark": mark, "_dup": F.lag("tick_id").over(w)} | {f"q_{f}": F.lag(f).over(w) for f in FIELDS} | {f"p_{f}": F.last(f, True).over(past) for f in FIELDS})
+    d = d.withColumns({"_mark": mark, "_soon": F.lead("good").over(w), "_dup": F.lag("tick_id").over(w)} | {f"q_{f}": F.lag(f).over(w) for f in FIELDS} | {f"p_{f}": F.last(f, True).over(past) for f in FIELDS})
     d = d.withColumn("_good", F.lag("_mark").over(w))
     d = d.withColumns({f"r_{f}": F.coalesce(f"r_{f}", F.when(F.col("own"), F.col(f"l_{f}")).otherwise(F.ln(F.when(~impossible(F.col(f)), F.col(f)) / F.col("_mark")))) for f in FIELDS})
+    for f in FIELDS:
+        r, soon = F.col(f"r_{f}"), F.ln(F.when(~impossible(F.col(f)), F.col(f)) / F.col("_soon"))
+        between = F.least(F.greatest(F.col(f"off_{f}"), F.least(r, soon)), F.greatest(r, soon))
+        d = d.withColumn(f"r_{f}", F.when(F.col("good").isNull() & ~F.col("own"), between).otherwise(r))
     beyond = lambda r, f: F.greatest((r - F.col(f"off_{f}")) / F.col(f"hi_{f}"), (F.col(f"off_{f}") - r) / F.col(f"lo_{f}"))
     # After a null reading a value may be older than it looks: the nearer of both instants' references counts.
     x = [F.when(F.col(f"q_{f}").isNull(), F.least(beyond(F.col(f"r_{f}"), f), beyond(F.ln(F.when(~impossible(F.col(f)), F.col(f)) / F.col("_good")), f))).otherwise(beyond(F.col(f"r_{f}"), f)).cast("float").alias(f"x_{f}") for f in FIELDS]
