@@ -77,18 +77,22 @@ def iso_micros(c: Column) -> Column:
     """
     t = F.upper(F.trim(c))
     pat = r"^(\d{4})-?(\d{2})-?(\d{2})[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)? ?(Z|UTC|[+-]\d{2}(?::?\d{2})?)?$"
-    g = lambda i: F.regexp_extract(t, pat, i)
-    num = lambda i: F.when(g(i) == "", 0).otherwise(g(i).cast("long"))
-    day = F.try_to_date(F.concat_ws("-", g(1), g(2), g(3)), "yyyy-MM-dd")
-    frac = F.rpad(F.substring(g(7), 1, 6), 6, "0")
-    off = F.when(
-        F.substring(g(8), 1, 1).isin("+", "-"),
-        (F.substring(g(8), 2, 2).cast("long") * 60 + F.coalesce(F.substring(F.regexp_replace(g(8), ":", ""), 4, 2).try_cast("long"), F.lit(0)))
-        * F.when(F.substring(g(8), 1, 1) == "-", -1).otherwise(1),
-    ).otherwise(0)
-    secs = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + num(4) * 3600 + num(5) * 60 + num(6) - off * 60
-    ok = t.rlike(pat) & day.isNotNull() & (num(4) < 24) & (num(5) < 60) & (num(6) < 60)
-    return F.when(ok, secs * 1_000_000 + F.when(g(7) == "", 0).otherwise(frac.cast("long")))
+    # One match brings the groups into one order, behind a mark that the text itself must not hold; they are taken apart once.
+    groups = F.split(F.when(~t.contains("\u0001"), F.regexp_replace(t, pat, "\u0001|$1-$2-$3|$4|$5|$6|$7|$8")), "\\|")
+
+    def micros_of(g: Column) -> Column:
+        num = lambda i: F.when(g[i] == "", 0).otherwise(g[i].try_cast("long"))
+        day = F.try_to_date(g[1], "yyyy-MM-dd")
+        zone = F.regexp_replace(g[6], ":", "")
+        off = F.when(
+            F.substring(zone, 1, 1).isin("+", "-"),
+            (F.substring(zone, 2, 2).try_cast("long") * 60 + F.coalesce(F.substring(zone, 4, 2).try_cast("long"), F.lit(0))) * F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1),
+        ).otherwise(0)
+        secs = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + num(2) * 3600 + num(3) * 60 + num(4) - off * 60
+        frac = F.when(g[5] == "", 0).otherwise(F.rpad(F.substring(g[5], 1, 6), 6, "0").try_cast("long"))
+        return F.when(day.isNotNull() & (num(2) < 24) & (num(3) < 60) & (num(4) < 60), secs * 1_000_000 + frac)
+
+    return F.transform(F.when((F.size(groups) == 7) & (groups[0] == "\u0001"), F.array(groups)), micros_of)[0]
 
 
 def ship(spark: SparkSession) -> None:
