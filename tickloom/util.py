@@ -48,15 +48,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a plan: of a written table the bytes of its files, of a plan over files a bound that joins
+    only widen. No job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its plan's size is at most ``limit`` (BROADCAST_BYTES) bytes, else as it is (a
-    shuffle join).
-
-    The size is the optimizer's: of a written table the bytes of its files, of a plan over files a bound that joins
-    only widen. No job runs.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
+    shuffle join). ``df`` should be a written table: its size is then exact."""
+    return F.broadcast(df) if plan_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def micros(c: Column | str) -> Column:
