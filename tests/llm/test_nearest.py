@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from tickloom.llm import nearest as module
 from tickloom.llm.nearest import nearest
 
 L, R = "e string, lid string, t long, rid string", "e string, rid long, t long, lid string"
@@ -17,9 +18,14 @@ def brute(left, right, tol, backward):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 3, 37])
+@pytest.mark.parametrize(("parts", "block"), [(1, 500_000), (3, 60), (37, 500_000), (70, 7)])
 @pytest.mark.parametrize("backward", [False, True])
-def test_against_brute_force(spark, parts, backward):
+def test_against_brute_force(spark, monkeypatch, parts, block, backward):
+    """Also with blocks of a few rows, and more partitions than one chunk of the prefix scan holds."""
+    monkeypatch.setattr(module, "BLOCK_ROWS", block)
+    monkeypatch.setattr(module, "_CHUNK_BITS", 2)
+    if block == 60:
+        monkeypatch.setattr("tickloom.util.BROADCAST_BYTES", -1)
     r = random.Random(parts)
     names = ["hot", "hot", "hot", "a", "b", "only-left", None]
     left = [(r.choice(names), f"l{i}", r.randrange(0, 3000), "x") for i in range(400)] + [("hot", None, 5, ""), ("hot", "lx", None, "")]
@@ -44,6 +50,13 @@ def test_one_instant_over_many_partitions(spark):
     assert got == {1}
 
 
+def test_payload_comes_from_the_same_record(spark):
+    right = spark.createDataFrame([("a", i, 10 * (i // 2), float(i), None if i % 3 else 2.0 * i) for i in range(200)], "e string, rid long, t long, bid double, ask double")
+    left = spark.createDataFrame([("a", f"l{i}", i, "") for i in range(0, 990, 7)], L)
+    rows = nearest(left, right, 100, payload=("bid", "ask")).collect()
+    assert len(rows) == 142 and all(r.bid == r.rid and r.ask == (None if r.rid % 3 else 2.0 * r.rid) and r.rid % 2 == 0 for r in rows)
+
+
 def test_empty_sides_and_tolerance_border(spark):
     row, other = [("a", "l", 10, "")], [("a", 1, 15, ""), ("a", 2, 4, "")]
     df = lambda rows, s: spark.createDataFrame(rows, s)

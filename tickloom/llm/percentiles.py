@@ -7,26 +7,38 @@ histogram of the leading digits alone is a summary of bounded relative error tha
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import materialize, small
+from ..util import materialize, ship, small
 
 #: Bits of one digit; four digits make up a double.
 DIGIT = 16
 
 
+def _to_bits(v: pa.Array) -> pa.Array:
+    x = v.to_numpy(zero_copy_only=False).astype("float64") + 0.0  # -0.0 as 0.0; null as NaN
+    raw = x.view("int64")
+    return pa.array(np.where(raw >= 0, raw, -(raw & np.int64((1 << 63) - 1))), mask=np.isnan(x))
+
+
+def _from_bits(k: pa.Array) -> pa.Array:
+    gone = np.asarray(k.is_null())
+    bits = k.fill_null(0).to_numpy()
+    v = np.abs(bits).view("float64")
+    return pa.array(np.where(bits < 0, -v, v), mask=gone)
+
+
 def ordered_bits(c: Column) -> Column:
-    """The double as a signed long in the order of the values (-0.0 as 0.0); null for null and NaN."""
-    raw = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.when(~F.isnan(c), c + 0.0)).cast("long")
-    bits = F.when(raw >= 0, raw).otherwise(-raw.bitwiseAND(F.lit((1 << 63) - 1)))
-    return F.when(c.isNotNull() & ~F.isnan(c), bits)
+    """The double as a signed long in the order of the values (-0.0 as 0.0); null for null and NaN. Arrow batches."""
+    return F.arrow_udf(_to_bits, "long")(c)
 
 
 def from_bits(k: Column) -> Column:
     """The inverse of ordered_bits."""
-    v = F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), F.abs(k)).cast("double")
-    return F.when(k < 0, -v).otherwise(v)
+    return F.arrow_udf(_from_bits, "double")(k)
 
 
 def digit_histogram(df: DataFrame, keys: list[str], bits: str, width: int) -> DataFrame:
@@ -70,8 +82,13 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float
     Nulls and NaN are left out; groups without values have no row; null keys form a group; infinities order as
     usual. Each pass groups by (keys, digit) with map-side partial counts, so a hot group is no single task.
     """
+    ship(df.sparkSession)
     names = [f"_g{i}" for i in range(len(keys))]
-    slim = df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(n) for k, n in zip(keys, names)], ordered_bits(F.col(value).cast("double")).alias("bits")).where("bits is not null")
+    # A key and whether it is null: two columns, so no value of a key stands for null.
+    flags = [f"_n{i}" for i in range(len(keys))]
+    text = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names)]
+    slim = df.select(*text, *[F.col(k).isNull().alias(f) for k, f in zip(keys, flags)], ordered_bits(F.col(value).cast("double")).alias("bits")).where("bits is not null")
+    names += flags
     slim = materialize(slim)
     hist = materialize(digit_histogram(slim, names, "bits", DIGIT).withColumn("parent", F.lit(0).cast("long")))
     targets = _targets(hist, names, qs).withColumn("parent", F.lit(0).cast("long"))
@@ -83,7 +100,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float
         hist = digit_histogram(inside, [*names, "parent"], "bits", width)
         found = materialize(_follow(hist, names, found.withColumnRenamed("prefix", "parent")))
     out = _join_ranks(found, names, from_bits(F.col("prefix")))
-    return out.select(*[F.nullif(F.col(n), F.lit("\u0000")).alias(k) for k, n in zip(keys, names)], "q", "value")
+    return out.select(*[F.when(~F.col(f), F.col(n)).alias(k) for k, n, f in zip(keys, names, flags)], "q", "value")
 
 
 def sketch_percentiles(hist: DataFrame, keys: list[str], qs: list[float], width: int) -> DataFrame:

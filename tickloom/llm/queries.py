@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..util import iso_micros, materialize, small, table
+from ..util import iso_micros, materialize, table
 from . import bpe, leakage, nearest, percentiles, spans
 
 #: Largest distance in time of a fill and its tick.
@@ -39,8 +39,8 @@ def costs(spark: SparkSession, d: str) -> DataFrame:
     x = materialize(x.select("id", "f.*", "commission", "t").withColumn("notional", F.col("shares") * F.col("price")).where("notional > 0 and side is not null and ticker is not null"))
     q = table(spark, d, "ticks").where("bid > 0 and ask >= bid").select(F.col("symbol").alias("e"), F.unix_micros("captured_at_utc").alias("t"), F.col("tick_id").alias("rid"), "bid", "ask")
     left = x.select(F.col("ticker").alias("e"), F.col("id").alias("lid"), "t")
-    m = materialize(nearest.nearest(left, q.select("e", "t", "rid"), QUOTE_AGE_US, backward=True).select("lid", "rid"))
-    quotes = q.select("rid", "bid", "ask").join(small(m), "rid").groupBy("lid").agg(F.max("bid").alias("bid"), F.min("ask").alias("ask"))
+    # Ticks of one instant: the smallest tick_id's quote counts.
+    quotes = nearest.nearest(left, q, QUOTE_AGE_US, backward=True, payload=("bid", "ask")).select("lid", "bid", "ask")
     worse = F.when(F.col("side") == "BOT", F.col("price") / F.col("ask") - 1).when(F.col("side") == "SLD", F.col("bid") / F.col("price") - 1)
     j = x.join(quotes, x["id"] == quotes["lid"], "left").select("ticker", "side", F.to_date(F.timestamp_micros("t")).alias("day"), (F.col("commission") / F.col("notional") * 10000).alias("c"), (F.when(worse.isNotNull(), F.greatest(worse, F.lit(0.0))) * 10000).alias("s"))
     return j.select("ticker", "side", "day", F.explode(F.array(F.struct(F.lit("commission").alias("metric"), F.col("c").alias("bps")), F.struct(F.lit("slippage").alias("metric"), F.col("s").alias("bps")))).alias("_")).select("ticker", "side", "day", "_.*").where("bps is not null")
@@ -53,7 +53,7 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p6_daily(spark: SparkSession, d: str) -> DataFrame:
     """The same from histograms of separate days put together, within one part in 2^20."""
     keys = ["ticker", "side", "metric"]
-    c = costs(spark, d).withColumn("bits", percentiles.ordered_bits(F.col("bps"))).where("bits is not null")
+    c = costs(spark, d).withColumn("bits", percentiles.ordered_bits(F.col("bps").cast("double"))).where("bits is not null")
     days = materialize(percentiles.digit_histogram(c, [*keys, "day"], "bits", DAY_BITS))
     return percentiles.sketch_percentiles(percentiles.merge_histograms(days, keys), keys, QUANTILES, DAY_BITS)
 
