@@ -32,8 +32,14 @@ def test_scalar_rules(spark):
     assert one(spark, scalars.to_increment(F.lit(1.0300000000000002), F.lit(0.01), True)) == 1.03 and one(spark, scalars.to_increment(F.lit(1.039), F.lit(0.01), False)) == 1.03
     e = lambda a, m: tuple(one(spark, scalars.effective_pct(F.lit(a).cast("double"), F.lit(m), F.lit(0.2), F.lit(1.0))))
     assert [e(0.5, 1.5), e(None, 1.5), e(0.1, 2.0), e(2.0, 2.0), e(2.0, 0.0)] == [(0.75, "raw"), (None, "unavailable"), (0.2, "min"), (1.0, "max"), (0.0, "zero")]
+    # By hand from the rules: the unrounded multiple decides, equality is held, no ATR below zero; never less than a step.
+    assert [e(1.0, 0.204), e(1.0, 0.2), e(0.0, 1.0), e(-1.0, 1.0), e(1.0, 0.996)] == [(0.2, "raw"), (0.2, "min"), (None, "unavailable"), (None, "unavailable"), (1.0, "raw")]
+    grid = lambda v, step, up=False: one(spark, scalars.to_increment(F.lit(v), F.lit(step).cast("double"), up))
+    assert [grid(0.01, 0.05), grid(1.234, None), grid(1.231, 0.0, True), grid(2.00013, 0.0001, True), grid(7.3, 0.25)] == [0.05, 1.23, 1.24, 2.0002, 7.25]
+    assert [one(spark, scalars.connectivity(F.lit(None).cast("int"), F.lit(n))) for n in ("GATEWAY_CONNECTION_FAILED", "Gateway_Connected", "tick")] == ["loss", "restored", "other"]
+    assert one(spark, scalars.safe_name(F.lit("x" * 90 + "a"))) != one(spark, scalars.safe_name(F.lit("x" * 90 + "b")))
     assert one(spark, scalars.csv_safe(F.lit(" =x"))) == "' =x" and one(spark, scalars.safe_name(F.lit(" ../a b? "))) == "a_b"
-    assert [one(spark, scalars.block_length(F.lit(n))) for n in (14, 29, 59, 64, 1000)] == [None, 2, 3, 4, 5]
+    assert [one(spark, scalars.block_length(F.lit(n))) for n in (14, 29, 59, 60, 91, 92, 1000)] == [None, 2, 3, 4, 4, 5, 5]
 
 
 def test_hash_index_equals_python(spark):
@@ -111,12 +117,45 @@ def test_block_indices_folds_and_cross_fit(spark):
     assert len(rows) == 30 and all(0 <= x.unit < 10 for x in rows)
     by = {(x.rep, x.pos): x.unit for x in rows}
     assert all((by[rep, p] + 1) % 10 == by[rep, p + 1] for rep in range(3) for p in range(9) if p % 4 != 3)
+    import hashlib  # the starts as the stream is defined
+
+    stream = hashlib.shake_256(b"market-replay-moving-block-v1|s|3|10|4").digest(72)
+    assert [by[i // 3, i % 3 * 4] for i in range(9)] == [int.from_bytes(stream[8 * i : 8 * i + 8], "big") % 10 for i in range(9)]
     assert [(len(a), list(b)) for a, b in stats.walk_forward(9, 3, 2)] == [(3, [3, 4]), (5, [5, 6]), (7, [7, 8])]
     days = spark.createDataFrame([("k", date(2026, 1, d), 10, c) for d, c in ((1, 2.0), (2, 4.0), (3, 6.0))], "key string, day date, n long, cost double")
     got = [x.assumed for x in orders.cross_fitted(days, 20, 1.0).orderBy("day").collect()]
     assert got == [5.0, 4.0, 3.0]
 
 
+def test_medians_over_days(spark):
+    import random
+    from statistics import median
+
+    r = random.Random(3)
+    rows = [(g, date(2026, 1, 1 + r.randrange(d)), float(r.randrange(-40, 60))) for g, d, n in (("a", 9, 200), ("b", 3, 30), ("c", 2, 9), ("e", 20, 41)) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("a", date(2026, 1, 1), None)], "g string, day date, value double")
+    got = {x.g: x for x in stats.leave_one_day_out(df, ["g"]).collect()}
+    boot = {x.g: x for x in stats.day_bootstrap(df, ["g"], 7, 60).collect()}
+    for g in ("a", "b", "e"):
+        days = sorted({d for k, d, _ in rows if k == g})
+        v = {d: [x for k, e, x in rows if k == g and e == d] for d in days}
+        full = median([x for d in days for x in v[d]])
+        est = {d: median([x for e in days if e != d for x in v[e]]) for d in days}
+        far = max(days, key=lambda d: (abs(est[d] - full), -d.toordinal()))
+        turned = sum(1 for e in est.values() if e and full and (e > 0) != (full > 0))
+        assert (got[g].days, got[g].lowest, got[g].middle, got[g].highest, got[g].sign_reversals, got[g].influential_day) == (len(days), min(est.values()), median(est.values()), max(est.values()), turned, far)
+        reps = []
+        for rep in range(60):
+            import hashlib
+
+            draw = [days[int.from_bytes(hashlib.sha256(f"7|{rep}|{i}".encode()).digest()[:8], "big") % len(days)] for i in range(len(days))]
+            reps.append(median([x for d in draw for x in v[d]]))
+        assert boot[g].median == full and boot[g].positive == sum(m > 0 for m in reps) / 60
+    assert "c" not in got and "c" not in boot
+    km = spark.createDataFrame([("g", 1.0, True), ("g", 2.0, False), ("g", 4.0, True), ("h", 1.0, True), ("h", 2.0, False), ("k", 3.0, True), ("k", -1.0, True)], "g string, duration double, event boolean")
+    assert {x.g: x.probability and round(x.probability, 9) for x in stats.horizon_probability(km, ["g"], 3.0).collect()} == {"g": 33.333333333, "h": None, "k": 100.0}
+
+
 def test_grid_product_collapse_and_regions(spark):
     g = grids.product(spark, {"a": [1.0, 1.25, 3.0], "b": [0.0, 0.25]})
     assert g.count() == 6

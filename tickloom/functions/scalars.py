@@ -40,17 +40,28 @@ def next_weekday(day: Column) -> Column:
 
 
 def to_increment(value: Column, step: Column, up: bool) -> Column:
-    """The value on the price grid, rounded up or down; values on the grid within 1e-12 steps stay."""
-    units = value / F.nullif(step, F.lit(0.0))
-    return F.round((F.ceil(units - 1e-12) if up else F.floor(units + 1e-12)) * step, 8)
-
-
-def effective_pct(atr_pct: Column, multiplier: Column, low: Column, high: Column) -> Column:
-    """Struct (pct, state): a multiple of the ATR held between two bounds; meeting a bound counts as held."""
-    raw = F.round(atr_pct * multiplier, 2)
-    state = F.when(multiplier == 0, "zero").when(atr_pct.isNull(), "unavailable").when(raw <= low, "min").when(raw >= high, "max").otherwise("raw")
-    pct = F.when(multiplier == 0, F.lit(0.0)).when(atr_pct.isNull(), None).otherwise(F.least(F.greatest(raw, low), high))
-    return F.struct(pct.alias("pct"), state.alias("state"))
+    """The value on the price grid, rounded up or down, but never below one step; values on the grid within 1e-12 steps
+    stay. A step that is null, not finite or not above zero is 0.01. Digits after the point: those of the step, 2 to 8."""
+    step = F.when((step > 0) & (step < float("inf")), step).otherwise(0.01)
+    units = value / step
+    v = F.greatest(step, (F.ceil(units - 1e-12) if up else F.floor(units + 1e-12)) * step)
+    out = F.round(v, 8)
+    for digits in range(7, 1, -1):
+        out = F.when(F.abs(F.round(step, digits) - step) <= 1e-12, F.round(v, digits)).otherwise(out)
+    return F.when(value.isNotNull(), out)
+
+
+def effective_pct(atr_pct: Column, multiplier: Column, low: Column, high: Column, allow_zero: bool = True) -> Column:
+    """Struct (pct, state): a multiple of the ATR held between two bounds, then rounded to two digits.
+
+    The unrounded multiple decides; meeting a bound counts as held. A multiplier of zero or below is zero where that is
+    allowed; an ATR that is null, not finite or not above zero is unavailable."""
+    zero = (multiplier <= 0) & F.lit(allow_zero)
+    known = (atr_pct > 0) & (atr_pct < float("inf"))
+    raw = atr_pct * multiplier
+    state = F.when(zero, "zero").when(~F.coalesce(known, F.lit(False)), "unavailable").when(raw <= low, "min").when(raw >= high, "max").otherwise("raw")
+    pct = F.when(state == "zero", 0.0).when(state == "min", low).when(state == "max", high).when(state == "raw", raw)
+    return F.struct(F.round(pct, 2).alias("pct"), state.alias("state"))
 
 
 def spread_bps(bid: Column, ask: Column) -> Column:
@@ -63,10 +74,11 @@ def csv_safe(c: Column) -> Column:
 
 
 def safe_name(c: Column) -> Column:
-    """A name usable as a folder: letters, digits, dot, dash and underscore, at most 80 characters, never empty."""
+    """A name usable as a folder: letters, digits, dot, dash and underscore, at most 80 characters, never empty. A longer
+    name keeps 71 and ends in eight digits of its hash, so different names stay different."""
     t = F.regexp_replace(F.trim(c), "[^A-Za-z0-9._-]+", "_")
     t = F.regexp_replace(t, "^[._]+|[._]+$", "")
-    return F.when(t == "", "unnamed").otherwise(F.substring(t, 1, 80))
+    return F.when(t == "", "unnamed").when(F.length(t) <= 80, t).otherwise(F.concat(F.substring(t, 1, 71), F.lit("_"), F.substring(F.sha2(c, 256), 1, 8)))
 
 
 def changed_list(c: Column) -> Column:
@@ -81,8 +93,8 @@ def changed_list(c: Column) -> Column:
 
 
 def block_length(n: Column) -> Column:
-    """Length of the blocks of a moving-block bootstrap over n units: none below 15, then 2, 3, and the cube root up to 5."""
-    return F.when(n < 15, None).when(n < 30, 2).when(n < 60, 3).otherwise(F.least(F.lit(5), F.floor(F.cbrt(n.cast("double")) + 1e-9).cast("int")))
+    """Length of the blocks of a moving-block bootstrap over n units: none below 15, then 2, 3, and the nearest whole number to the cube root, 3 to 5."""
+    return F.when(n < 15, None).when(n < 30, 2).when(n < 60, 3).otherwise(F.least(F.lit(5), F.greatest(F.lit(3), F.rint(F.cbrt(n.cast("double"))).cast("int"))))
 
 
 def hash_index(seed: Column, replicate: Column, draw: Column, size: Column) -> Column:
@@ -101,7 +113,7 @@ RESTORED_CODES = [1101, 1102, 2104, 2106, 2158]
 def connectivity(code: Column, name: Column) -> Column:
     """loss, restored or other, by an event's code, else by its name."""
     n = F.upper(F.coalesce(name, F.lit("")))
-    by_name = F.when(n.rlike("RESTOR|RECONNECT"), "restored").when(n.rlike("DISCONNECT|CONNECTION_LOST|CONNECTIVITY_LOST"), "loss").otherwise("other")
+    by_name = F.when(n.rlike("RESTOR|RECONNECT|^GATEWAY_CONNECTED$"), "restored").when(n.rlike("DISCONNECT|CONNECTION_LOST|CONNECTIVITY_LOST|CONNECTION_FAILED"), "loss").otherwise("other")
     return F.when(code.isin(LOSS_CODES), "loss").when(code.isin(RESTORED_CODES), "restored").otherwise(by_name)
 
 

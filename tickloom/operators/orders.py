@@ -9,11 +9,13 @@ from ..util import iso_micros
 
 
 def fills_once(executions: DataFrame) -> DataFrame:
-    """Each fill once (largest commission), with e (symbol), t (epoch microseconds), day and notional."""
-    x = executions.where("id is not null").groupBy("id").agg(
-        F.min("cycle_id").alias("cycle_id"), F.min(F.upper(F.trim("ticker"))).alias("e"), F.min("order_ref").alias("order_ref"), F.min("side").alias("side"), F.min("shares").alias("shares"),
-        F.min("price").alias("price"), F.max("commission").alias("commission"), F.max(iso_micros(F.col("executed_at"))).alias("t"),
-    )
+    """Each fill once, as one of its rows: the one with the largest commission, then the latest; with e (symbol), t (epoch
+    microseconds), day and notional. Fills with a null id are left out."""
+    t = iso_micros(F.col("executed_at"))
+    row = F.struct("cycle_id", F.upper(F.trim("ticker")).alias("e"), "order_ref", "side", "shares", "price", "commission", t.alias("t"))
+    text = [F.coalesce(c, F.lit("")) for c in ("executed_at", "ticker", "order_ref", "cycle_id")]
+    order = F.struct(F.coalesce("commission", F.lit(-1e300)), F.coalesce(t, F.lit(0)), *text)
+    x = executions.where("id is not null").groupBy("id").agg(F.max_by(row, order).alias("x")).select("id", "x.*")
     return x.withColumns({"day": F.to_date(F.timestamp_micros("t")), "notional": F.col("shares") * F.col("price")})
 
 

@@ -11,10 +11,11 @@ from ..util import finite
 READING = ["session_id", "tick_id", "sequence", "captured_at_utc", "elapsed_ns", "symbol", "con_id", "bid", "ask", "last", "close", "mark_price", "bid_size", "ask_size", "market_data_type", "changed_fields"]
 
 
-def clean_ticks(ticks: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Each reading once. Clustered by session, which the windows that follow reuse: one shuffle in all."""
-    cols = columns or READING
-    return ticks.where("tick_id is not null").select(*cols).repartition("session_id").dropDuplicates(["session_id", "tick_id"])
+def clean_ticks(ticks: DataFrame, columns: list[str] | None = None, clustered: bool = False) -> DataFrame:
+    """Each reading once. Rows are spread by (session, tick), so a hot session is many tasks; ``clustered`` brings each
+    session into one task instead, for the operators whose windows need a whole session in order: one shuffle in all."""
+    d = ticks.where("tick_id is not null").select(*(columns or READING))
+    return (d.repartition("session_id") if clustered else d).dropDuplicates(["session_id", "tick_id"])
 
 
 def with_prices(t: DataFrame) -> DataFrame:

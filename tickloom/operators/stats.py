@@ -23,36 +23,77 @@ def kaplan_meier(rows: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*keys, "duration", "at_risk", "events", F.when(F.col("_z"), 0.0).otherwise(F.exp("_l")).alias("survival"))
 
 
-def day_bootstrap(values: DataFrame, keys: list[str], seed: int, replicates: int) -> DataFrame:
-    """Cluster bootstrap by day: ``values`` has keys, day, value. Per group the mean, the 80 and 95 % intervals of the mean
-    and the share of positive replicates; groups with fewer than 3 days are left out. Days are summed first, so a
-    replicate draws (sum, count) pairs: its size depends on days, not on rows."""
-    days = values.where("value is not null").groupBy(*keys, "day").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
+def horizon_probability(rows: DataFrame, keys: list[str], horizon: float) -> DataFrame:
+    """Per group the Kaplan-Meier probability, in percent, of the event within ``horizon``; null where not all had it and
+    nothing was observed so long. Durations below zero or not finite are left out."""
+    r = rows.where("duration >= 0").where(F.col("duration") < float("inf"))
+    # What lasts longer than the horizon counts as at risk alone, so the curve ends there.
+    cut = r.withColumns({"event": F.col("event") & (F.col("duration") <= horizon)})
+    curve = kaplan_meier(cut, keys).groupBy(*keys).agg(F.min_by("survival", F.col("at_risk")).alias("s"))
+    far = r.groupBy(*keys).agg(F.max("duration").alias("longest"))
+    j = far.join(curve, keys, "left").withColumn("s", F.coalesce("s", F.lit(1.0)))
+    return j.select(*keys, F.when((F.col("s") == 0) | (F.col("longest") >= horizon), (1 - F.col("s")) * 100).alias("probability"))
+
+
+def day_bootstrap(values: DataFrame, keys: list[str], seed: int, replicates: int = 2000) -> DataFrame:
+    """Cluster bootstrap by day: ``values`` has keys, day, value. Per group the median, the 80 and 95 % intervals of the
+    replicates' medians and the share of positive ones; groups with fewer than 3 days are left out.
+
+    A replicate draws days; a value counts as often as its day was drawn, so equal values of a day are one row with their
+    number. The table of draws has replicates x days rows."""
+    v = values.where("value is not null").groupBy(*keys, "day", "value").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*keys)
+    days = v.groupBy(*keys, "day").agg(F.sum("c").alias("n"))
     days = days.withColumns({"i": F.row_number().over(w.orderBy("day")) - 1, "k": F.count(F.lit(1)).over(w)}).where("k >= 3")
-    draws = days.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(*keys, "rep", F.col("i").alias("draw"), hash_index(F.lit(seed), F.col("rep"), F.col("i"), F.col("k")).alias("i"))
-    rep = draws.join(days.select(*keys, "i", "s", "c"), [*keys, "i"]).groupBy(*keys, "rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+    draws = days.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(*keys, "rep", hash_index(F.lit(seed), F.col("rep"), F.col("i"), F.col("k")).alias("i"))
+    times = draws.groupBy(*keys, "rep", "i").agg(F.count(F.lit(1)).alias("times"))
+    j = times.join(days.select(*keys, "day", "i"), [*keys, "i"]).join(v, [*keys, "day"])
+    rep = j.groupBy(*keys, "rep").agg(F.percentile("value", 0.5, F.col("c") * F.col("times")).alias("m"))
     ci = rep.groupBy(*keys).agg(F.percentile("m", F.array(*map(F.lit, (0.025, 0.1, 0.9, 0.975)))).alias("q"), F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("positive"))
-    base = days.groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("mean"), F.max("k").alias("days"))
-    return base.join(ci, keys).select(*keys, "days", "mean", F.col("q")[0].alias("lo95"), F.col("q")[1].alias("lo80"), F.col("q")[2].alias("hi80"), F.col("q")[3].alias("hi95"), "positive")
+    base = v.join(days.select(*keys, "day", "k"), [*keys, "day"]).groupBy(*keys).agg(F.percentile("value", 0.5, F.col("c")).alias("median"), F.max("k").alias("days"))
+    return base.join(ci, keys).select(*keys, "days", "median", F.col("q")[0].alias("lo95"), F.col("q")[1].alias("lo80"), F.col("q")[2].alias("hi80"), F.col("q")[3].alias("hi95"), "positive")
 
 
 def leave_one_day_out(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: the smallest and largest mean when one day is left out, and the share of days whose omission keeps its
-    sign. From totals minus the day's own, without a self-join."""
+    """Per group of at least 3 days: the smallest, middle and largest median when one day is left out, how often its sign
+    turns against that of all values, and the day whose omission moves it most (ties: the earliest).
+
+    Without a day of m values the middle values of the rest lie at most m ranks above their place among the rest, so
+    each day looks at m + 2 ranks: about as many rows in all as there are values."""
     w = Window.partitionBy(*keys)
-    d = values.where("value is not null").groupBy(*keys, "day").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
-    d = d.withColumns({"_S": F.sum("s").over(w), "_C": F.sum("c").over(w)}).withColumn("m", F.try_divide(F.col("_S") - F.col("s"), F.col("_C") - F.col("c")))
-    same = F.avg(F.when(F.signum("m") == F.signum(F.col("_S")), 1.0).otherwise(0.0))
-    return d.where("m is not null").groupBy(*keys).agg(F.min("m").alias("lowest"), F.max("m").alias("highest"), same.alias("stable_share"), F.count(F.lit(1)).alias("days"))
+    v = values.where("value is not null").select(*keys, "day", "value").withColumn("r", F.row_number().over(w.orderBy("value", "day")) - 1)
+    days = v.groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("m")).withColumns({"n": F.sum("m").over(w), "k": F.count(F.lit(1)).over(w)}).where("k >= 3")
+    days = days.withColumns({"t0": F.expr("(n - m - 1) div 2"), "t1": F.expr("(n - m) div 2")}).withColumnRenamed("day", "out")
+    look = days.withColumn("r", F.explode(F.sequence("t0", F.col("t1") + F.col("m")))).select(*keys, "out", "t0", "t1", "r")
+    c = look.join(v, [*keys, "r"]).withColumn("own", F.col("day") == F.col("out"))
+    below = v.join(days.select(*keys, F.col("out").alias("day"), "t0"), [*keys, "day"]).groupBy(*keys, "day").agg(F.count_if(F.col("r") < F.col("t0")).alias("under")).withColumnRenamed("day", "out")
+    # A value's rank among the rest is its rank less the day's own values before it.
+    own = F.sum(F.when(F.col("own"), 1).otherwise(0)).over(Window.partitionBy(*keys, "out").orderBy("r"))
+    c = c.withColumn("_own", own).join(below, [*keys, "out"]).withColumn("rest", F.col("r") - F.col("_own") - F.col("under")).where("not own and rest between t0 and t1")
+    est = c.groupBy(*keys, "out").agg(F.avg("value").alias("e"))
+    full = v.groupBy(*keys).agg(F.percentile("value", 0.5).alias("median"))
+    j = est.join(full, keys).withColumn("move", F.round(F.abs(F.col("e") - F.col("median")), 9))
+    turned = F.count_if((F.abs("median") > 1e-12) & (F.col("e") != 0) & (F.signum("e") != F.signum("median")))
+    return j.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("days"), F.min("e").alias("lowest"), F.percentile("e", 0.5).alias("middle"), F.max("e").alias("highest"), turned.alias("sign_reversals"), F.max_by("out", F.struct("move", -F.datediff("out", F.lit("1970-01-01")))).alias("influential_day")
+    )
+
+
+def moving_block_length(units: int) -> int | None:
+    """See ``functions.scalars.block_length``; on the driver."""
+    return None if units < 15 else 2 if units < 30 else 3 if units < 60 else min(5, max(3, round(units ** (1 / 3))))
+
+
+#: Fixed value: what the stream of block draws is seeded with, besides the seed and the sizes.
+BLOCK_TAG = "market-replay-moving-block-v1"
 
 
 def block_indices(spark: SparkSession, seed: str, replicates: int, units: int, length: int) -> DataFrame:
-    """(rep, pos, unit): circular moving-block draws from a SHAKE-256 stream. Built on the driver: its size is replicates x units."""
+    """(rep, pos, unit): circular moving-block draws, eight bytes of one SHAKE-256 stream per block. The starts are made on
+    the driver: eight bytes for each of replicates x units / length blocks."""
     blocks = -(-units // length)
-    stream = hashlib.shake_256(seed.encode()).digest(8 * replicates * blocks)
-    starts = [int.from_bytes(stream[8 * i : 8 * i + 8], "big") % units for i in range(replicates * blocks)]
-    rows = [(i // blocks, i % blocks, s) for i, s in enumerate(starts)]
+    stream = hashlib.shake_256(f"{BLOCK_TAG}|{seed}|{replicates}|{units}|{length}".encode()).digest(8 * replicates * blocks)
+    rows = [(i // blocks, i % blocks, int.from_bytes(stream[8 * i : 8 * i + 8], "big") % units) for i in range(replicates * blocks)]
     b = spark.createDataFrame(rows, "rep int, block int, start int")
     return b.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).select("rep", (F.col("block") * length + F.col("o")).alias("pos"), F.pmod(F.col("start") + F.col("o"), F.lit(units)).alias("unit")).where(f"pos < {units}")
 

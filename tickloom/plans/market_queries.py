@@ -13,8 +13,13 @@ BAR_S, PERIOD = 60, 14
 HALF_HOUR_US = 1_800_000_000
 
 
-def _ticks(spark: SparkSession, d: str) -> DataFrame:
-    return quotes.with_prices(quotes.clean_ticks(table(spark, d, "ticks")))
+def _ticks(spark: SparkSession, d: str, clustered: bool = False) -> DataFrame:
+    return quotes.with_prices(quotes.clean_ticks(table(spark, d, "ticks"), clustered=clustered))
+
+
+def _prices_as_delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of all deliveries, for aggregates that a repeated reading does not change: no shuffle."""
+    return quotes.with_prices(table(spark, d, "ticks").where("tick_id is not null").select(*quotes.READING))
 
 
 def quote_prices(spark: SparkSession, d: str) -> DataFrame:
@@ -50,11 +55,11 @@ def ohlc_bars(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_atr(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: minute bars, their true range and 14-bar ATR%, and each session's latest, ranked."""
-    return bars.latest(bars.bar_atr(bars.ohlc(_ticks(spark, d), BAR_S), PERIOD))
+    return bars.latest(bars.bar_atr(bars.ohlc(_prices_as_delivered(spark, d), BAR_S).drop("readings"), PERIOD))
 
 
 def tick_atr(spark: SparkSession, d: str) -> DataFrame:
-    return bars.tick_atr(_ticks(spark, d), PERIOD, BAR_S)
+    return bars.tick_atr(_ticks(spark, d, True), PERIOD, BAR_S)
 
 
 def tick_atr_phase(spark: SparkSession, d: str) -> DataFrame:
@@ -143,10 +148,9 @@ def buy_excursions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_sells(spark: SparkSession, d: str) -> DataFrame:
-    """First trailing sale of each filled cycle. The activation price is that of the registered SQL, which divides
-    rise_trigger_pct by 1000: a tenth of the percentage by which the reference raises the buy price."""
+    """First trailing sale of each filled cycle, activated where the buy price has risen by rise_trigger_pct percent."""
     c = cycles_once(table(spark, d, "cycles"))
-    s = c.select("id", F.upper("ticker").alias("e"), F.unix_micros("buy_filled_at").alias("t"), (F.col("avg_buy_price") * (1 + F.col("rise_trigger_pct") / 1000)).alias("required"), "sell_trailing_stop_pct").where("t is not null and required > 0 and sell_trailing_stop_pct > 0")
+    s = c.select("id", F.upper("ticker").alias("e"), F.unix_micros("buy_filled_at").alias("t"), (F.col("avg_buy_price") * (1 + F.col("rise_trigger_pct") / 100)).alias("required"), "sell_trailing_stop_pct").where("t is not null and required > 0 and sell_trailing_stop_pct > 0")
     return triggers.first_sell(triggers.paths(s, _prices(spark, d), 4 * HALF_HOUR_US), "required", "sell_trailing_stop_pct")
 
 
@@ -154,7 +158,7 @@ def quote_ages(spark: SparkSession, d: str) -> DataFrame:
     """Per session the mean and largest age of the bid; a bid event without a sound bid resets it to none."""
     w = Window.partitionBy("session_id").orderBy("elapsed_ns", "sequence", "tick_id")
     at = F.last(F.when(F.col("bid_event"), F.struct(F.when(F.col("vbid").isNotNull(), F.col("elapsed_ns")).alias("ns"))), True).over(w)
-    a = _ticks(spark, d).withColumn("age", (F.col("elapsed_ns") - at["ns"]) / 1e9)
+    a = _ticks(spark, d, True).withColumn("age", (F.col("elapsed_ns") - at["ns"]) / 1e9)
     return a.groupBy("session_id").agg(F.avg("age").alias("mean_age_s"), F.max("age").alias("max_age_s"), F.count("age").alias("aged"))
 
 
@@ -171,10 +175,12 @@ t as (select *, case when vbid is not null and vask is not null then case when l
   else coalesce(case when mark_price > 0 and isfinite(mark_price) then mark_price end, l, case when close > 0 and isfinite(close) then close end) end as price,
   ch = '' as full_snapshot, ch = '' or contains(',' || ch || ',', ',last,') as last_event, ch = '' or contains(',' || ch || ',', ',bid,') as bid_event, ch = '' or contains(',' || ch || ',', ',ask,') as ask_event from t2)"""
 STAMP = "epoch_us(cast(case when regexp_matches(executed_at, '(Z|[+-]\\d\\d:?\\d\\d)$') then executed_at else executed_at || 'Z' end as timestamptz))"
-X = f"""x as (select id, min(cycle_id) as cycle_id, min(upper(trim(ticker))) as e, min(order_ref) as order_ref, min(side) as side, min(shares) as shares, min(price) as price, max(commission) as commission, max({STAMP}) as t,
-  cast(make_timestamp(max({STAMP})) as date) as day, min(shares) * min(price) as notional from executions where id is not null group by id)"""
-S = """s as (select session_id, min(con_id) as con_id, min(session_date) as session_date, min(epoch_us(schedule_open_utc)) as open_us, min(epoch_us(schedule_close_utc)) as close_us, min(epoch_us(observed_start_utc)) as start_us, max(epoch_us(observed_end_utc)) as end_us
-  from sessions where session_id is not null group by session_id)"""
+X = f"""x as (select id, f.*, cast(make_timestamp(f.t) as date) as day, f.shares * f.price as notional from (
+  select id, max_by(struct_pack(cycle_id := cycle_id, e := upper(trim(ticker)), order_ref := order_ref, side := side, shares := shares, price := price, commission := commission, t := {STAMP}),
+    struct_pack(c := coalesce(commission, -1e300::double), t := coalesce({STAMP}, 0), x := coalesce(executed_at, ''), k := coalesce(ticker, ''), r := coalesce(order_ref, ''), y := coalesce(cycle_id, ''))) as f from executions where id is not null group by id))"""
+S = """s as (select session_id, f.* from (select session_id, max_by(struct_pack(con_id := con_id, session_date := session_date, open_us := epoch_us(schedule_open_utc), close_us := epoch_us(schedule_close_utc), start_us := epoch_us(observed_start_utc), end_us := epoch_us(observed_end_utc)),
+    struct_pack(a := coalesce(epoch_us(observed_end_utc), -1), b := coalesce(epoch_us(schedule_open_utc), -1), c := coalesce(epoch_us(observed_start_utc), -1), d := coalesce(epoch_us(schedule_close_utc), -1), e := coalesce(con_id, -1), g := coalesce(session_date, ''))) as f
+  from sessions where session_id is not null group by session_id))"""
 C = """c as (select id, x.* from (select id, max_by(struct_pack(bot_id := bot_id, ticker := ticker, stage := stage, created_at := created_at, updated_at := updated_at, buy_rebound_trail_pct := buy_rebound_trail_pct, rise_trigger_pct := rise_trigger_pct, sell_trailing_stop_pct := sell_trailing_stop_pct,
   buy_filled_at := buy_filled_at, avg_buy_price := avg_buy_price, buy_filled_qty := buy_filled_qty, sell_filled_qty := sell_filled_qty, avg_sell_price := avg_sell_price, sell_filled_at := sell_filled_at, protective_sell_filled_qty := protective_sell_filled_qty, net_pnl := net_pnl, atr_period := atr_period, atr_bar_seconds := atr_bar_seconds, cycle_number := cycle_number),
   struct_pack(u := coalesce(updated_at, created_at), n := coalesce(net_pnl, 0.0))) as x from cycles where id is not null group by id))"""
@@ -212,12 +218,14 @@ q3 as (select *, case when count(tr) over w = {PERIOD} then avg(tr) over w end a
 m as (select session_id, max_by(struct_pack(bar := bar, close := close, atr := atr, atr_pct := atr / close * 100), bar) as x from q3 where atr > 0 group by 1),
 n as (select session_id, x.* from m) select *, row_number() over (order by round(atr_pct, 9) desc, session_id) as rank from n""",
     "tick_atr": f"with {T}, {_TICK_ATR}",
-    "session_quality": f"""with {T}, y as (select *, (elapsed_ns - lag(elapsed_ns) over w) / 1e9 as gap, case when last_event then (elapsed_ns - last_value(case when last_event then elapsed_ns end ignore nulls) over (partition by session_id order by elapsed_ns, sequence, tick_id rows between unbounded preceding and 1 preceding)) / 1e9 end as lgap
-  from t window w as (partition by session_id order by elapsed_ns, sequence, tick_id)),
-a as (select session_id, count(*) as readings, max(gap) as max_gap_s, count(*) filter (last_event) as last_events, count(distinct case when last_event then us // 60000000 end) as minutes, quantile_cont(lgap, 0.95) as p95_last_gap_s, max(us) as last_us from y group by 1),
-{S}, j as (select s.*, a.* exclude (session_id), greatest(coalesce(end_us, last_us), start_us) as e from s left join a using (session_id) where close_us > open_us)
-select session_id, coalesce(readings, 0) as readings, greatest(0, least(e, close_us) - greatest(start_us, open_us)) / 1e6 / ((close_us - open_us) / 1e6) * 100 as coverage_pct, (start_us - open_us) / 1e6 as start_lag_s, (close_us - e) / 1e6 as end_lead_s, max_gap_s,
-  coalesce(last_events, 0) as last_events, coalesce(minutes, 0) / ceil((close_us - open_us) / 1e6 / 60) * 100 as minute_coverage_pct, p95_last_gap_s from j""",
+    "session_quality": f"""with {T}, {S}, h as (select *, coalesce(last_event and last > 0 and isfinite(last), false) as hit from t),
+y as (select *, (elapsed_ns - lag(elapsed_ns) over w) / 1e9 as gap, case when hit then (elapsed_ns - last_value(case when hit then elapsed_ns end ignore nulls) over (partition by session_id order by elapsed_ns, sequence, tick_id rows between unbounded preceding and 1 preceding)) / 1e9 end as lgap
+  from h window w as (partition by session_id order by elapsed_ns, sequence, tick_id)),
+n as (select session_id, count(distinct (us - open_us) // 60000000) as minutes from h join s using (session_id) where hit and us >= open_us and us < close_us group by 1),
+a as (select session_id, count(*) as readings, max(gap) as max_gap_s, count(*) filter (hit) as last_events, quantile_cont(lgap, 0.95) as p95_last_gap_s, max(us) as last_us from y group by 1),
+j as (select s.*, a.* exclude (session_id), minutes, greatest(coalesce(end_us, last_us), start_us) as e from s left join a using (session_id) left join n using (session_id) where close_us > open_us)
+select session_id, coalesce(readings, 0) as readings, least(100, greatest(0, least(e, close_us) - greatest(start_us, open_us)) / 1e6 / ((close_us - open_us) / 1e6) * 100) as coverage_pct, greatest(0, (start_us - open_us) / 1e6) as start_lag_s, greatest(0, (close_us - e) / 1e6) as end_lead_s, max_gap_s,
+  coalesce(last_events, 0) as last_events, least(100, coalesce(minutes, 0) / greatest(1, ceil((close_us - open_us) / 1e6 / 60)) * 100) as minute_coverage_pct, p95_last_gap_s from j""",
     "continuity_chains": f"""with {S}, d as (select *, coalesce(try_strptime(session_date, '%Y%m%d'), try_strptime(session_date, '%Y-%m-%d'))::date as day from s),
 l as (select *, lag(day) over w as pd, lag(close_us) over w as pc from d window w as (partition by con_id order by open_us, session_id))
 select session_id, con_id, (sum(case when day = pd + (case dayofweek(pd) when 5 then 3 when 6 then 2 else 1 end)::int and open_us >= pc then 0 else 1 end) over (partition by con_id order by open_us, session_id))::int as chain from l""",
@@ -230,7 +238,7 @@ select id, side, quote, (t - qt) / 1e6 as age_s, greatest(case side when 'BOT' t
 select id, quotes, greatest(0, 1 - lo / price) * 10000 as avoided_bps, greatest(0, hi / price - 1) * 10000 as regret_bps from j""",
     "first_buys": f"with {T}, {_BUY} select id, x is not null as triggered, x.t as trigger_t, x.price as trigger_price, x.low as low from h",
     "buy_excursions": f"with {T}, {_BUY} select p.id, greatest(max((p.price / h.x.price - 1) * 10000), 0) as mfe_bps, greatest(-min((p.price / h.x.price - 1) * 10000), 0) as mae_bps from p join h on p.id = h.id and h.x is not null and p.t >= h.x.t group by 1",
-    "first_sells": f"""with {T}, {C}, z as (select id, upper(ticker) as e, epoch_us(buy_filled_at) as t0, avg_buy_price * (1 + rise_trigger_pct / 1000) as required, sell_trailing_stop_pct as trail from c where buy_filled_at is not null and avg_buy_price * (1 + rise_trigger_pct / 1000) > 0 and sell_trailing_stop_pct > 0),
+    "first_sells": f"""with {T}, {C}, z as (select id, upper(ticker) as e, epoch_us(buy_filled_at) as t0, avg_buy_price * (1 + rise_trigger_pct / 100) as required, sell_trailing_stop_pct as trail from c where buy_filled_at is not null and avg_buy_price * (1 + rise_trigger_pct / 100) > 0 and sell_trailing_stop_pct > 0),
 p as (select z.*, t.us as t, t.price, t.tick_id from z join t on t.symbol = z.e and t.us > z.t0 and t.us <= z.t0 + {4 * HALF_HOUR_US} where t.price is not null),
 o as (select *, max(case when price >= required then 1 else 0 end) over (partition by id order by t, tick_id) as act from p),
 r as (select *, row_number() over w as n, max(price) over w as high from o where act = 1 window w as (partition by id order by t, tick_id)),

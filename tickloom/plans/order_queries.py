@@ -10,7 +10,7 @@ from ..operators import fragments, grids, orders, stats
 from ..util import table
 from .market_queries import C, X, cycles_once
 
-SEED, REPLICATES = 20240101, 200
+SEED, REPLICATES = 20240101, 2000
 #: Weights of the four score policies: policy, median, mean, worst, drawdown, open share.
 POLICIES = [("balanced", 0.5, 0.3, 0.2, 0.35, 25.0), ("drawdown", 0.35, 0.15, 0.5, 0.7, 35.0), ("return", 0.55, 0.35, 0.1, 0.2, 20.0), ("stressed", 0.5, 0.3, 0.2, 0.5, 40.0)]
 
@@ -99,7 +99,7 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Moving-block bootstrap of the daily mean return over all bots: 80 and 95 % intervals."""
     days = _returns(spark, d).groupBy("day").agg(F.avg("value").alias("m")).withColumn("unit", F.row_number().over(Window.orderBy("day")) - 1)
     n = days.count()
-    length = 2 if n < 30 else 3 if n < 60 else min(5, int(n ** (1 / 3) + 1e-9))
+    length = stats.moving_block_length(n) or 1
     ix = stats.block_indices(spark, str(SEED), REPLICATES, max(n, 1), length)
     rep = ix.join(days, "unit").groupBy("rep").agg(F.avg("m").alias("m"))
     return rep.agg(F.count(F.lit(1)).alias("replicates"), *[F.percentile("m", F.lit(q)).alias(c) for q, c in ((0.025, "lo95"), (0.1, "lo80"), (0.9, "hi80"), (0.975, "hi95"))])
@@ -124,6 +124,14 @@ def hold_survival(spark: SparkSession, d: str) -> DataFrame:
     return stats.kaplan_meier(c.select("bot_id", minutes.alias("duration"), F.col("sell_filled_at").isNotNull().alias("event")), ["bot_id"])
 
 
+def sale_probability(spark: SparkSession, d: str) -> DataFrame:
+    """Per bot the probability of a sale within a day of the buy (Kaplan-Meier)."""
+    c = _cycles(spark, d).where("buy_filled_at is not null")
+    end = F.coalesce("sell_filled_at", "updated_at", "buy_filled_at")
+    seconds = (F.unix_micros(end) - F.unix_micros("buy_filled_at")) / 1e6
+    return stats.horizon_probability(c.select("bot_id", seconds.alias("duration"), F.col("sell_filled_at").isNotNull().alias("event")), ["bot_id"], 86400.0)
+
+
 def setting_regimes(spark: SparkSession, d: str) -> DataFrame:
     """Contiguous stretches of one ATR window per bot."""
     c = _cycles(spark, d).withColumn("atr_window", F.concat_ws("x", F.coalesce(F.col("atr_period").cast("string"), F.lit("?")), F.coalesce(F.col("atr_bar_seconds").cast("string"), F.lit("?"))))
@@ -197,7 +205,7 @@ def hash_draws(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (fills_once, order_groups, allocated_commissions, commission_percentiles, cross_fitted_costs, cycle_fills, fills_without_cycle, completed_cycles, pnl_summary, return_scores, return_bootstrap, return_leave_one_out,
-              block_bootstrap, walk_forward_folds, hold_survival, setting_regimes, equity_drawdown, pareto_tickers, leave_own_out, grid_regions, chosen_fragments, data_through, ticker_union, symbols_recorded, setting_checks, hash_draws)
+              block_bootstrap, walk_forward_folds, hold_survival, sale_probability, setting_regimes, equity_drawdown, pareto_tickers, leave_own_out, grid_regions, chosen_fragments, data_through, ticker_union, symbols_recorded, setting_checks, hash_draws)
 }
 
 _C = C.replace("net_pnl := net_pnl,", "net_pnl := net_pnl, gross_pnl := gross_pnl, initial_drop_pct := initial_drop_pct, atr_min_pct := atr_min_pct,")
@@ -224,19 +232,23 @@ select id, case when buy_filled_qty > 0 and avg_buy_price > 0 then buy_filled_qt
     "return_scores": f"""with {C}, {_R}, p(policy, a, b, w, dd, o) as (values {', '.join(str(x) for x in POLICIES)}),
 g as (select ticker, median(value) as md, avg(value) as mn, min(value) as ws, max(greatest(-value, 0)) as dr, avg(case when sell_filled_at is null then 1.0 else 0.0 end) as os, count(*) as n from r group by 1)
 select ticker, policy, n, a::double * md + b::double * mn + w::double * ws - dd::double * dr - o::double * os as score from g, p""",
-    "return_bootstrap": f"""with {C}, {_R}, {_D}, e as (select *, row_number() over (partition by bot_id order by day) - 1 as i, count(*) over (partition by bot_id) as k from d),
+    "return_bootstrap": f"""with {C}, {_R}, e as (select bot_id, day, row_number() over (partition by bot_id order by day) - 1 as i, count(*) over (partition by bot_id) as k from (select distinct bot_id, day from r)),
 h as (select bot_id, rep, (cast('0x' || left(sha256('{SEED}|' || rep || '|' || i), 16) as ubigint) % k)::bigint as i from e, range({REPLICATES}) as z(rep) where k >= 3),
-m as (select h.bot_id, rep, sum(s) / sum(c) as m from h join e on h.bot_id = e.bot_id and h.i = e.i group by 1, 2),
+m as (select h.bot_id, rep, median(value) as m from h join e on h.bot_id = e.bot_id and h.i = e.i join r on r.bot_id = e.bot_id and r.day = e.day group by 1, 2),
 ci as (select bot_id, quantile_cont(m, 0.025) as lo95, quantile_cont(m, 0.1) as lo80, quantile_cont(m, 0.9) as hi80, quantile_cont(m, 0.975) as hi95, avg(case when m > 0 then 1.0 else 0.0 end) as positive from m group by 1)
-select bot_id, b.days, b.mean, lo95, lo80, hi80, hi95, positive from ci join (select bot_id, max(k) as days, sum(s) / sum(c) as mean from e group by 1) b using (bot_id)""",
-    "return_leave_one_out": f"""with {C}, {_R}, {_D}, e as (select *, sum(s) over w as st, sum(c) over w as ct from d window w as (partition by bot_id)), f as (select *, (st - s) / nullif(ct - c, 0) as m from e)
-select bot_id, min(m) as lowest, max(m) as highest, avg(case when sign(m) = sign(st) then 1.0 else 0.0 end) as stable_share, count(*) as days from f where m is not null group by 1""",
+select bot_id, b.days, b.median, lo95, lo80, hi80, hi95, positive from ci join (select bot_id, count(distinct day) as days, median(value) as median from r group by 1) b using (bot_id)""",
+    "return_leave_one_out": f"""with {C}, {_R}, e as (select o.bot_id, o.day as omitted, median(r.value) as e from (select distinct bot_id, day from r) o join r on r.bot_id = o.bot_id and r.day <> o.day group by 1, 2),
+f as (select bot_id, median(value) as median, count(distinct day) as k from r group by 1), j as (select *, round(abs(e - median), 9) as move from e join f using (bot_id) where k >= 3)
+select bot_id, count(*) as days, min(e) as lowest, median(e) as middle, max(e) as highest, count(*) filter (abs(median) > 1e-12 and e <> 0 and sign(e) <> sign(median)) as sign_reversals, max_by(omitted, struct_pack(a := move, b := -(omitted - date '1970-01-01'))) as influential_day from j group by 1""",
     "walk_forward_folds": f"""with {C}, {_R}, y as (select day, sum(value) as s, count(*) as c, row_number() over (order by day) - 1 as unit, count(*) over () as n from r group by 1),
 f as (select (a - greatest(2, n // 2))::int as fold, a as train_end, a + 1 as valid_end from (select distinct n from y), range(0, 1000) as z(a) where a >= greatest(2, n // 2) and a < n)
 select fold, sum(s) filter (unit < train_end) / sum(c) filter (unit < train_end) as train, sum(s) filter (unit >= train_end) / sum(c) filter (unit >= train_end) as validate from y join f on unit < valid_end group by 1""",
     "hold_survival": f"""with {C}, y as (select bot_id, greatest((epoch_us(coalesce(sell_filled_at, updated_at, buy_filled_at)) - epoch_us(buy_filled_at)) // 60000000, 0) as duration, sell_filled_at is not null as event from c where buy_filled_at is not null),
 g as (select bot_id, duration, count(*) filter (event) as events, count(*) as n from y group by 1, 2), h as (select *, sum(n) over (partition by bot_id order by duration desc) as at_risk from g)
 select bot_id, duration, at_risk, events, product(1 - events / at_risk) over (partition by bot_id order by duration) as survival from h where events > 0""",
+    "sale_probability": f"""with {C}, y as (select bot_id, (epoch_us(coalesce(sell_filled_at, updated_at, buy_filled_at)) - epoch_us(buy_filled_at)) / 1e6 as duration, sell_filled_at is not null as event from c where buy_filled_at is not null), z as (select * from y where duration >= 0),
+g as (select bot_id, duration, count(*) filter (event and duration <= 86400) as events, count(*) as n from z group by 1, 2), h as (select *, sum(n) over (partition by bot_id order by duration desc) as at_risk from g),
+k as (select bot_id, product(1 - events / at_risk) as s, max(duration) as longest from h group by 1) select bot_id, case when s = 0 or longest >= 86400 then (1 - s) * 100 end as probability from k""",
     "setting_regimes": f"""with {C}, y as (select bot_id, cycle_number, id, coalesce(atr_period::varchar, '?') || 'x' || coalesce(atr_bar_seconds::varchar, '?') as atr_window from c), z as (select *, lag(atr_window) over (partition by bot_id order by cycle_number, id) as p from y),
 q as (select *, (sum(case when p = atr_window then 0 else 1 end) over (partition by bot_id order by cycle_number, id))::int as regime from z) select bot_id, regime, any_value(atr_window) as atr_window, count(*) as rows, min(cycle_number) as first, max(cycle_number) as last from q group by 1, 2""",
     "equity_drawdown": f"""with {C}, y as (select bot_id, created_at, id, 10000 + sum(net_pnl) over (partition by bot_id order by created_at, id) as equity from c where net_pnl is not null), z as (select *, max(equity) over (partition by bot_id order by created_at, id) as peak from y where equity > 0)
@@ -248,9 +260,11 @@ select id, s / nullif(n, 0) as others_bps, n as others from z""",
     "data_through": f"with {X} select greatest((select max(epoch_us(captured_at_utc)) from ticks), (select greatest(max(epoch_us(updated_at)), max(epoch_us(created_at))) from cycles), (select max(t) from x)) as through_us",
     "ticker_union": "with u as (select upper(trim(ticker)) as ticker, true as c, false as x from cycles union all select upper(trim(ticker)), false, true from executions) select ticker, bool_or(c) as in_cycles, bool_or(x) as in_executions from u group by 1",
     "symbols_recorded": "select upper(trim(ticker)) as symbol from executions intersect select symbol from ticks",
-    "setting_checks": f"""with {_C} select id, case when atr_min_pct is null then null else least(greatest(round(atr_min_pct * 1.5::double, 2), 0.2), 1.0) end as pct, case when atr_min_pct is null then 'unavailable' when round(atr_min_pct * 1.5::double, 2) <= 0.2 then 'min' when round(atr_min_pct * 1.5::double, 2) >= 1 then 'max' else 'raw' end as state,
-  round(ceil(avg_buy_price / 0.05::double - 1e-12) * 0.05::double, 8) as up, round(floor(avg_buy_price / 0.05::double + 1e-12) * 0.05::double, 8) as down, (cast(created_at as date) + (case dayofweek(created_at) when 5 then 3 when 6 then 2 else 1 end)::int)::date as next_day,
-  regexp_replace(regexp_replace(ticker || ' / ' || stage, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') as folder, (case when cycle_number < 15 then null when cycle_number < 30 then 2 when cycle_number < 60 then 3 else least(5, floor(cbrt(cycle_number) + 1e-9)) end)::int as blocks from c""",
+    "setting_checks": f"""with {_C} select id, round(case when not coalesce(atr_min_pct > 0, false) then null when atr_min_pct * 1.5::double <= 0.2::double then 0.2::double when atr_min_pct * 1.5::double >= 1 then 1 else atr_min_pct * 1.5::double end, 2) as pct,
+  case when not coalesce(atr_min_pct > 0, false) then 'unavailable' when atr_min_pct * 1.5::double <= 0.2::double then 'min' when atr_min_pct * 1.5::double >= 1 then 'max' else 'raw' end as state,
+  case when avg_buy_price is not null then round(greatest(0.05::double, ceil(avg_buy_price / 0.05::double - 1e-12) * 0.05::double), 2) end as up, case when avg_buy_price is not null then round(greatest(0.05::double, floor(avg_buy_price / 0.05::double + 1e-12) * 0.05::double), 2) end as down,
+  (cast(created_at as date) + (case dayofweek(created_at) when 5 then 3 when 6 then 2 else 1 end)::int)::date as next_day,
+  regexp_replace(regexp_replace(ticker || ' / ' || stage, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') as folder, (case when cycle_number < 15 then null when cycle_number < 30 then 2 when cycle_number < 60 then 3 else least(5, greatest(3, round(cbrt(cycle_number)))) end)::int as blocks from c""",
     "hash_draws": f"with {C} select id, (cast('0x' || left(sha256('{SEED}|' || cycle_number || '|' || id), 16) as ubigint) % 1000)::bigint as draw from c",
 }
 
@@ -264,10 +278,11 @@ ROUNDED: dict[str, list[str]] = {
     "cycle_fills": ["quantity", "price"],
     "pnl_summary": ["median_pnl", "net_pnl"],
     "return_scores": ["score"],
-    "return_bootstrap": ["mean", "lo95", "lo80", "hi80", "hi95", "positive"],
-    "return_leave_one_out": ["lowest", "highest", "stable_share"],
+    "return_bootstrap": ["median", "lo95", "lo80", "hi80", "hi95", "positive"],
+    "return_leave_one_out": ["lowest", "middle", "highest"],
     "walk_forward_folds": ["train", "validate"],
     "hold_survival": ["survival"],
+    "sale_probability": ["probability"],
     "equity_drawdown": ["max_drawdown_bps", "return_bps"],
     "pareto_tickers": ["median", "spread"],
     "leave_own_out": ["others_bps"],

@@ -15,7 +15,7 @@ GRID = [(f"{a:.2f}/{b:.2f}/{c:.2f}/{e:.2f}", a, b, c, e) for a, b, c, e in itert
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
-    t = quotes.with_prices(quotes.clean_ticks(table(spark, d, "ticks")))
+    t = quotes.with_prices(quotes.clean_ticks(table(spark, d, "ticks"), clustered=True))
     atr = bars.tick_atr(t, 14, 60)
     chains = quality.continuity_chains(table(spark, d, "sessions"))
     j = t.select("session_id", "tick_id", F.unix_micros("captured_at_utc").alias("us"), "price", "vbid", "vask").join(atr, ["session_id", "tick_id"], "left")
