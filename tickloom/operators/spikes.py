@@ -157,8 +157,7 @@ def _runs(base: DataFrame, th: DataFrame) -> DataFrame:
     # A reading without a mark in a slice with marks is measured against the mark before it, at the start the first, and
     # the next reading's: what lies between both counts as no distance.
     mark = F.coalesce("good", F.last("good", True).over(past), "good0")
-    d = d.withColumns({"_mark": mark, "_soon": F.lead("good").over(w), "_dup": F.lag("tick_id").over(w)} | {f"q_{f}": F.lag(f).over(w) for f in FIELDS} | {f"p_{f}": F.last(f, True).over(past) for f in FIELDS})
-    d = d.withColumn("_good", F.lag("_mark").over(w))
+    d = d.withColumns({"_mark": mark, "_soon": F.lead("good").over(w), "_good": F.lag("good").over(w), "_dup": F.lag("tick_id").over(w)} | {f"q_{f}": F.lag(f).over(w) for f in FIELDS} | {f"p_{f}": F.last(f, True).over(past) for f in FIELDS})
     d = d.withColumns({f"r_{f}": F.coalesce(f"r_{f}", F.when(F.col("own"), F.col(f"l_{f}")).otherwise(F.ln(F.when(~impossible(F.col(f)), F.col(f)) / F.col("_mark")))) for f in FIELDS})
     for f in FIELDS:
         r, soon = F.col(f"r_{f}"), F.ln(F.when(~impossible(F.col(f)), F.col(f)) / F.col("_soon"))
