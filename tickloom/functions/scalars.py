@@ -64,6 +64,34 @@ def effective_pct(atr_pct: Column, multiplier: Column, low: Column, high: Column
     return F.struct(F.round(pct, 2).alias("pct"), state.alias("state"))
 
 
+def multiplier(c: Column) -> Column:
+    """A multiplier of the ATR: two digits, 0.01 to 50; zero for zero and below, null for null."""
+    return F.when(c <= 0, 0.0).otherwise(F.least(F.lit(50.0), F.greatest(F.lit(0.01), F.when(c.isNotNull(), F.round(c, 2))))) * F.when(c.isNotNull(), 1.0)
+
+
+def window_part(c: Column, low: int, high: int) -> Column:
+    """A length of an ATR window held between its bounds; null for null."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
+
+
+def required_sale(buy: Column, profit_pct: Column, trail_pct: Column) -> Column:
+    """The price at which a trailing sale may start: the buy price plus the profit (0.01 % at least), four digits, divided by
+    what the trail leaves, four digits. Null without a buy price or with a trail of all."""
+    trail = F.greatest(F.lit(0.0), F.coalesce(trail_pct, F.lit(0.0))) / 100
+    stop = F.round(buy * (1 + F.greatest(F.lit(0.01), profit_pct) / 100), 4)
+    return F.when((buy > 0) & (trail < 1), F.round(stop / (1 - trail), 4))
+
+
+def improvement_bps(price: Column, base: Column, side: Column) -> Column:
+    """How much better than the base a price is, in basis points: lower for a purchase, higher for a sale."""
+    return F.when(base > 0, F.when(side == "SLD", price / base - 1).otherwise(1 - price / base) * 10000)
+
+
+def adverse_residual(bps: Column) -> Column:
+    """What is adverse of a residual in basis points, 0 at least; beyond 1000 either way it is no evidence."""
+    return F.when(F.abs(bps) <= 1000, F.greatest(F.lit(0.0), bps))
+
+
 def spread_bps(bid: Column, ask: Column) -> Column:
     return F.when((bid > 0) & (ask >= bid), (ask - bid) / ((ask + bid) / 2) * 10000)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest grid, in points, that is searched for regions on the driver.
@@ -17,6 +17,64 @@ def product(spark: SparkSession, axes: dict[str, list[float]]) -> DataFrame:
     return d
 
 
+#: The axes of a profile's multipliers, each with whether it may be zero.
+AXES = {"initial_x": False, "buy_x": True, "profit_x": False, "sell_x": True}
+#: The steps of the staged search.
+POLICIES = {"off": [0.0], "manual": [1.0, 2.0, 3.0, 4.0, 5.0], "atr": [1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5]}
+PERIODS = [5, 7, 10, 14, 21, 28]
+BARS = [15, 30, 60, 120]
+SCREEN = [(1.5, 0.75, 1.0, 1.0), (1.0, 0.5, 0.75, 0.75), (2.0, 1.0, 1.25, 1.25), (2.0, 1.0, 1.0, 1.0), (1.5, 0.75, 0.75, 0.5)]
+COARSE = {"initial_x": [0.75, 1.5, 2.25], "buy_x": [0.0, 0.75, 1.25], "profit_x": [0.5, 1.0, 1.5], "sell_x": [0.0, 0.75, 1.25]}
+MIN_PCT = [0.01, 0.05, 0.1, 0.2]
+FINE = 0.25
+
+
+def policy_grid(spark: SparkSession) -> DataFrame:
+    """(mode, value) of the protective policies."""
+    return spark.createDataFrame([(m, v) for m, values in POLICIES.items() for v in values], "mode string, value double")
+
+
+def window_grid(spark: SparkSession) -> DataFrame:
+    """Every window (period, bar_seconds) with every tuple of the screen."""
+    return product(spark, {"period": PERIODS, "bar_seconds": BARS}).join(F.broadcast(spark.createDataFrame(SCREEN, ", ".join(f"{a} double" for a in AXES))))
+
+
+def coarse_grid(spark: SparkSession) -> DataFrame:
+    return product(spark, COARSE | {"min_pct": MIN_PCT})
+
+
+def refined_grid(seeds: DataFrame) -> DataFrame:
+    """Every neighbour of the seeds by one fine step in each axis, the seeds among them, once; never below a step, or zero
+    where the axis may be zero. Other columns of the seeds stay."""
+    d = seeds
+    for axis, zero in AXES.items():
+        d = d.withColumn(axis, F.explode(F.array(*[F.greatest(F.lit(0.0 if zero else FINE), F.col(axis) + k * FINE) for k in (-1, 0, 1)])))
+    return d.distinct()
+
+
+def boundary_probes(points: DataFrame, best: DataFrame, step: float = FINE) -> DataFrame:
+    """Points one step outside the searched range in each axis in which a best point lies at its edge."""
+    ends = points.agg(*[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))])
+    b = best.join(F.broadcast(ends))  # one row
+    out = None
+    for axis, zero in AXES.items():
+        for at, move in ((f"hi_{axis}", step), (f"lo_{axis}", -step)):
+            least = 0.0 if zero else step
+            part = b.where((F.col(axis) == F.col(at)) & (F.col(axis) + move >= least)).withColumn(axis, F.col(axis) + move).select(*best.columns)
+            out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def near_best_runs(points: DataFrame, keys: list[str], axis: str, score: str, least: int) -> DataFrame:
+    """(keys, first, last, steps, centre, best, worst): runs of at least ``least`` neighbouring whole steps of an axis whose
+    score is within max(2, a tenth of the best) of the group's best."""
+    w = Window.partitionBy(*keys)
+    d = points.withColumn("_top", F.max(score).over(w)).where(F.col(score) >= F.col("_top") - F.greatest(F.lit(2.0), 0.1 * F.abs("_top")))
+    d = d.withColumn("_run", F.col(axis) - F.row_number().over(w.orderBy(axis)))
+    g = d.groupBy(*keys, "_run").agg(F.min(axis).alias("first"), F.max(axis).alias("last"), F.count(F.lit(1)).alias("steps"), F.max(score).alias("best"), F.min(score).alias("worst"))
+    return g.where(F.col("steps") >= least).select(*keys, "first", "last", "steps", F.expr("(first + last) div 2").alias("centre"), "best", "worst")
+
+
 def collapse(profiles: DataFrame, key: str, behaviour: list[str]) -> DataFrame:
     """(key, leader): profiles that behave alike in every column share the one with the smallest key, which alone is evaluated."""
     lead = profiles.groupBy(*behaviour).agg(F.min(key).alias("leader"))
