@@ -1,8 +1,10 @@
 """Continuous periods and gaps of intervals per entity.
 
-``session_window`` with a row-specific gap merges overlapping intervals natively. It runs twice: first per
-entity and slice of the start time, so that a hot entity is merged by many tasks, then over the merged
-periods of each entity. A gap is derived from the next period's start with ``lead``.
+``session_window`` with a row's own duration merges overlapping intervals natively, per entity and slice of the start
+time. What is left is post-processed: periods that touch, or that reach over the border of a slice, become one, and a gap
+is derived from the next period's start with ``lead``. All of it runs per slice; what a slice must know of the others - how
+far earlier periods reach, how many there are, where the next one starts - comes from one summary row per slice, so
+an entity of any size is many tasks.
 """
 
 from __future__ import annotations
@@ -10,19 +12,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..util import materialize
+
 #: Start-time slice of the first merge; any value gives the same result.
 SLICE_MS = 3_600_000
 
 
-def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge closed intervals [start_ms, end_ms] that overlap or share an end point."""
-    # Spark's sessions are half-open and must have a length, so each interval is drawn half a millisecond
-    # longer: intervals that share an end point then overlap, neighbours one millisecond apart do not.
-    span = F.make_interval(secs=((F.col("end_ms") - F.col("start_ms")).cast("decimal(18,6)") / 1000 + F.lit(0.0005).cast("decimal(18,6)")))
-    at = F.timestamp_micros(F.col("start_ms") * 1000)
-    return (
-        df.withColumn("_at", at).groupBy(*keys, F.session_window("_at", span)).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("session_window")
-    )
+def _overlaps(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge intervals [start_ms, end_ms] that overlap. Spark's sessions are half-open and have a length, so an interval of
+    no length is drawn a microsecond long; intervals that touch stay apart."""
+    us = F.greatest((F.col("end_ms") - F.col("start_ms")).cast("decimal(20,0)") * 1000, F.lit(1).cast("decimal(20,0)"))
+    span = F.make_interval(secs=(us / 1_000_000).cast("decimal(18,6)"))
+    d = df.withColumn("_at", F.timestamp_micros(F.col("start_ms") * 1000))
+    return d.groupBy(*keys, F.session_window("_at", span)).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("session_window")
+
+
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    on = F.lit(True)
+    for n in names:
+        on = on & a[n].eqNullSafe(b[f"_{n}"])
+    return on
+
+
+def _with_slices(df: DataFrame, per: DataFrame, names: list[str]) -> DataFrame:
+    """Adds the columns of the summary rows of the same entity and slice."""
+    per = per.withColumnsRenamed({n: f"_{n}" for n in names})
+    return df.join(per, _same(df, per, names)).drop(*[f"_{n}" for n in names])
 
 
 def periods_and_gaps(df: DataFrame, keys: list[str], start_ms: Column, end_ms: Column) -> DataFrame:
@@ -35,9 +50,23 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start_ms: Column, end_ms: C
     names = [f"_k{i}" for i in range(len(keys))]
     slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], start_ms.cast("long").alias("start_ms"), end_ms.cast("long").alias("end_ms"))
     slim = slim.where("start_ms <= end_ms")
-    cut = _merge(slim.withColumn("_slice", F.floor(F.col("start_ms") / SLICE_MS)), [*names, "_slice"]).drop("_slice")
-    merged = _merge(cut, names)
-    after = F.lead("start_ms").over(Window.partitionBy(*names).orderBy("start_ms"))
+    key = [*names, "_slice"]
+    cut = materialize(_overlaps(slim.withColumn("_slice", F.floor(F.col("start_ms") / SLICE_MS)), key))
+    # A period begins where nothing before it, in its slice or an earlier one, reaches its start.
+    w, o = Window.partitionBy(*key).orderBy("start_ms", "end_ms"), Window.partitionBy(*names).orderBy("_slice")
+    before = o.rowsBetween(Window.unboundedPreceding, -1)
+    reach = cut.groupBy(*key).agg(F.max("end_ms").alias("_m")).withColumn("_reach", F.max("_m").over(before)).drop("_m")
+    cut = _with_slices(cut, reach, key)
+    far = F.greatest("_reach", F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    cut = cut.withColumn("_new", F.when(far.isNull() | (F.col("start_ms") > far), 1).otherwise(0))
+    count = cut.groupBy(*key).agg(F.sum("_new").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    cut = _with_slices(cut.withColumn("_local", F.sum("_new").over(w)), count, key)
+    merged = cut.groupBy(*names, (F.col("_local") + F.col("_before")).alias("_period")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    merged = materialize(merged.withColumn("_slice", F.floor(F.col("start_ms") / SLICE_MS)))
+    later = o.rowsBetween(1, 1)
+    nexts = merged.groupBy(*key).agg(F.min("start_ms").alias("_f")).withColumn("_follow", F.first("_f").over(later)).drop("_f")
+    merged = _with_slices(merged.withColumn("_lead", F.lead("start_ms").over(Window.partitionBy(*key).orderBy("start_ms"))), nexts, key)
+    after = F.coalesce("_lead", "_follow")
     both = merged.withColumn("_next", after).withColumn(
         "_row",
         F.explode(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[Callable[[], None]] = []
+
+
+@atexit.register
+def release() -> None:
+    """Removes the tables written so far. For a driver that runs one query after the other: once a query's result is
+    written, its intermediate tables are of no use, and DataFrames that read them can no longer run."""
+    while _written:
+        _written.pop()()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once as a parquet table in the shared folder and read it back.
 
-    The files survive the loss of any executor; they are removed when the driver ends.
+    The files survive the loss of any executor; they are removed by ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{uuid.uuid4().hex}"
@@ -44,7 +56,7 @@ def materialize(df: DataFrame) -> DataFrame:
         except Exception:  # the session is gone
             pass
 
-    atexit.register(drop)
+    _written.append(drop)
     return spark.read.schema(df.schema).parquet(path)
 
 
