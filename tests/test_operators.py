@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 from tickloom.functions import scalars
-from tickloom.operators import asof, bars, fragments, grids, orders, replay, stats
+from tickloom.operators import asof, bars, fragments, grids, orders, stats
 from tickloom.util import iso_micros
 
 
@@ -166,15 +166,6 @@ def test_grid_product_collapse_and_regions(spark):
     assert {(x.k, x.leader) for x in grids.collapse(p, "k", ["x", "y"]).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
 
 
-def test_replay_carries_over_sessions_and_shares_equal_settings(spark):
-    path = [10.0, 9.0, 8.9, 9.1, 9.2, 10.5, 10.6, 10.2, 9.0, 8.5, 8.9, 9.0]
-    rows = [(7, 1, 1 + i // 4, i, i, p, p - 0.01, p + 0.01, 1.0) for i, p in enumerate(path)] + [(7, 2, 9, 20, 20, 5.0, 4.9, 5.1, 1.0), (8, 1, 5, 0, 0, None, None, None, None)]
-    df = spark.createDataFrame(rows, "con_id long, chain int, session_id long, us long, tick_id long, price double, vbid double, vask double, atr_pct double")
-    out = sorted((r.profile, r.bought_us, r.sold_us, r.buy_price, r.sell_price, r.sessions, r.open) for r in replay.replay(df.repartition(5), [("p", 5.0, 2.0, 3.0, 2.0), ("q", 5.0, 2.0, 3.0, 2.0), ("never", 99.0, 1.0, 1.0, 1.0)]).collect())
-    assert [o for o in out if o[0] == "p"] == [("p", 3, 7, 9.11, 10.19, 2, False), ("p", 10, 11, 8.91, 8.99, 1, True)]
-    assert [o[1:] for o in out if o[0] == "q"] == [o[1:] for o in out if o[0] == "p"] and not [o for o in out if o[0] == "never"]
-
-
 def test_connectivity_hours_and_settings(spark):
     df = spark.createDataFrame([(1100, None), (2104, "x"), (5, "Broker_Disconnected"), (None, "reconnected"), (None, None)], "c int, n string")
     assert [r[0] for r in df.select(scalars.connectivity(F.col("c"), F.col("n"))).collect()] == ["loss", "restored", "loss", "restored", "other"]
