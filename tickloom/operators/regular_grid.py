@@ -51,16 +51,14 @@ def ssa_settle(y: np.ndarray, window: int = 24, rank: int = 3, tol: float = 1e-4
     x = (x - mean) / scale
     width = max(2, min(window, n // 2))
     count = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(width, n - width + 1))
+    diagonal = (np.arange(width)[:, None] + np.arange(n - width + 1)).ravel()
     least, held, kept, waited = np.inf, np.inf, x[miss], 0
     while waited < PATIENCE:
         h = np.lib.stride_tricks.sliding_window_view(x, n - width + 1)
         _, vec = np.linalg.eigh(h @ h.T)
         u = vec[:, -rank:]
         p = u @ (u.T @ h)
-        total = np.zeros(n)
-        for i in range(width):
-            total[i : i + n - width + 1] += p[i]
-        new = (total / count)[miss]
+        new = (np.bincount(diagonal, p.ravel(), minlength=n) / count)[miss]
         moved = np.abs(new - x[miss]).max()
         x[miss] = new
         if moved < least:
