@@ -160,8 +160,16 @@ def test_grid_product_collapse_and_regions(spark):
     g = grids.product(spark, {"a": [1.0, 1.25, 3.0], "b": [0.0, 0.25]})
     assert g.count() == 6
     g = g.withColumn("score", F.when(F.col("a") == 3, 99.0).otherwise(100.0))
-    r = {(x.a, x.b): x.region for x in grids.near_best_regions(g, ["a", "b"], "score", 0.25).collect()}
+    r = {(x.a, x.b): x.region for x in grids.near_best_regions(g, ["a", "b"], "score", 0.25, members=2).collect()}
     assert r == {(1.0, 0.0): 0, (1.0, 0.25): 0, (1.25, 0.0): 0, (1.25, 0.25): 0, (3.0, 0.0): 1, (3.0, 0.25): 1}
+    assert {(x.a, x.b, x.centre) for x in grids.near_best_regions(g, ["a", "b"], "score", 0.25).collect()} == {(1.0, 0.0, True), (1.0, 0.25, False), (1.25, 0.0, False), (1.25, 0.25, False)}
+    seed = spark.createDataFrame([(0.25, 0.0, 1.0, 0.25, 7)], "initial_x double, buy_x double, profit_x double, sell_x double, other int")
+    fine = grids.refined_grid(seed).collect()
+    assert len(fine) == 2 * 2 * 3 * 3 and {x.initial_x for x in fine} == {0.25, 0.5} and {x.sell_x for x in fine} == {0.0, 0.25, 0.5} and {x.other for x in fine} == {7}
+    probes = grids.boundary_probes(grids.coarse_grid(spark).drop("min_pct"), spark.createDataFrame([(2.25, 0.0, 1.0, 1.25)], "initial_x double, buy_x double, profit_x double, sell_x double")).collect()
+    assert {tuple(x) for x in probes} == {(2.5, 0.0, 1.0, 1.25), (2.25, 0.0, 1.0, 1.5)}
+    runs = spark.createDataFrame([("k", i, v) for i, v in ((1, 10.0), (2, 9.0), (3, 9.5), (5, 9.9), (6, 9.9), (7, 1.0))], "k string, step long, score double")
+    assert [tuple(x) for x in grids.near_best_runs(runs, ["k"], "step", "score", 3).collect()] == [("k", 1, 3, 3, 2, 10.0, 9.0)]
     p = spark.createDataFrame([("a", 1, None), ("b", 1, None), ("c", 2, 5)], "k string, x int, y int")
     assert {(x.k, x.leader) for x in grids.collapse(p, "k", ["x", "y"]).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import median
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +84,26 @@ def collapse(profiles: DataFrame, key: str, behaviour: list[str]) -> DataFrame:
     return profiles.join(lead, on).select(profiles[key], "leader")
 
 
-def near_best_regions(points: DataFrame, axes: list[str], score: str, step: float, share: float = 0.1, least: float = 2.0) -> DataFrame:
-    """(region, axes, score): connected regions of grid points within max(least, share of the best) of the best score.
-
-    Neighbours differ in one axis by at most ``step``. The region of the best point is 0, then by their best score. A
-    grid has a documented bound (GRID_POINTS); the union-find over it runs on the driver."""
+def adjacent(points: DataFrame, axes: list[str], step: float) -> DataFrame:
+    """(axis, axes, other): pairs of grid points that differ in exactly one axis, by at most ``step``; other is the
+    neighbour's place on it. An equi-join on the other axes per axis, with a range on the one."""
+    out = None
+    for axis in axes:
+        rest = [a for a in axes if a != axis]
+        o = points.select(*rest, F.col(axis).alias("other"))
+        near = points.join(o, rest).where((F.abs(F.col(axis) - F.col("other")) <= step + 1e-9) & (F.col(axis) != F.col("other")))
+        part = near.select(F.lit(axis).alias("axis"), *axes, "other")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def near_best_regions(points: DataFrame, axes: list[str], score: str, step: float, share: float = 0.1, least: float = 2.0, members: int = 3) -> DataFrame:
+    """(region, axes, score, centre): connected regions, of at least ``members`` grid points, of those within max(least,
+    share of the best) of the best score.
+
+    Neighbours differ in one axis by at most ``step``. Region 0 has the best worst score, then the next (ties: the smallest
+    point); its centre is the point nearest to the median of each axis (ties: the best score, the smallest point). A grid
+    has a documented bound (GRID_POINTS); the union-find over it runs on the driver."""
     spark = points.sparkSession
     rows = points.where(F.col(score).isNotNull()).select(*axes, score).limit(GRID_POINTS + 1).collect()
     if len(rows) > GRID_POINTS:
@@ -113,6 +130,11 @@ def near_best_regions(points: DataFrame, axes: list[str], score: str, step: floa
     groups: dict[int, list[int]] = {}
     for i in range(len(near)):
         groups.setdefault(find(i), []).append(i)
-    ranked = sorted(groups.values(), key=lambda g: (-max(near[i][score] for i in g), min(tuple(near[i][x] for x in axes) for i in g)))
-    out = [(n, *[float(near[i][x]) for x in axes], float(near[i][score])) for n, g in enumerate(ranked) for i in g]
-    return spark.createDataFrame(out, ", ".join(["region int", *[f"{x} double" for x in axes], f"{score} double"]))
+    at = lambda i: tuple(float(near[i][x]) for x in axes)
+    ranked = sorted((g for g in groups.values() if len(g) >= members), key=lambda g: (-min(near[i][score] for i in g), min(map(at, g))))
+    out = []
+    for n, g in enumerate(ranked):
+        middle = [median(at(i)[a] for i in g) for a in range(len(axes))]
+        centre = min(g, key=lambda i: (round(sum(abs(x - m) for x, m in zip(at(i), middle)), 9), -near[i][score], at(i)))
+        out += [(n, *at(i), float(near[i][score]), i == centre) for i in g]
+    return spark.createDataFrame(out, ", ".join(["region int", *[f"{x} double" for x in axes], f"{score} double", "centre boolean"]))

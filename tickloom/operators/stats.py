@@ -116,7 +116,8 @@ def score(rows: DataFrame, keys: list[str], policies: DataFrame) -> DataFrame:
 
 
 def pareto_front(points: DataFrame, key: str, up: list[str], down: list[str]) -> DataFrame:
-    """The points no other point dominates: at least as good everywhere, better somewhere; equal points keep each other.
+    """The points no other point dominates: at least as good everywhere, better somewhere, each by a tolerance of 1e-9; equal
+    points keep each other.
 
     For a candidate summary, one row per candidate. A theta join has no equi key, so the 200 points of the greatest sum,
     a fixed number, are broadcast first and remove nearly every dominated point; the exact check runs among the rest."""
@@ -125,8 +126,8 @@ def pareto_front(points: DataFrame, key: str, up: list[str], down: list[str]) ->
     p = points.dropna(subset=dims).select(F.col(key).alias("k"), *good)
     q = p.select(F.col("k").alias("ok"), *[F.col(f"g{i}").alias(f"o{i}") for i in range(len(dims))])
     n = range(len(dims))
-    every = " and ".join(f"o{i} >= g{i}" for i in n)
-    some = " or ".join(f"o{i} > g{i}" for i in n)
+    every = " and ".join(f"o{i} >= g{i} - 1e-9" for i in n)
+    some = " or ".join(f"o{i} > g{i} + 1e-9" for i in n)
     champs = F.broadcast(q.orderBy(F.desc(sum((F.col(f"o{i}") for i in n), F.lit(0.0)))).limit(200))
     rest = p.join(champs, F.expr(f"({every}) and ({some})"), "left_anti")
     others = rest.select(F.col("k").alias("ok"), *[F.col(f"g{i}").alias(f"o{i}") for i in n])

@@ -117,6 +117,12 @@ def grid_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("initial_drop_pct", "rise_trigger_pct", "sell_trailing_stop_pct").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
+def grid_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    """How many neighbours every grid point has along each axis, a quarter away at most."""
+    axes = ["initial_drop_pct", "rise_trigger_pct", "sell_trailing_stop_pct"]
+    return grids.adjacent(_grid(spark, d), axes, 0.25).groupBy("axis", *axes).agg(F.count(F.lit(1)).alias("neighbours"))
+
+
 def collapsed_settings(spark: SparkSession, d: str) -> DataFrame:
     """Cycles whose held percentages agree share one leader, which alone needs a replay."""
     c = cycles_once(table(spark, d, "cycles")).select("id", *[F.least(F.greatest(F.round(n, 1), F.lit(0.5)), F.lit(2.0)).alias(n) for n in ("initial_drop_pct", "rise_trigger_pct")])
@@ -125,7 +131,7 @@ def collapsed_settings(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (derived_sessions, fill_session_dates, setting_medians, top_cycles, stage_counts, symbols_not_traded, paired_bots, session_differences, gap_segments, combined_recordings, spread_percentiles, last_known, grid_neighbours, collapsed_settings)
+    for f in (derived_sessions, fill_session_dates, setting_medians, top_cycles, stage_counts, symbols_not_traded, paired_bots, session_differences, gap_segments, combined_recordings, spread_percentiles, last_known, grid_neighbours, grid_adjacency, collapsed_settings)
 }
 
 _C = C.replace("net_pnl := net_pnl,", "net_pnl := net_pnl, initial_drop_pct := initial_drop_pct,")
@@ -149,6 +155,10 @@ g as (select *, (sum(nw) over (partition by session_id order by elapsed_ns, sequ
     "combined_recordings": f"with {T} select con_id, tick_id, row_number() over (partition by con_id order by us, tick_id) as sequence, (us - min(us) over (partition by con_id)) * 1000 + row_number() over (partition by con_id, us order by tick_id) - 1 as elapsed_ns from t",
     "spread_percentiles": f"with {T}, b as (select symbol, (vask - vbid) / ((vask + vbid) / 2) * 10000 as v from t where vbid > 0 and vask >= vbid) select symbol, count(v) as n, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.75) as p75, quantile_cont(v, 0.9) as p90 from b group by 1",
     "last_known": f"with {T}, y as (select tick_id, last, last_value(last ignore nulls) over (partition by session_id order by elapsed_ns, sequence, tick_id) as carried from t) select tick_id, carried from y where last is null and carried is not null",
+    "grid_adjacency": f"""with {_C}, g as (select distinct round(initial_drop_pct * 4) / 4 as initial_drop_pct, round(rise_trigger_pct * 4) / 4 as rise_trigger_pct, round(sell_trailing_stop_pct * 4) / 4 as sell_trailing_stop_pct from c where initial_drop_pct is not null and rise_trigger_pct is not null and sell_trailing_stop_pct is not null),
+p as (select a.*, b.initial_drop_pct as x, b.rise_trigger_pct as y, b.sell_trailing_stop_pct as z from g a join g b on (a.initial_drop_pct = b.initial_drop_pct)::int + (a.rise_trigger_pct = b.rise_trigger_pct)::int + (a.sell_trailing_stop_pct = b.sell_trailing_stop_pct)::int = 2
+  and abs(a.initial_drop_pct - b.initial_drop_pct) + abs(a.rise_trigger_pct - b.rise_trigger_pct) + abs(a.sell_trailing_stop_pct - b.sell_trailing_stop_pct) <= 0.25 + 1e-9)
+select case when initial_drop_pct <> x then 'initial_drop_pct' when rise_trigger_pct <> y then 'rise_trigger_pct' else 'sell_trailing_stop_pct' end as axis, initial_drop_pct, rise_trigger_pct, sell_trailing_stop_pct, count(*) as neighbours from p group by 1, 2, 3, 4""",
     "grid_neighbours": f"""with {_C}, g as (select distinct round(initial_drop_pct * 4) / 4 as initial_drop_pct, round(rise_trigger_pct * 4) / 4 as rise_trigger_pct, round(sell_trailing_stop_pct * 4) / 4 as sell_trailing_stop_pct from c where initial_drop_pct is not null and rise_trigger_pct is not null and sell_trailing_stop_pct is not null)
 select a.initial_drop_pct, rise_trigger_pct, sell_trailing_stop_pct, count(*) as neighbours from g a join g b using (rise_trigger_pct, sell_trailing_stop_pct) where abs(a.initial_drop_pct - b.initial_drop_pct) <= 0.5 and a.initial_drop_pct <> b.initial_drop_pct group by 1, 2, 3""",
     "collapsed_settings": f"""with {_C}, s as (select id, least(greatest(round(initial_drop_pct, 1), 0.5), 2.0) as a, least(greatest(round(rise_trigger_pct, 1), 0.5), 2.0) as b from c), l as (select a, b, min(id) as leader from s group by 1, 2)
