@@ -43,6 +43,38 @@ def test_both_containers_as_a_spark_format(spark, tmp_path):
     assert df.where("symbol = 'CD'").count() == 2
 
 
+def write_full_db(path):
+    with sqlite3.connect(path) as c:
+        c.execute("create table metadata (key, value_json)")
+        m = {"format_version": 3, "contract": {"symbol": "cd", "con_id": 8, "min_tick": 0.01}, "row_count": 3, "rth_period_count": 2, "status": "Complete"}
+        c.executemany("insert into metadata values (?,?)", [(k, json.dumps(v)) for k, v in m.items()])
+        c.execute("create table ticks (sequence, captured_at_utc, elapsed_ns, symbol, con_id, bid, bid_size, market_data_type, rth_period_id)")
+        c.executemany("insert into ticks values (?,?,?,?,?,?,?,?,?)", [(1, "2026-01-05T14:30:00Z", 1, "CD", 8, 1.0, 5, 1, 1), (2, "2026-01-05T14:31:00Z", 2, "CD", 9, 1.0, 5, 1, 1), (3, "2026-01-05T14:32:00Z", 3, "CD", 8, 1.0, -5, 1, 2)])
+        c.execute("create table events (sequence, created_at_utc, event_type, payload_json)")
+        c.executemany("insert into events values (?,?,?,?)", [(1, "t1", "feed", '{"payload": {"error_code": 1100}}'), (2, "t2", "x", "[1]")])
+        c.execute("create table rth_periods (period_id, schedule_open_utc, schedule_close_utc, observed_start_utc, observed_end_utc, status)")
+        c.executemany("insert into rth_periods values (?,?,?,?,?,?)", [(1, "2026-01-05T14:30:00Z", "2026-01-05T21:00:00Z", "2026-01-05T14:30:01Z", None, "active"), (2, "b", "a", "2026-01-05T15:00:00Z", "", "closed")])
+
+
+def test_metadata_events_and_periods(spark, tmp_path):
+    write_full_db(tmp_path / "d.rec")
+    write_zip(tmp_path / "z.rec", [row(1)], extra=[("events.jsonl", '{"event_type": "gateway_connected", "created_at_utc": "t"}\n\n{"error_code": "2104"}\nbroken\n')], format_version=2, contract={"symbol": "AB", "conId": 7, "minTick": 0})
+    recording.register(spark)
+    load = lambda name: spark.read.format(name).load(str(tmp_path))
+    info = {r.recording: r for r in load("recording_info").collect()}
+    assert (info["d.rec"].container, info["d.rec"].symbol, info["d.rec"].con_id, info["d.rec"].row_count, info["d.rec"].periods, info["d.rec"].status, info["d.rec"].problems) == ("sqlite", "CD", 8, 3, 2, "complete", [])
+    assert info["z.rec"].problems == ["min_tick"]
+    events = sorted((r.recording, r.sequence, r.event_type, r.error_code, r.error is None) for r in load("recording_events").collect())
+    assert events == [("d.rec", 1, "feed", 1100, True), ("d.rec", 2, "x", None, False), ("z.rec", 1, "gateway_connected", None, True), ("z.rec", 3, None, 2104, True), ("z.rec", 4, None, None, False)]
+    periods = [(r.period_id, r.observed_end_utc, r.error) for r in load("recording_periods").orderBy("period_id").collect()]
+    assert periods == [(1, "2026-01-05T14:31:00Z", None), (2, None, "schedule")]
+    ticks = {(r.recording, r.sequence, r.error) for r in load("tick_recording").collect()}
+    assert ticks == {("z.rec", 1, None), ("d.rec", 1, None), ("d.rec", None, "another contract than the manifest's"), ("d.rec", None, "a negative size")}
+    (tmp_path / "bad.rec").write_bytes(b"PK no archive")
+    with pytest.raises(Exception, match="bad.rec"):
+        load("tick_recording").collect()
+
+
 def test_containers_that_break_a_rule(tmp_path):
     p = tmp_path / "x.rec"
     for build, why in [

@@ -139,9 +139,9 @@ RESTORED_CODES = [1101, 1102, 2104, 2106, 2158]
 
 
 def connectivity(code: Column, name: Column) -> Column:
-    """loss, restored or other, by an event's code, else by its name."""
+    """loss, restored or other, by an event's code, else by its name; a failing recorder is a loss, a new selection of the feed restores."""
     n = F.upper(F.coalesce(name, F.lit("")))
-    by_name = F.when(n.rlike("RESTOR|RECONNECT|^GATEWAY_CONNECTED$"), "restored").when(n.rlike("DISCONNECT|CONNECTION_LOST|CONNECTIVITY_LOST|CONNECTION_FAILED"), "loss").otherwise("other")
+    by_name = F.when(n.rlike("RESTOR|RECONNECT|^(GATEWAY_CONNECTED|MARKET_DATA_RESELECTED)$"), "restored").when(n.rlike("DISCONNECT|CONNECTION_LOST|CONNECTIVITY_LOST|CONNECTION_FAILED|^RECORDING_(CALLBACK_ERROR|FAILED)$"), "loss").otherwise("other")
     return F.when(code.isin(LOSS_CODES), "loss").when(code.isin(RESTORED_CODES), "restored").otherwise(by_name)
 
 

@@ -160,11 +160,11 @@ def leave_own_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Connected regions, of three points and more, of the settings grid whose mean return is not below zero."""
-    c = _cycles(spark, d).where("net_pnl is not null and buy_filled_qty > 0 and avg_buy_price > 0")
+    """Connected regions, of three points and more, of the settings grid whose share of gains is at least half the best."""
+    c = _cycles(spark, d).where("net_pnl is not null")
     step = lambda n: (F.round(F.col(n) * 2) / 2).alias(n)
-    g = c.groupBy(step("initial_drop_pct"), step("rise_trigger_pct")).agg(F.avg(F.col("net_pnl") / (F.col("buy_filled_qty") * F.col("avg_buy_price")) * 10000).alias("score"), F.count(F.lit(1)).alias("cycles"))
-    return grids.near_best_regions(g.where("initial_drop_pct is not null and rise_trigger_pct is not null"), ["initial_drop_pct", "rise_trigger_pct"], "score", 0.5, share=1.0, members=3)
+    g = c.groupBy(step("initial_drop_pct"), step("rise_trigger_pct")).agg(F.avg(F.when(F.col("net_pnl") > 0, 100.0).otherwise(0.0)).alias("score"))
+    return grids.near_best_regions(g.where("initial_drop_pct is not null and rise_trigger_pct is not null"), ["initial_drop_pct", "rise_trigger_pct"], "score", 0.5, share=0.5)
 
 
 def chosen_fragments(spark: SparkSession, d: str) -> DataFrame:
@@ -257,9 +257,9 @@ select bot_id, max((peak - equity) / peak * 10000) as max_drawdown_bps, (max_by(
 select * from g a where not exists (select 1 from g b where b.median >= a.median and b.cycles >= a.cycles and b.spread <= a.spread and (b.median > a.median or b.cycles > a.cycles or b.spread < a.spread))""",
     "leave_own_out": f"""with {X}, y as (select *, commission / notional * 10000 as bps from x where commission > 0 and notional > 0), z as (select id, sum(bps) over g - sum(bps) over o as s, count(bps) over g - count(bps) over o as n from y window g as (partition by e, side), o as (partition by e, side, cycle_id))
 select id, s / nullif(n, 0) as others_bps, n as others from z""",
-    "grid_regions": f"""with recursive {_C}, g as (select round(initial_drop_pct * 2) / 2 as x, round(rise_trigger_pct * 2) / 2 as y, avg(net_pnl / (buy_filled_qty * avg_buy_price) * 10000) as score from c
-  where net_pnl is not null and buy_filled_qty > 0 and avg_buy_price > 0 and initial_drop_pct is not null and rise_trigger_pct is not null group by 1, 2),
-n as (select *, row_number() over (order by x, y) as id from g where score >= (select max(score) - greatest(2, abs(max(score))) from g)),
+    "grid_regions": f"""with recursive {_C}, g as (select round(initial_drop_pct * 2) / 2 as x, round(rise_trigger_pct * 2) / 2 as y, avg(case when net_pnl > 0 then 100.0 else 0.0 end) as score from c
+  where net_pnl is not null and initial_drop_pct is not null and rise_trigger_pct is not null group by 1, 2),
+n as (select *, row_number() over (order by x, y) as id from g where score >= (select max(score) - greatest(2, 0.5::double * abs(max(score))) from g)),
 e as (select a.id as a, b.id as b from n a join n b on (a.x = b.x and abs(a.y - b.y) <= 0.5 + 1e-9) or (a.y = b.y and abs(a.x - b.x) <= 0.5 + 1e-9)),
 r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a), l as (select a as id, min(b) as root from r group by 1),
 k as (select root, count(*) as c, min(score) as worst, min(struct_pack(x := x, y := y)) as least, median(x) as mx, median(y) as my from l join n using (id) group by 1 having count(*) >= 3),

@@ -1,8 +1,10 @@
 """Readers of tick recordings and bot databases as Spark data sources.
 
 ``spark.read.format("tick_recording")`` reads recording files of either container - a ZIP with manifest.json and
-ticks.csv, or an SQLite file with metadata and ticks tables - one partition a file. ``spark.read.format("sqlite_table")``
-reads one table of SQLite files, whatever columns it has; simple filters are pushed into SQLite.
+ticks.csv, or an SQLite file with metadata and ticks tables - one partition a file. ``recording_info``, ``recording_events``
+and ``recording_periods`` read what else such files hold: one row of metadata and broken rules without a scan of the ticks,
+the events, and the scheduled periods. ``spark.read.format("sqlite_table")`` reads one table of SQLite files, whatever
+columns it has; simple filters are pushed into SQLite.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import hashlib
 import io
 import json
 import os
-import shutil
 import sqlite3
 import tempfile
 import zipfile
@@ -62,6 +63,42 @@ def verify_checksums(z: zipfile.ZipFile, names: dict[str, zipfile.ZipInfo]) -> l
     return sorted(n for n, h in want.items() if n not in names or hashlib.sha256(z.read(n)).hexdigest() != str(h).lower())
 
 
+#: What a manifest may say.
+VERSIONS = {"zip": 2, "sqlite": 3}
+STATUSES = {"recording", "complete", "interrupted", "error"}
+
+
+def _whole(v: object) -> int | None:
+    return v if isinstance(v, int) and not isinstance(v, bool) and v >= 0 else None
+
+
+def manifest_problems(m: object, container: str) -> list[str]:
+    """The rules that a manifest breaks, by name; none if it is sound."""
+    if not isinstance(m, dict):
+        return ["no JSON object"]
+    c = m.get("contract")
+    rows = m.get("row_count", 0)
+    tick = c.get("min_tick", c.get("minTick")) if isinstance(c, dict) else None
+    checks = {
+        "format_version": m.get("format_version") == VERSIONS[container],
+        "contract": isinstance(c, dict),
+        "symbol": isinstance(c, dict) and bool(str(c.get("symbol") or "").strip()),
+        "con_id": isinstance(c, dict) and _whole(c.get("con_id", c.get("conId", 0))) is not None,
+        "min_tick": isinstance(tick, (int, float)) and 0 < tick < float("inf"),
+        "row_count": _whole(rows) is not None,
+        "status": container == "zip" or str(m.get("status") or "").strip().lower() in STATUSES,
+        "committed_row_count": container == "zip" or m.get("committed_row_count", rows) == rows,
+    }
+    return [name for name, ok in checks.items() if not ok]
+
+
+def _contract(m: object) -> tuple[str | None, int | None]:
+    c = m.get("contract") if isinstance(m, dict) else None
+    if not isinstance(c, dict):
+        return None, None
+    return str(c.get("symbol") or "").upper().strip() or None, _whole(c.get("con_id", c.get("conId"))) or None
+
+
 def _value(column: str, raw: object) -> object:
     if raw is None or raw == "":
         return None
@@ -84,9 +121,14 @@ def read_recording(path: str) -> Iterator[tuple]:
         for block in iter(lambda: f.read(1 << 20), b""):
             digest.update(block)
     head = (os.path.basename(path), digest.hexdigest())
+    symbol, con_id = _contract(_manifest(path)[1])
     for row in _sqlite_rows(path) if mark == SQLITE_MARK else _zip_rows(path):
         try:
             values, error = [_value(c, row.get(c)) for c in TICK_COLUMNS], None
+            if symbol and values[3] and values[3].upper().strip() != symbol or con_id and values[4] and values[4] != con_id:
+                raise ValueError("another contract than the manifest's")
+            if any(values[TICK_COLUMNS.index(c)] is not None and values[TICK_COLUMNS.index(c)] < 0 for c in ("bid_size", "ask_size", "last_size", "volume")):
+                raise ValueError("a negative size")
             if values[18] is not None and values[18] not in (1, 2, 3, 4):
                 raise ValueError("market_data_type out of range")
             if any(v is not None and v < 0 for v in (values[0], values[2])):
@@ -94,6 +136,93 @@ def read_recording(path: str) -> Iterator[tuple]:
         except (TypeError, ValueError) as e:
             values, error = [None] * len(TICK_COLUMNS), str(e)
         yield (*head, *values, error)
+    again = hashlib.sha256()
+    with open(path, "rb") as f:
+        for block in iter(lambda: f.read(1 << 20), b""):
+            again.update(block)
+    if again.hexdigest() != head[1]:
+        raise RecordingError(f"{head[0]} changed while it was read")
+
+
+def _manifest(path: str) -> tuple[str, object]:
+    """(container, manifest) of a file, without its ticks; the manifest is None where there is none that parses."""
+    with open(path, "rb") as f:
+        kind = "sqlite" if f.read(16) == SQLITE_MARK else "zip"
+    try:
+        if kind == "zip":
+            with zipfile.ZipFile(path) as z:
+                return kind, json.loads(z.read(members(z)["manifest.json"]))
+        with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as c:
+            found = dict(c.execute("select key, value_json from metadata"))
+            return kind, json.loads(found["manifest"]) if "manifest" in found else {k: json.loads(v) for k, v in found.items()}
+    except (KeyError, ValueError, sqlite3.Error, zipfile.BadZipFile):
+        return kind, None
+
+
+INFO = "recording string, container string, bytes bigint, format_version int, symbol string, con_id bigint, row_count bigint, periods bigint, status string, problems array<string>"
+EVENTS = "recording string, sequence bigint, created_at_utc string, event_type string, error_code int, payload string, error string"
+PERIODS = "recording string, period_id int, schedule_open_utc string, schedule_close_utc string, observed_start_utc string, observed_end_utc string, status string, error string"
+
+
+def read_info(path: str) -> Iterator[tuple]:
+    """The row of INFO of one file, from its metadata alone."""
+    kind, m = _manifest(path)
+    d = m if isinstance(m, dict) else {}
+    symbol, con_id = _contract(d)
+    yield (
+        os.path.basename(path), kind, os.path.getsize(path), _whole(d.get("format_version")), symbol, con_id, _whole(d.get("row_count", 0)), _whole(d.get("rth_period_count", 0)), str(d["status"]).lower() if d.get("status") else None, manifest_problems(m, kind),
+    )
+
+
+def read_events(path: str) -> Iterator[tuple]:
+    """Rows of EVENTS from one file: the lines of events.jsonl or the table of events. An event's fields may stand in a
+    nested payload; what is no JSON object has its reason in error."""
+    name, (kind, _) = os.path.basename(path), _manifest(path)
+    if kind == "zip":
+        with zipfile.ZipFile(path) as z:
+            lines = z.read("events.jsonl").decode("utf-8-sig", "replace").splitlines() if "events.jsonl" in members(z) else []
+        found = [(i, None, None, line) for i, line in enumerate(lines, 1) if line.strip()]
+    else:
+        with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as c:
+            has = c.execute("select 1 from sqlite_master where type = 'table' and name = 'events'").fetchone()
+            found = c.execute("select sequence, created_at_utc, event_type, payload_json from events order by sequence").fetchall() if has else []
+    for n, at, what, text in found:
+        try:
+            v = json.loads(text or "{}")
+            if not isinstance(v, dict):
+                raise ValueError("no JSON object")
+            inner = v.get("payload")
+            flat = v | (inner if isinstance(inner, dict) else {})
+            code = flat.get("error_code")
+            code = int(code) if isinstance(code, (int, float)) or str(code).lstrip("-").isdigit() else None
+            yield name, n, at or flat.get("created_at_utc"), what or flat.get("event_type"), code, text, None
+        except ValueError as e:
+            yield name, n, at, what, None, text, str(e)
+
+
+def read_periods(path: str) -> Iterator[tuple]:
+    """Rows of PERIODS from one SQLite file; ZIP files have none. A period that is still active ends with its last reading,
+    or where it starts."""
+    name, (kind, _) = os.path.basename(path), _manifest(path)
+    if kind == "zip":
+        return
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as c:
+        c.row_factory = sqlite3.Row
+        if not c.execute("select 1 from sqlite_master where type = 'table' and name = 'rth_periods'").fetchone():
+            return
+        for r in c.execute("select * from rth_periods order by period_id"):
+            p, status, error = dict(r), str(r["status"] or "").strip().lower(), None
+            end = str(p.get("observed_end_utc") or "").strip() or None
+            if status == "active" and end is None:
+                last = c.execute("select max(captured_at_utc) from ticks where rth_period_id = ?", (p["period_id"],)).fetchone()[0]
+                end = max(filter(None, (last, p["observed_start_utc"])), default=None)
+            if status not in ("active", "closed"):
+                error = "status"
+            elif not p["period_id"] or p["period_id"] < 1:
+                error = "period_id"
+            elif not (p["schedule_open_utc"] or "") < (p["schedule_close_utc"] or ""):
+                error = "schedule"
+            yield name, p["period_id"], p["schedule_open_utc"], p["schedule_close_utc"], p["observed_start_utc"], end, status, error
 
 
 def _zip_rows(path: str) -> Iterator[dict]:
@@ -114,10 +243,9 @@ def _zip_rows(path: str) -> Iterator[dict]:
 
 
 def _private(path: str, to: str) -> str:
-    """A copy of a database with its journal files, so that nothing is written beside the source."""
-    for tail in ("", "-wal", "-journal"):
-        if os.path.exists(path + tail):
-            shutil.copyfile(path + tail, os.path.join(to, "db" + tail))
+    """A copy of a database as of one moment, even while it is written, so that nothing is written beside the source."""
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as source, closing(sqlite3.connect(os.path.join(to, "db"))) as copy:
+        source.backup(copy)
     return os.path.join(to, "db")
 
 
@@ -163,9 +291,53 @@ class _RecordingReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in self.files]
 
+    rows = staticmethod(read_recording)
+
     def read(self, partition: _File) -> Iterator[tuple]:
-        if partition is not None:
-            yield from read_recording(partition.path)
+        if partition is None:
+            return
+        try:
+            yield from self.rows(partition.path)
+        except (RecordingError, zipfile.BadZipFile, sqlite3.Error) as e:
+            raise RecordingError(f"{os.path.basename(partition.path)}: {e}") from e  # which of many files it was
+
+
+class InfoSource(RecordingSource):
+    """One row of metadata per file."""
+
+    rows, columns = read_info, INFO
+
+    @classmethod
+    def name(cls) -> str:
+        return "recording_info"
+
+    def schema(self) -> str:
+        return type(self).columns
+
+    def reader(self, schema) -> DataSourceReader:
+        r = _RecordingReader(self.options)
+        r.rows = type(self).rows
+        return r
+
+
+class EventSource(InfoSource):
+    """The events of every file."""
+
+    rows, columns = read_events, EVENTS
+
+    @classmethod
+    def name(cls) -> str:
+        return "recording_events"
+
+
+class PeriodSource(InfoSource):
+    """The scheduled periods of every file."""
+
+    rows, columns = read_periods, PERIODS
+
+    @classmethod
+    def name(cls) -> str:
+        return "recording_periods"
 
 
 class SqliteSource(DataSource):
@@ -224,13 +396,13 @@ class _SqliteReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to the session."""
+    """Makes the formats known to the session."""
     from ..util import ship
 
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(RecordingSource)
-    spark.dataSource.register(SqliteSource)
+    for source in (RecordingSource, InfoSource, EventSource, PeriodSource, SqliteSource):
+        spark.dataSource.register(source)
 
 
 
