@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import asof, evidence, grids, intervals, orders, quality, stats
-from ..util import table
-from .market_queries import C, S, SQL as MARKET, T, X, _points, _POINTS, _ticks, cycles_once, fill_quotes
+from ..operators import asof, evidence, grids, intervals, orders, quality, quotes, stats
+from ..sinks import recordings
+from ..sources import recording
+from ..util import materialize, shared_dir, table
+from .market_queries import SQL as MARKET
+from .market_queries import C, T, X, _points, _POINTS, _ticks, cycles_once, fill_quotes
 from .order_queries import REPLICATES, SEED, _R, _returns
 
 #: Samples a cost needs, and the least cost in basis points.
@@ -205,10 +210,27 @@ def best_runs(spark: SparkSession, d: str) -> DataFrame:
     return grids.near_best_runs(g, ["bot_id"], "step", "score", 1)
 
 
+def recorded_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Every session written as a recording file and read back: its rows, sums, bad rows and broken manifest rules."""
+    recording.register(spark)
+    t = quotes.clean_ticks(table(spark, d, "ticks"), ["session_id", "tick_id", *recording.TICK_COLUMNS])
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c)
+    t = t.select("session_id", *[iso(c) if c in ("captured_at_utc", "source_time_utc") else c for c in recording.TICK_COLUMNS])
+    folder = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
+    written = materialize(recordings.write_recordings(t, folder))
+    path = recordings.local_path(folder)
+    back = spark.read.format("tick_recording").load(path).groupBy("recording").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("error").isNotNull()).alias("bad_rows"), F.sum("bid").alias("bids"), F.count("last").alias("lasts"), F.max("captured_at_utc").alias("latest")
+    )
+    info = spark.read.format("recording_info").load(path).select("recording", F.size("problems").alias("problems"), "row_count")
+    j = written.join(back.join(info, "recording"), F.col("file") == F.col("recording"))
+    return j.where(written["rows"] == F.col("row_count")).select("session_id", back["rows"].alias("readings"), "bad_rows", "bids", "lasts", F.substring("latest", 1, 19).alias("latest"), "problems")
+
+
 QUERIES = {
     f.__name__: f
     for f in (capture_matches, order_times, contract_sessions, fragment_sessions, fragment_provenance, cycle_profiles, setting_changes, after_exit_until_buy, overnight_units, weighted_days, fill_samples, execution_model,
-              supported_costs, order_slippage, selection_stability, paired_evidence, paired_leave_one_out, stressed_returns, leaf_checks, setting_grids, best_runs)
+              supported_costs, order_slippage, selection_stability, paired_evidence, paired_leave_one_out, stressed_returns, leaf_checks, setting_grids, best_runs, recorded_sessions)
 }
 
 _CX = C.replace("net_pnl := net_pnl,", "net_pnl := net_pnl, " + ", ".join(f"{c} := {c}" for c in ("initial_drop_pct", "buy_order_ref")) + ",")
@@ -280,6 +302,8 @@ w as (select per, bar, t.* from (select unnest([5, 7, 10, 14, 21, 28]) as per),
 r as (select distinct greatest(0.25, a + i / 4) as a, greatest(0, b + j / 4) as b, greatest(0.25, x + k / 4) as x, greatest(0, y + l / 4) as y, z from c, range(-1, 2) as i(i), range(-1, 2) as j(j), range(-1, 2) as k(k), range(-1, 2) as l(l) where a = 0.75 and y = 0 and z = 0.01)
 select 'policy' as grid, m || '/' || v as point from p union all select 'window', printf('%.2f/%.2f/%.2f/%.2f/%.2f/%.2f', per::double, bar::double, a::double, b::double, x::double, y::double) from w
 union all select 'coarse', printf('%.2f/%.2f/%.2f/%.2f/%.2f', a, b, x, y, z) from c union all select 'refined', printf('%.2f/%.2f/%.2f/%.2f/%.2f', a::double, b::double, x::double, y::double, z) from r""",
+    "recorded_sessions": f"""with {T} select session_id, count(*) as readings, count(*) filter (t0.sz) as bad_rows, sum(case when t0.sz then null else bid end) as bids, count(case when t0.sz then null else last end) as lasts,
+  left(strftime(max(case when t0.sz then null else captured_at_utc end), '%Y-%m-%dT%H:%M:%S'), 19) as latest, 0 as problems from (select distinct on (session_id, tick_id) *, coalesce(bid_size < 0, false) or coalesce(ask_size < 0, false) or coalesce(last_size < 0, false) or coalesce(volume < 0, false) as sz from ticks where tick_id is not null) t0 group by 1""",
     "best_runs": f"""with {_CX}, {_R}, g as (select r.bot_id, round(initial_drop_pct * 2)::bigint as step, avg(value) as score from r join c using (id) where initial_drop_pct is not null group by 1, 2), b as (select *, max(score) over (partition by bot_id) as top from g),
 n as (select *, step - row_number() over (partition by bot_id order by step) as run from b where score >= top - greatest(2, 0.1::double * abs(top))), k as (select bot_id, run, min(step) as first, max(step) as last, count(*) as steps, max(score) as best, min(score) as worst from n group by 1, 2)
 select bot_id, first, last, steps, (first + last) // 2 as centre, best, worst from k""",
@@ -300,4 +324,5 @@ ROUNDED: dict[str, list[str]] = {
     "after_exit_until_buy": ["lowest", "highest"],
     "leaf_checks": ["drop_x", "required", "gain_bps", "adverse_bps"],
     "best_runs": ["best", "worst"],
+    "recorded_sessions": ["bids"],
 }
