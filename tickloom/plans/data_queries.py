@@ -80,7 +80,7 @@ from x where not bad and n = 11 and ts_ok and price_ok and ch_ok""",
 seen as (select distinct t.session_id, epoch_us(t.captured_at_utc) // (g.bar * 1000000) * g.bar as bar_start from ticks t join g using (session_id) where t.last is not null and isfinite(t.last))
 select session_id, bar_start from bars anti join seen using (session_id, bar_start)""",
     "p7_found": """with f as (
-  select con_id, replace(trim(session_date), '-', '') as session_date, round(observed_start_timestamp * 1000)::bigint as s, round(observed_end_timestamp * 1000)::bigint as e
+  select distinct con_id, replace(trim(session_date), '-', '') as session_date, round(observed_start_timestamp * 1000)::bigint as s, round(observed_end_timestamp * 1000)::bigint as e
   from fragments where observed_start_timestamp <= observed_end_timestamp
 ), m as (select *, max(e) over (partition by con_id, session_date order by s, e rows between unbounded preceding and 1 preceding) as before from f where s <= e),
 g as (select *, sum(case when s <= before then 0 else 1 end) over (partition by con_id, session_date order by s, e rows unbounded preceding) as island from m),

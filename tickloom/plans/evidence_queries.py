@@ -268,7 +268,7 @@ select con_id, day, pieces, sources, case when known < pieces then 'unresolved'
 select n.bot_id, n.rows, n.known, coalesce(h.changes, 0) as changes from (select bot_id, count(*) as rows, count(profile) as known from pr group by 1) n left join (select bot_id, count(*) filter (p <> profile) as changes from k group by 1) h using (bot_id)""",
     "after_exit_until_buy": f"""with {T}, {X}, s as (select id, e, t, (select min(b.t) from x b where b.side = 'BOT' and b.e = x.e and b.t > x.t) as nb from x where side = 'SLD' and e is not null and t is not null)
 select s.id, count(*) as quotes, min(vbid) as lowest, max(vbid) as highest from s join t on t.symbol = s.e and t.us > s.t and t.us <= s.t + 300000000 and (nb is null or t.us < nb or nb > s.t + 300000000) where vbid is not null group by 1""",
-    "overnight_units": f"""with {C}, i as (select bot_id, cast(buy_filled_at as date) as a, cast(coalesce(sell_filled_at, updated_at, buy_filled_at) as date) as z from c where buy_filled_at is not null), k as (select * from i where a <= z),
+    "overnight_units": f"""with {C}, i as (select bot_id, cast(buy_filled_at as date) as a, cast(coalesce(sell_filled_at, updated_at, buy_filled_at) as date) as z from c where buy_filled_at is not null), k as (select distinct * from i where a <= z),
 m as (select *, max(z) over (partition by bot_id order by a, z rows between unbounded preceding and 1 preceding) as p from k), g as (select *, sum(case when a <= p then 0 else 1 end) over (partition by bot_id order by a, z rows unbounded preceding) as u from m)
 select bot_id, min(a) as first_day, max(z) as last_day from g group by bot_id, u""",
     "weighted_days": f"with {C}, {_R}, w as (select ticker, value, (day(day) % 3 + 1)::int as w from r) select ticker, count(*) as weight, median(value) as median, avg(value) as mean from w, range(1, 4) as z(k) where k <= w.w group by 1",
