@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_index
+from ..util import materialize
 
 
 def kaplan_meier(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,22 +36,45 @@ def horizon_probability(rows: DataFrame, keys: list[str], horizon: float) -> Dat
     return j.select(*keys, F.when((F.col("s") == 0) | (F.col("longest") >= horizon), (1 - F.col("s")) * 100).alias("probability"))
 
 
+#: Most buckets of values in which a replicate's median is looked for.
+BUCKETS = 64
+
+
 def day_bootstrap(values: DataFrame, keys: list[str], seed: int, replicates: int = 2000) -> DataFrame:
     """Cluster bootstrap by day: ``values`` has keys, day, value. Per group the median, the 80 and 95 % intervals of the
     replicates' medians and the share of positive ones; groups with fewer than 3 days are left out.
 
-    A replicate draws days; a value counts as often as its day was drawn, so equal values of a day are one row with their
-    number. The table of draws has replicates x days rows."""
+    A replicate draws days; a value counts as often as its day was drawn. The medians are exact, without a copy of the
+    values per replicate: values fall into buckets, a replicate adds up the days' counts per bucket, and only the bucket
+    that holds its middle ranks is looked into. That makes replicates x (days x buckets + values / buckets) rows, least for
+    the root of values / days, which is the number of buckets, BUCKETS at most."""
     v = values.where("value is not null").groupBy(*keys, "day", "value").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*keys)
     days = v.groupBy(*keys, "day").agg(F.sum("c").alias("n"))
-    days = days.withColumns({"i": F.row_number().over(w.orderBy("day")) - 1, "k": F.count(F.lit(1)).over(w)}).where("k >= 3")
-    draws = days.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(*keys, "rep", hash_index(F.lit(seed), F.col("rep"), F.col("i"), F.col("k")).alias("i"))
-    times = draws.groupBy(*keys, "rep", "i").agg(F.count(F.lit(1)).alias("times"))
-    j = times.join(days.select(*keys, "day", "i"), [*keys, "i"]).join(v, [*keys, "day"])
-    rep = j.groupBy(*keys, "rep").agg(F.percentile("value", 0.5, F.col("c") * F.col("times")).alias("m"))
+    days = materialize(days.withColumns({"i": F.row_number().over(w.orderBy("day")) - 1, "k": F.count(F.lit(1)).over(w), "few": F.greatest(F.lit(2.0), F.least(F.lit(float(BUCKETS)), F.round(F.sqrt(F.avg("n").over(w)))))}).where("k >= 3"))
+    cuts = v.groupBy(*keys).agg(F.percentile_approx("value", F.array(*[F.lit(q / BUCKETS) for q in range(1, BUCKETS)]), 1000).alias("_cuts"))
+    v = v.join(cuts, keys).join(days.select(*keys, "day", "i", "few"), [*keys, "day"])
+    v = materialize(v.withColumn("b", F.floor(F.size(F.filter("_cuts", lambda x: F.col("value") > x)) * F.col("few") / BUCKETS)).drop("_cuts", "few"))
+    # The days are few rows in few tasks; their draws are spread before they are hashed.
+    wide = days.select(*keys, "i", "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition("rep")
+    draws = wide.select(*keys, "rep", hash_index(F.lit(seed), F.col("rep"), F.col("i"), F.col("k")).alias("i"))
+    times = materialize(draws.groupBy(*keys, "rep", "i").agg(F.count(F.lit(1)).alias("times")))
+    # Which bucket holds a replicate's two middle ranks.
+    per = times.join(v.groupBy(*keys, "i", "b").agg(F.sum("c").alias("n")), [*keys, "i"]).groupBy(*keys, "rep", "b").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    r = Window.partitionBy(*keys, "rep")
+    per = per.withColumns({"upto": F.sum("n").over(r.orderBy("b")), "all": F.sum("n").over(r)})
+    per = per.withColumn("rank", F.explode(F.array(F.expr("(all - 1) div 2"), F.expr("all div 2")))).where("rank >= upto - n and rank < upto")
+    need = per.groupBy(*keys, "rep", "b").agg(F.min(F.col("rank") - F.col("upto") + F.col("n")).alias("lo"), F.max(F.col("rank") - F.col("upto") + F.col("n")).alias("hi"))
+    # The values of that bucket in order, each as often as its day was drawn.
+    inside = need.join(v, [*keys, "b"]).join(times, [*keys, "rep", "i"]).groupBy(*keys, "rep", "b", "value").agg(F.sum(F.col("c") * F.col("times")).alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "rep", "b").orderBy("value"))
+    inside = inside.withColumn("upto", upto)
+    hit = lambda x: F.max(F.when((F.col(x) >= F.col("upto") - F.col("n")) & (F.col(x) < F.col("upto")), F.col("value")))
+    two = inside.groupBy(*keys, "rep", "b").agg(hit("lo").alias("x"), hit("hi").alias("y"))
+    # Both ranks in one bucket, or the last of one and the first of the next.
+    rep = two.groupBy(*keys, "rep").agg(((F.min("x") + F.max("y")) / 2).alias("m"))
     ci = rep.groupBy(*keys).agg(F.percentile("m", F.array(*map(F.lit, (0.025, 0.1, 0.9, 0.975)))).alias("q"), F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("positive"))
-    base = v.join(days.select(*keys, "day", "k"), [*keys, "day"]).groupBy(*keys).agg(F.percentile("value", 0.5, F.col("c")).alias("median"), F.max("k").alias("days"))
+    base = v.groupBy(*keys).agg(F.percentile("value", 0.5, F.col("c")).alias("median")).join(days.groupBy(*keys).agg(F.max("k").alias("days")), keys)
     return base.join(ci, keys).select(*keys, "days", "median", F.col("q")[0].alias("lo95"), F.col("q")[1].alias("lo80"), F.col("q")[2].alias("hi80"), F.col("q")[3].alias("hi95"), "positive")
 
 
