@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import asof, evidence, grids, intervals, orders, quality, quotes, stats
+from ..operators import asof, evidence, grids, intervals, orders, quality, quotes, stats, triggers
 from ..sinks import recordings
 from ..sources import recording
 from ..util import materialize, shared_dir, table
 from .market_queries import SQL as MARKET
-from .market_queries import C, T, X, _points, _POINTS, _ticks, cycles_once, fill_quotes
+from .market_queries import _BUY, _POINTS, C, HALF_HOUR_US, T, X, _buys, _points, _prices, _ticks, cycles_once, fill_quotes
 from .order_queries import REPLICATES, SEED, _R, _returns
 
 #: Samples a cost needs, and the least cost in basis points.
@@ -210,6 +210,31 @@ def best_runs(spark: SparkSession, d: str) -> DataFrame:
     return grids.near_best_runs(g, ["bot_id"], "step", "score", 1)
 
 
+def buy_observations(spark: SparkSession, d: str) -> DataFrame:
+    """What the replay of each cycle's buy shows: triggered, right_censored (the data or the horizon end first), or unavailable
+    without a price; whether its start lies before the symbol's first price; and the seconds until the trigger or the last
+    price seen."""
+    prices = _prices(spark, d)
+    b = _buys(spark, d)
+    path = triggers.paths(b, prices, HALF_HOUR_US)
+    hit = triggers.first_buy(path, "buy_rebound_trail_pct").select("id", "triggered", "trigger_t")
+    seen = path.groupBy("id").agg(F.max("t").alias("last_t"))
+    first = prices.groupBy("e").agg(F.min("t").alias("first_t"))
+    j = b.select("id", "e", "t").join(hit, "id", "left").join(seen, "id", "left").join(first, "e", "left")
+    outcome = F.when(F.col("last_t").isNull(), "unavailable").when(F.col("triggered"), "triggered").otherwise("right_censored")
+    return j.select("id", outcome.alias("outcome"), F.coalesce(F.col("t") < F.col("first_t"), F.lit(True)).alias("left_censored"), ((F.coalesce("trigger_t", "last_t") - F.col("t")) / 1e6).alias("seconds"))
+
+
+def observation_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Per bot: buys by outcome, the median delay of the triggered ones, and the probability of a trigger within fifteen
+    minutes (Kaplan-Meier) of what is scoreable: seen from its start, with a price."""
+    o = buy_observations(spark, d).join(_cycles(spark, d).select("id", "bot_id"), "id")
+    n = lambda x: F.count_if(F.col("outcome") == x).alias(x)
+    g = o.groupBy("bot_id").agg(F.count(F.lit(1)).alias("buys"), n("triggered"), n("right_censored"), n("unavailable"), F.count_if("left_censored").alias("left_censored"), F.median(F.when(F.col("outcome") == "triggered", F.col("seconds"))).alias("median_s"))
+    ok = o.where("outcome <> 'unavailable' and not left_censored").select("bot_id", F.col("seconds").alias("duration"), (F.col("outcome") == "triggered").alias("event"))
+    return g.join(stats.horizon_probability(ok, ["bot_id"], 900.0), "bot_id", "left")
+
+
 def recorded_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Every session written as a recording file and read back: its rows, sums, bad rows and broken manifest rules."""
     recording.register(spark)
@@ -230,7 +255,7 @@ def recorded_sessions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (capture_matches, order_times, contract_sessions, fragment_sessions, fragment_provenance, cycle_profiles, setting_changes, after_exit_until_buy, overnight_units, weighted_days, fill_samples, execution_model,
-              supported_costs, order_slippage, selection_stability, paired_evidence, paired_leave_one_out, stressed_returns, leaf_checks, setting_grids, best_runs, recorded_sessions)
+              supported_costs, order_slippage, selection_stability, paired_evidence, paired_leave_one_out, stressed_returns, leaf_checks, setting_grids, best_runs, recorded_sessions, buy_observations, observation_metrics)
 }
 
 _CX = C.replace("net_pnl := net_pnl,", "net_pnl := net_pnl, " + ", ".join(f"{c} := {c}" for c in ("initial_drop_pct", "buy_order_ref")) + ",")
@@ -249,7 +274,17 @@ _DELTA = """o1 as (select bot_id, ticker, day, max(value) as value from r group
 dl as (select a.bot_id, a.ticker, a.day, a.value - b.value as value from o1 a join o1 b on a.ticker = b.ticker and a.day = b.day and b.bot_id = (select b from ct) where a.bot_id <> (select b from ct))"""
 _AXIS = lambda *v: "[" + ", ".join(f"{x}::double" for x in v) + "]"
 
+_OBS = f"""{_BUY}, z as (select id, max(t) as last_t from p group by 1), w as (select symbol, min(us) as first_t from t where price is not null group by 1),
+ob as (select c.id, c.bot_id, case when z.last_t is null then 'unavailable' when h.x is not null then 'triggered' else 'right_censored' end as outcome, coalesce(epoch_us(c.created_at) < w.first_t, true) as left_censored, (coalesce(h.x.t, z.last_t) - epoch_us(c.created_at)) / 1e6 as seconds
+  from c left join h using (id) left join z using (id) left join w on w.symbol = upper(c.ticker) where c.buy_rebound_trail_pct > 0)"""
+
 SQL = {
+    "buy_observations": f"with {T}, {_OBS} select id, outcome, left_censored, seconds from ob",
+    "observation_metrics": f"""with {T}, {_OBS}, y as (select bot_id, seconds as duration, outcome = 'triggered' and seconds <= 900 as event from ob where outcome <> 'unavailable' and not left_censored and seconds >= 0),
+q as (select bot_id, duration, count(*) filter (event) as events, count(*) as n from y group by 1, 2), u as (select *, sum(n) over (partition by bot_id order by duration desc) as at_risk from q),
+v as (select bot_id, product(1 - events / at_risk) as s, max(duration) as longest from u group by 1),
+g as (select bot_id, count(*) as buys, count(*) filter (outcome = 'triggered') as triggered, count(*) filter (outcome = 'right_censored') as right_censored, count(*) filter (outcome = 'unavailable') as unavailable, count(*) filter (left_censored) as left_censored,
+  median(case when outcome = 'triggered' then seconds end) as median_s from ob group by 1) select g.*, case when s = 0 or longest >= 900 then (1 - s) * 100 end as probability from g left join v using (bot_id)""",
     "capture_matches": f"""with {_POINTS}, {X}, f as (select cycle_id, min(t) as t from x where cycle_id is not null and t is not null group by 1),
 g as (select pt.cycle_id, l.file_name, min(pt.t) as a, max(pt.t) as z from pt join capture_lines l using (line_id) group by 1, 2)
 select f.cycle_id, min_by(file_name, struct_pack(a := greatest(0, a - t, t - z), b := file_name)) as file_name, min(greatest(0, a - t, t - z)) / 1e6 as away_s, count(*) as candidates from f join g using (cycle_id) group by 1""",
@@ -311,6 +346,8 @@ select bot_id, first, last, steps, (first + last) // 2 as centre, best, worst fr
 
 #: Computed numbers, rounded to six places on both sides of a comparison: sums depend on their order in the last bits.
 ROUNDED: dict[str, list[str]] = {
+    "buy_observations": ["seconds"],
+    "observation_metrics": ["median_s", "probability"],
     "capture_matches": ["away_s"],
     "weighted_days": ["median", "mean"],
     "fill_samples": ["price"],
