@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hash_index
+
 
 def clean_samples(rows: DataFrame, key: str, agree: dict[str, float], complete: list[str], tie: list[str]) -> DataFrame:
     """One row per key: of rows that agree - each column of ``agree`` within its tolerance, nulls aside - the most complete
@@ -56,6 +58,38 @@ def selection_stability(rows: DataFrame, group: str, candidate: str, unit: str,
     return again.join(full, group).groupBy(group).agg(F.max("chosen").alias("chosen"), F.count(F.lit(1)).alias("reruns"), F.avg(F.when(F.col("_pick") == F.col("chosen"), 100.0).otherwise(0.0)).alias("stability_pct"))
 
 
+def selection_bootstrap(rows: DataFrame, candidate: str, unit: str, value: str, seed: int, replicates: int = 32) -> DataFrame:
+    """Per replicate: the candidate that has the greatest mean on the units drawn (ties: the smallest), that mean, and its
+    mean on the units that were not drawn, with their number. Rows are candidates x units x replicates; a unit's own rows
+    are added up first."""
+    own = rows.where(F.col(value).isNotNull()).groupBy(candidate, unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    w = Window.orderBy(unit)
+    # A row per unit, such as a trading day.
+    units = own.select(unit).distinct().withColumns({"_i": F.row_number().over(w) - 1, "_k": F.count(F.lit(1)).over(Window.partitionBy())})
+    reps = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = reps.select("rep", hash_index(F.lit(seed), F.col("rep"), F.col("_i"), F.col("_k")).alias("_i")).groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("_t"))
+    drawn = draws.join(units.select(unit, "_i"), "_i").select("rep", unit, "_t")
+    inside = drawn.join(own, unit).groupBy("rep", candidate).agg((F.sum(F.col("_t") * F.col("_s")) / F.sum(F.col("_t") * F.col("_n"))).alias("_m"))
+    pick = inside.groupBy("rep").agg(F.max_by(F.struct(candidate, "_m"), F.struct(F.round("_m", 9), -F.col(candidate))).alias("x")).select("rep", f"x.{candidate}", F.col("x._m").alias("mean_drawn"))
+    left = pick.join(own, candidate).join(drawn, ["rep", unit], "left_anti").groupBy("rep").agg((F.sum("_s") / F.sum("_n")).alias("mean_left_out"), F.count(F.lit(1)).alias("units_left_out"))
+    return pick.join(left, "rep", "left").select("rep", F.col(candidate).alias("chosen"), "mean_drawn", "mean_left_out", F.coalesce("units_left_out", F.lit(0)).alias("units_left_out"))
+
+
+def walk_forward_selection(rows: DataFrame, candidate: str, unit: str, value: str, train: int, validate: int) -> DataFrame:
+    """Per expanding fold: the candidate chosen on all units before it, its mean there and its mean on the fold's units. Folds
+    of ``validate`` units follow the first ``train``; a last, shorter one is left out."""
+    own = rows.where(F.col(value).isNotNull()).groupBy(candidate, unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    units = own.select(unit).distinct().withColumn("_i", F.row_number().over(Window.orderBy(unit)) - 1)
+    own = own.join(units, unit)
+    folds = units.agg(F.count(F.lit(1)).alias("_k")).select("_k", F.explode(F.when(F.col("_k") >= train + validate, F.sequence(F.lit(0), F.floor((F.col("_k") - train - validate) / validate)))).alias("fold"))
+    folds = folds.select("fold", (F.col("fold") * validate + train).alias("_a"))
+    j = own.join(F.broadcast(folds)).where(f"_i < _a + {validate}")  # a row per fold
+    mean = lambda c: F.try_divide(F.sum(F.when(c, F.col("_s"))), F.sum(F.when(c, F.col("_n"))))
+    m = j.groupBy("fold", candidate).agg(mean(F.col("_i") < F.col("_a")).alias("_t"), mean(F.col("_i") >= F.col("_a")).alias("_v")).where("_t is not null")
+    best = m.groupBy("fold").agg(F.max_by(F.struct(candidate, "_t", "_v"), F.struct(F.round("_t", 9), -F.col(candidate))).alias("x"))
+    return best.select(F.col("fold").cast("int").alias("fold"), F.col(f"x.{candidate}").alias("chosen"), F.col("x._t").alias("train"), F.col("x._v").alias("validate"))
+
+
 def changes_of_known(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Per group how often the value changes from one known value to the next; unknown (null) ones in between count as nothing."""
     w = Window.partitionBy(*keys).orderBy(*order)

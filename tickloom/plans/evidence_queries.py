@@ -155,6 +155,16 @@ def selection_stability(spark: SparkSession, d: str) -> DataFrame:
     return evidence.selection_stability(_returns(spark, d), "ticker", "bot_id", "day", "value")
 
 
+def selection_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """The bot chosen on drawn days, scored on the days that were not drawn."""
+    return evidence.selection_bootstrap(_returns(spark, d), "bot_id", "day", "value", SEED)
+
+
+def walk_forward_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The bot chosen on all days so far, scored on the next two."""
+    return evidence.walk_forward_selection(_returns(spark, d), "bot_id", "day", "value", 3, 2)
+
+
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
     r = _returns(spark, d)
     control = F.broadcast(r.agg(F.min("bot_id").alias("_control")))  # one row
@@ -255,7 +265,7 @@ def recorded_sessions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (capture_matches, order_times, contract_sessions, fragment_sessions, fragment_provenance, cycle_profiles, setting_changes, after_exit_until_buy, overnight_units, weighted_days, fill_samples, execution_model,
-              supported_costs, order_slippage, selection_stability, paired_evidence, paired_leave_one_out, stressed_returns, leaf_checks, setting_grids, best_runs, recorded_sessions, buy_observations, observation_metrics)
+              supported_costs, order_slippage, selection_stability, paired_evidence, paired_leave_one_out, stressed_returns, leaf_checks, setting_grids, best_runs, recorded_sessions, buy_observations, observation_metrics, selection_bootstrap, walk_forward_selection)
 }
 
 _CX = C.replace("net_pnl := net_pnl,", "net_pnl := net_pnl, " + ", ".join(f"{c} := {c}" for c in ("initial_drop_pct", "buy_order_ref")) + ",")
@@ -319,6 +329,15 @@ select e, side, case when n_total >= {MINIMUM} then 'total' when n_slippage >= {
     "selection_stability": f"""with {C}, {_R}, f as (select ticker, max_by(bot_id, struct_pack(m := m, b := -bot_id)) as chosen from (select ticker, bot_id, round(avg(value), 9) as m from r group by 1, 2) group by 1),
 o as (select u.ticker, u.day as omitted, r.bot_id, round(avg(r.value), 9) as m from (select distinct ticker, day from r) u join r on r.ticker = u.ticker and r.day <> u.day group by 1, 2, 3),
 p as (select ticker, omitted, max_by(bot_id, struct_pack(m := m, b := -bot_id)) as pick from o group by 1, 2) select ticker, max(chosen) as chosen, count(*) as reruns, avg(case when pick = chosen then 100.0 else 0.0 end) as stability_pct from p join f using (ticker) group by 1""",
+    "selection_bootstrap": f"""with {C}, {_R}, u as (select day, row_number() over (order by day) - 1 as i, count(*) over () as k from (select distinct day from r)),
+dr as (select rep, (cast('0x' || left(sha256('{SEED}|' || rep || '|' || i), 16) as ubigint) % k)::bigint as i, count(*) as n from u, range(32) as z(rep) group by 1, 2), dd as (select rep, day, n from dr join u using (i)),
+m as (select rep, bot_id, sum(n * value) / sum(n) as m from dd join r using (day) group by 1, 2), p as (select rep, max_by(struct_pack(b := bot_id, m := m), struct_pack(m := round(m, 9), b := -bot_id)) as x from m group by 1),
+o as (select rep, avg(value) as mean_left_out, count(distinct r.day) as n from p join r on r.bot_id = p.x.b where not exists (select 1 from dd where dd.rep = p.rep and dd.day = r.day) group by 1)
+select p.rep::int as rep, x.b as chosen, x.m as mean_drawn, mean_left_out, coalesce(n, 0) as units_left_out from p left join o using (rep)""",
+    "walk_forward_selection": f"""with {C}, {_R}, u as (select day, row_number() over (order by day) - 1 as i, count(*) over () as k from (select distinct day from r)), q as (select r.*, i from r join u using (day)),
+f as (select fold::int as fold, 3 + 2 * fold as a from (select max(k) as k from u), range(0, 1000) as z(fold) where k >= 5 + 2 * fold),
+m as (select fold, bot_id, avg(value) filter (i < a) as t, avg(value) filter (i >= a) as v from q join f on i < a + 2 group by 1, 2), p as (select fold, max_by(struct_pack(b := bot_id, t := t, v := v), struct_pack(m := round(t, 9), b := -bot_id)) as x from m where t is not null group by 1)
+select fold, x.b as chosen, x.t as train, x.v as validate from p""",
     "paired_evidence": f"""with {C}, {_R}, {_DELTA}, e as (select bot_id, day, row_number() over (partition by bot_id order by day) - 1 as i, count(*) over (partition by bot_id) as k from (select distinct bot_id, day from dl)),
 h as (select bot_id, rep, (cast('0x' || left(sha256('{SEED}|' || rep || '|' || i), 16) as ubigint) % k)::bigint as i from e, range({REPLICATES}) as z(rep) where k >= 3),
 m as (select h.bot_id, rep, median(value) as m from h join e on h.bot_id = e.bot_id and h.i = e.i join dl on dl.bot_id = e.bot_id and dl.day = e.day group by 1, 2),
@@ -355,6 +374,8 @@ ROUNDED: dict[str, list[str]] = {
     "supported_costs": ["cost"],
     "order_slippage": ["slippage_bps", "quoted_pct"],
     "selection_stability": ["stability_pct"],
+    "selection_bootstrap": ["mean_drawn", "mean_left_out"],
+    "walk_forward_selection": ["train", "validate"],
     "paired_evidence": ["median", "lo95", "lo80", "hi80", "hi95", "positive"],
     "paired_leave_one_out": ["lowest", "middle", "highest"],
     "stressed_returns": ["score"],
