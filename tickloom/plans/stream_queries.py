@@ -42,7 +42,7 @@ def stream_trails(spark: SparkSession, d: str) -> DataFrame:
 def stream_near_readings(spark: SparkSession, d: str) -> DataFrame:
     """Different readings of one symbol at most 100 milliseconds apart, as a join of two streams."""
     cols = lambda n: _ticks(spark, d).select("symbol", F.col("captured_at_utc").alias("t"), F.col("tick_id").alias(n))
-    return live.run_once(live.matched_feeds(cols("lid"), cols("rid"), "100 milliseconds", "10 minutes").where("lid < rid"), _target(spark))
+    return live.run_once(live.matched_feeds(cols("lid"), cols("rid"), "100 milliseconds", "10 minutes").where("lid < rid"), _target(spark), conf=live.JOIN)
 
 
 QUERIES = {f.__name__: f for f in (stream_bars, stream_sliding_bars, stream_activity, stream_trails, stream_near_readings)}

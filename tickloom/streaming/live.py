@@ -53,16 +53,45 @@ def trails(stream: DataFrame, pct: float) -> DataFrame:
     return d.groupBy("symbol").applyInPandasWithState(fold, "symbol string, t timestamp, price double, high double", "high double", "append", "NoTimeout")
 
 
+#: A slot of time in the key of a stream join, in multiples of the distance that is allowed.
+SLOT = 32
+#: What a stream join runs with: its state on disk instead of the heap, one store per partition whose buffers are bounded;
+#: and no last batch that only clears state, since an inner join gives a match with the later of its rows.
+JOIN = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+    "spark.sql.streaming.stateStore.compression.codec": "zstd",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
 def matched_feeds(left: DataFrame, right: DataFrame, within: str, late: str) -> DataFrame:
-    """Stream-stream inner join on symbol of rows at most ``within`` apart; both have symbol, t and an id (lid, rid)."""
-    a = left.withWatermark("t", late).alias("a")
-    b = right.withWatermark("t", late).alias("b")
-    near = F.expr(f"a.symbol = b.symbol and b.t between a.t - interval {within} and a.t + interval {within}")
+    """Stream-stream inner join on symbol of rows at most ``within`` apart; both have symbol, t and an id (lid, rid).
+
+    A stream join compares a row with every row in state under its key, so a slot of time belongs to the key: a right row
+    has one slot, a left row stands in each slot that it can reach, two at most, and a pair meets in one. Start it with JOIN."""
+    slot = lambda t: f"unix_micros({t}) div greatest(1, {SLOT} * unix_micros(timestamp_micros(0) + interval {within}))"
+    reach = F.expr(f"explode(sequence({slot(f't - interval {within}')}, {slot(f't + interval {within}')}))")
+    a = left.withWatermark("t", late).withColumn("slot", reach).alias("a")
+    b = right.withWatermark("t", late).withColumn("slot", F.expr(slot("t"))).alias("b")
+    near = F.expr(f"a.symbol = b.symbol and a.slot = b.slot and b.t between a.t - interval {within} and a.t + interval {within}")
     return a.join(b, near).select("a.symbol", "lid", "rid")
 
 
-def run_once(result: DataFrame, target: str, mode: str = "append") -> DataFrame:
-    """Processes all there is now into parquet and returns it; the checkpoint lies beside the target."""
-    q = result.writeStream.format("parquet").option("checkpointLocation", f"{target}-state").option("path", target).outputMode(mode).trigger(availableNow=True).start()
+def run_once(result: DataFrame, target: str, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """Processes all there is now into parquet and returns it; the checkpoint lies beside the target. ``conf`` holds for
+    this stream alone: it takes the session's settings when it starts."""
+    spark = result.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        q = result.writeStream.format("parquet").option("checkpointLocation", f"{target}-state").option("path", target).outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     q.awaitTermination()
-    return result.sparkSession.read.schema(result.schema).parquet(target)
+    return spark.read.schema(result.schema).parquet(target)
