@@ -218,3 +218,26 @@ def test_empty_and_summary(spark):
     rows = {r.profile: r for r in replay.summarize(sessions).collect()}
     assert rows.keys() == SETTINGS.keys() and rows["same"].asDict() | {"profile": ""} == rows["control"].asDict() | {"profile": ""}
     assert {r.sessions for r in replay.chain_economics(sessions).collect()} == {3}
+
+
+def test_replay_runs_once_for_pairs_and_shuffles_readings_once(spark, monkeypatch):
+    """Batches of settings share one shuffle of the readings, and the pairs with the control one replay."""
+    from tickloom.plans import replay_queries
+    from tickloom.util import materialize
+
+    n = 0
+
+    def counted(df):
+        nonlocal n
+        n += "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df)
+
+    monkeypatch.setattr(replay_queries, "materialize", counted)
+    p = replay_queries._pairs(spark, "/root/testdata/sf0.001")
+    assert n == 1 and "MapInArrow" not in p._jdf.queryExecution().optimizedPlan().toString()
+    s = replay.replay(replay_queries.readings(spark, "/root/testdata/sf0.001"), SETTINGS, batch=2)[0]
+    assert s.collect()
+    plan = s._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    batches = plan.count("MapInArrow")
+    assert batches == -(-len(set(SETTINGS.values())) // 2) > 1 and plan.count("ReusedExchange") == batches - 1, plan
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"

@@ -1,8 +1,8 @@
 """A keyed stateful fold over chains of sessions: trailing-order settings replayed over recorded readings.
 
-Readings are clustered by (chain, batch of settings) and sorted, then folded while they stream through the task: a task
-holds one Arrow batch and the states of one batch of settings, never a chain. Batches spread a hot chain with many settings
-over many tasks. Settings that are equal are folded once and their results shared.
+Readings are clustered by chain, once for all, and sorted for each batch of settings, then folded while they stream through
+the task: a task holds one Arrow batch and the states of one batch of settings, never a chain. Batches spread a hot chain
+with many settings over many tasks. Settings that are equal are folded once and their results shared.
 
 One setting is in one stage at a time: ready, waiting for a drop, trailing a buy, buying, holding, trailing a sale, selling.
 Within a session's entry hours the first reading with an ATR becomes the anchor; a fall of ``initial`` below the highest
@@ -18,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -328,7 +329,7 @@ def fold_chain(rows: Iterator[tuple], settings: list[tuple[Setting, list[str]]],
 def replay(readings: DataFrame, profiles: dict[str, Setting], rules: Rules = Rules(), batch: int = 8) -> tuple[DataFrame, DataFrame]:
     """(rows of SESSIONS, rows of TRADES). ``readings`` has READING's columns, ordered within a chain by (open_us,
     session_id, elapsed_ns, sequence). Null prices, sizes and ATRs are allowed; every session with a reading has a row per
-    setting. ``batch`` settings go together over one copy of the readings."""
+    setting. ``batch`` settings go together over one reading of the shuffled rows."""
     ship(readings.sparkSession)
     alike: dict[Setting, list[str]] = {}
     for name, s in profiles.items():
@@ -337,27 +338,22 @@ def replay(readings: DataFrame, profiles: dict[str, Setting], rules: Rules = Rul
     batches = [groups[i : i + batch] for i in range(0, len(groups), batch)]
     pos = lambda c: F.when((F.col(c) > 0) & (F.col(c) < float("inf")), F.col(c).cast("double")).alias(c)
     d = readings.select(*[pos(c) if c in ("price", "vbid", "vask", "bid_size", "ask_size", "last", "mark_price", "atr_pct") else c for c in READING])
-    d = d.withColumn("_batch", F.explode(F.array(*[F.lit(i) for i in range(len(batches))])))
-    d = d.repartition("con_id", "chain", "_batch").sortWithinPartitions("_batch", "con_id", "chain", "open_us", "session_id", "elapsed_ns", "sequence")
+    # One shuffle for all batches: each reads it again and sorts its own share, so a chain's batches are tasks of their own.
+    d = d.repartition("con_id", "chain").sortWithinPartitions("con_id", "chain", "open_us", "session_id", "elapsed_ns", "sequence")
 
     def runner(which: int, schema: str):
         names = [c.split()[0] for c in schema.split(", ")]
         types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
 
-        def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from itertools import groupby
+        def folded(own: list[tuple[Setting, list[str]]]):
+            def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                from tickloom.operators import replay as module
 
-            from tickloom.operators import replay as module
-
-            def rows():
-                for b in got:
-                    yield from zip(*(b.column(c).to_pylist() for c in ["_batch", *READING]))
-
-            for k, part in groupby(rows(), key=lambda r: r[0]):
                 sessions: list = []
                 trades: list = []
                 out = (sessions, trades)[which]
-                for _ in module.fold_chain((r[1:] for r in part), batches[k], rules, sessions, trades):
+                rows = (r for b in got for r in zip(*(b.column(c).to_pylist() for c in READING)))
+                for _ in module.fold_chain(rows, own, rules, sessions, trades):
                     if len(out) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
                         out.clear()
@@ -365,7 +361,9 @@ def replay(readings: DataFrame, profiles: dict[str, Setting], rules: Rules = Rul
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-        return d.mapInArrow(run, schema)
+            return d.mapInArrow(run, schema)
+
+        return reduce(DataFrame.unionAll, [folded(own) for own in batches or [[]]])
 
     return runner(0, SESSIONS), runner(1, TRADES)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars, evidence, quality, quotes, replay, stats
-from ..util import materialize, table
+from ..util import materialize, settings, table
 
 CONTROL = "control"
 #: Initial, rebound, profit and trail as multiples of the ATR%; and protective stops around the control.
@@ -16,15 +16,20 @@ GRID = {CONTROL: replay.Setting(1.5, 0.75, 1.0, 1.0)}
 GRID |= {f"{a:.2f}/{b:.2f}/{c:.2f}/{e:.2f}": replay.Setting(a, b, c, e) for a, b, c, e in itertools.product((0.75, 2.25), (0.0, 1.25), (0.5, 1.5), (0.0, 1.25))}
 GRID |= {f"protect/{kind}/{v:.1f}": replay.Setting(1.5, 0.75, 1.0, 1.0, protect=kind, protect_value=v) for kind, v in (("manual", 1.0), ("manual", 3.0), ("atr", 2.0), ("atr", 4.0))}
 REPLICATES = 2000
+#: Readings are clustered by session: joins by the session and more keys need no shuffle of their own.
+CLUSTERED = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
+    """What is replayed, written once: every batch of settings reads it."""
     t = quotes.with_prices(quotes.clean_ticks(table(spark, d, "ticks"), clustered=True))
     atr = bars.tick_atr(t, 14, 60)
     s = quality.sessions_once(table(spark, d, "sessions")).select("session_id", "open_us", "close_us").where("open_us < close_us")
     chains = quality.continuity_chains(table(spark, d, "sessions")).join(s, "session_id")
     t = t.withColumn("us", F.unix_micros("captured_at_utc")).drop("con_id")
-    return t.join(atr, ["session_id", "tick_id"], "left").join(chains, "session_id").where("con_id is not null and us is not null and elapsed_ns is not null")
+    r = t.join(atr, ["session_id", "tick_id"], "left").join(chains, "session_id").where("con_id is not null and us is not null and elapsed_ns is not null")
+    with settings(spark, CLUSTERED):
+        return materialize(r.select(*replay.READING))
 
 
 def replay_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +51,7 @@ def replay_chains(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each setting's return less the control's, session by session."""
-    s = replay_sessions(spark, d).select("profile", "session_id", "con_id", "conservative_bps")
+    s = materialize(replay_sessions(spark, d).select("profile", "session_id", "con_id", "conservative_bps"))  # the control's side and the others' read it
     p = evidence.pairs_with_control(s, "profile", F.col("profile") == CONTROL, ["session_id"], "conservative_bps", ["con_id"])
     days = quality.sessions_once(table(spark, d, "sessions")).select("session_id", F.to_date(F.timestamp_micros("open_us")).alias("day"))
     return p.join(days, "session_id").withColumnRenamed("delta", "value")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..util import ship
+from ..util import settings, ship
 
 
 def read_ticks(spark: SparkSession, sf_dir: str, schema_of: DataFrame) -> DataFrame:
@@ -85,13 +85,7 @@ def run_once(result: DataFrame, target: str, mode: str = "append", conf: dict[st
     """Processes all there is now into parquet and returns it; the checkpoint lies beside the target. ``conf`` holds for
     this stream alone: it takes the session's settings when it starts."""
     spark = result.sparkSession
-    before = {k: spark.conf.get(k, None) for k in conf or {}}
-    try:
-        for k, v in (conf or {}).items():
-            spark.conf.set(k, v)
+    with settings(spark, conf or {}):
         q = result.writeStream.format("parquet").option("checkpointLocation", f"{target}-state").option("path", target).outputMode(mode).trigger(availableNow=True).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     q.awaitTermination()
     return spark.read.schema(result.schema).parquet(target)
