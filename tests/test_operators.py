@@ -156,6 +156,21 @@ def test_medians_over_days(spark):
     assert {x.g: x.probability and round(x.probability, 9) for x in stats.horizon_probability(km, ["g"], 3.0).collect()} == {"g": 33.333333333, "h": None, "k": 100.0}
 
 
+def test_ranks_of_days_left_out_are_not_broadcast(spark):
+    """They are as many as the values, however few days there are."""
+    df = spark.range(3000).selectExpr("'a' as g", "date_add(date'2026-01-01', cast(id % 5 as int)) as day", "cast(hash(id) as double) as value")
+    got = stats.leave_one_day_out(df, ["g"])
+    assert got.count() == 1 and got.collect()
+    lines = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            for y in lines[i + 1 :]:
+                if depth(y) <= depth(x):
+                    break
+                assert "Generate" not in y, "\n".join(lines)
+
+
 def test_grid_product_collapse_and_regions(spark):
     g = grids.product(spark, {"a": [1.0, 1.25, 3.0], "b": [0.0, 0.25]})
     assert g.count() == 6

@@ -89,6 +89,7 @@ def leave_one_day_out(values: DataFrame, keys: list[str]) -> DataFrame:
     days = v.groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("m")).withColumns({"n": F.sum("m").over(w), "k": F.count(F.lit(1)).over(w)}).where("k >= 3")
     days = days.withColumns({"t0": F.expr("(n - m - 1) div 2"), "t1": F.expr("(n - m) div 2")}).withColumnRenamed("day", "out")
     look = days.withColumn("r", F.explode(F.sequence("t0", F.col("t1") + F.col("m")))).select(*keys, "out", "t0", "t1", "r")
+    look = look.hint("merge")  # as many rows as values, which the optimizer takes for as many as days: never to the driver
     c = look.join(v, [*keys, "r"]).withColumn("own", F.col("day") == F.col("out"))
     below = v.join(days.select(*keys, F.col("out").alias("day"), "t0"), [*keys, "day"]).groupBy(*keys, "day").agg(F.count_if(F.col("r") < F.col("t0")).alias("under")).withColumnRenamed("day", "out")
     # A value's rank among the rest is its rank less the day's own values before it.
