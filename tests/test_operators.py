@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tickloom.functions import scalars
 from tickloom.operators import asof, bars, fragments, grids, orders, stats
-from tickloom.util import iso_micros
+from tickloom.util import iso_micros, materialize
 
 
 def one(spark, col):
@@ -171,6 +171,15 @@ def test_ranks_of_days_left_out_are_not_broadcast(spark):
                 assert "Generate" not in y, "\n".join(lines)
 
 
+def test_draws_and_values_of_medians_over_days_are_not_broadcast(spark):
+    """Their files are far smaller than their rows in memory, so a threshold on files' sizes sends too much to the driver."""
+    df = materialize(spark.range(3000).selectExpr("'a' as g", "date_add(date'2026-01-01', cast(id % 5 as int)) as day", "cast(hash(id) as double) as value"))
+    for got in (stats.day_bootstrap(df, ["g"], 7, 60), stats.leave_one_day_out(df, ["g"])):
+        assert len(got.collect()) == 1
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, plan
+
+
 def test_grid_product_collapse_and_regions(spark):
     g = grids.product(spark, {"a": [1.0, 1.25, 3.0], "b": [0.0, 0.25]})
     assert g.count() == 6

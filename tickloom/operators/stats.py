@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_index
-from ..util import materialize
+from ..util import materialize, small
 
 
 def kaplan_meier(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,6 +38,9 @@ def horizon_probability(rows: DataFrame, keys: list[str], horizon: float) -> Dat
 
 #: Most buckets of values in which a replicate's median is looked for.
 BUCKETS = 64
+#: Bytes on disk up to which a table of a row per group or per day is broadcast. Parquet writes such rows, and those of draws
+#: and values even more, in a tenth of their memory and less, so their files' size says little: beyond, joins are merged.
+FEW_BYTES = 1 << 20
 
 
 def day_bootstrap(values: DataFrame, keys: list[str], seed: int, replicates: int = 2000) -> DataFrame:
@@ -46,27 +49,27 @@ def day_bootstrap(values: DataFrame, keys: list[str], seed: int, replicates: int
 
     A replicate draws days; a value counts as often as its day was drawn. The medians are exact, without a copy of the
     values per replicate: values fall into buckets, a replicate adds up the days' counts per bucket, and only the bucket
-    that holds its middle ranks is looked into. That makes replicates x (days x buckets + values / buckets) rows, least for
+    that holds its middle ranks is looked into. Draws and values are merged, never broadcast. That makes replicates x (days x buckets + values / buckets) rows, least for
     the root of values / days, which is the number of buckets, BUCKETS at most."""
     v = values.where("value is not null").groupBy(*keys, "day", "value").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*keys)
     days = v.groupBy(*keys, "day").agg(F.sum("c").alias("n"))
     days = materialize(days.withColumns({"i": F.row_number().over(w.orderBy("day")) - 1, "k": F.count(F.lit(1)).over(w), "few": F.greatest(F.lit(2.0), F.least(F.lit(float(BUCKETS)), F.round(F.sqrt(F.avg("n").over(w)))))}).where("k >= 3"))
-    cuts = v.groupBy(*keys).agg(F.percentile_approx("value", F.array(*[F.lit(q / BUCKETS) for q in range(1, BUCKETS)]), 1000).alias("_cuts"))
-    v = v.join(cuts, keys).join(days.select(*keys, "day", "i", "few"), [*keys, "day"])
+    cuts = materialize(v.groupBy(*keys).agg(F.percentile_approx("value", F.array(*[F.lit(q / BUCKETS) for q in range(1, BUCKETS)]), 1000).alias("_cuts")))
+    v = v.hint("merge").join(small(cuts, FEW_BYTES), keys).hint("merge").join(small(days, FEW_BYTES).select(*keys, "day", "i", "few"), [*keys, "day"])
     v = materialize(v.withColumn("b", F.floor(F.size(F.filter("_cuts", lambda x: F.col("value") > x)) * F.col("few") / BUCKETS)).drop("_cuts", "few"))
     # The days are few rows in few tasks; their draws are spread before they are hashed.
     wide = days.select(*keys, "i", "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition("rep")
     draws = wide.select(*keys, "rep", hash_index(F.lit(seed), F.col("rep"), F.col("i"), F.col("k")).alias("i"))
     times = materialize(draws.groupBy(*keys, "rep", "i").agg(F.count(F.lit(1)).alias("times")))
     # Which bucket holds a replicate's two middle ranks.
-    per = times.join(v.groupBy(*keys, "i", "b").agg(F.sum("c").alias("n")), [*keys, "i"]).groupBy(*keys, "rep", "b").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    per = times.hint("merge").join(v.groupBy(*keys, "i", "b").agg(F.sum("c").alias("n")), [*keys, "i"]).groupBy(*keys, "rep", "b").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
     r = Window.partitionBy(*keys, "rep")
     per = per.withColumns({"upto": F.sum("n").over(r.orderBy("b")), "all": F.sum("n").over(r)})
     per = per.withColumn("rank", F.explode(F.array(F.expr("(all - 1) div 2"), F.expr("all div 2")))).where("rank >= upto - n and rank < upto")
     need = per.groupBy(*keys, "rep", "b").agg(F.min(F.col("rank") - F.col("upto") + F.col("n")).alias("lo"), F.max(F.col("rank") - F.col("upto") + F.col("n")).alias("hi"))
     # The values of that bucket in order, each as often as its day was drawn.
-    inside = need.join(v, [*keys, "b"]).join(times, [*keys, "rep", "i"]).groupBy(*keys, "rep", "b", "value").agg(F.sum(F.col("c") * F.col("times")).alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    inside = need.hint("merge").join(v, [*keys, "b"]).hint("merge").join(times, [*keys, "rep", "i"]).groupBy(*keys, "rep", "b", "value").agg(F.sum(F.col("c") * F.col("times")).alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     upto = F.sum("n").over(Window.partitionBy(*keys, "rep", "b").orderBy("value"))
     inside = inside.withColumn("upto", upto)
     hit = lambda x: F.max(F.when((F.col(x) >= F.col("upto") - F.col("n")) & (F.col(x) < F.col("upto")), F.col("value")))
@@ -74,8 +77,8 @@ def day_bootstrap(values: DataFrame, keys: list[str], seed: int, replicates: int
     # Both ranks in one bucket, or the last of one and the first of the next.
     rep = two.groupBy(*keys, "rep").agg(((F.min("x") + F.max("y")) / 2).alias("m"))
     ci = rep.groupBy(*keys).agg(F.percentile("m", F.array(*map(F.lit, (0.025, 0.1, 0.9, 0.975)))).alias("q"), F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("positive"))
-    base = v.groupBy(*keys).agg(F.percentile("value", 0.5, F.col("c")).alias("median")).join(days.groupBy(*keys).agg(F.max("k").alias("days")), keys)
-    return base.join(ci, keys).select(*keys, "days", "median", F.col("q")[0].alias("lo95"), F.col("q")[1].alias("lo80"), F.col("q")[2].alias("hi80"), F.col("q")[3].alias("hi95"), "positive")
+    base = v.groupBy(*keys).agg(F.percentile("value", 0.5, F.col("c")).alias("median")).hint("merge").join(days.groupBy(*keys).agg(F.max("k").alias("days")), keys)
+    return base.hint("merge").join(ci, keys).select(*keys, "days", "median", F.col("q")[0].alias("lo95"), F.col("q")[1].alias("lo80"), F.col("q")[2].alias("hi80"), F.col("q")[3].alias("hi95"), "positive")
 
 
 def leave_one_day_out(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,13 +94,13 @@ def leave_one_day_out(values: DataFrame, keys: list[str]) -> DataFrame:
     look = days.withColumn("r", F.explode(F.sequence("t0", F.col("t1") + F.col("m")))).select(*keys, "out", "t0", "t1", "r")
     look = look.hint("merge")  # as many rows as values, which the optimizer takes for as many as days: never to the driver
     c = look.join(v, [*keys, "r"]).withColumn("own", F.col("day") == F.col("out"))
-    below = v.join(days.select(*keys, F.col("out").alias("day"), "t0"), [*keys, "day"]).groupBy(*keys, "day").agg(F.count_if(F.col("r") < F.col("t0")).alias("under")).withColumnRenamed("day", "out")
+    below = v.hint("merge").join(days.select(*keys, F.col("out").alias("day"), "t0"), [*keys, "day"]).groupBy(*keys, "day").agg(F.count_if(F.col("r") < F.col("t0")).alias("under")).withColumnRenamed("day", "out")
     # A value's rank among the rest is its rank less the day's own values before it.
     own = F.sum(F.when(F.col("own"), 1).otherwise(0)).over(Window.partitionBy(*keys, "out").orderBy("r"))
-    c = c.withColumn("_own", own).join(below, [*keys, "out"]).withColumn("rest", F.col("r") - F.col("_own") - F.col("under")).where("not own and rest between t0 and t1")
+    c = c.withColumn("_own", own).hint("merge").join(below, [*keys, "out"]).withColumn("rest", F.col("r") - F.col("_own") - F.col("under")).where("not own and rest between t0 and t1")
     est = c.groupBy(*keys, "out").agg(F.avg("value").alias("e"))
     full = v.groupBy(*keys).agg(F.percentile("value", 0.5).alias("median"))
-    j = est.join(full, keys).withColumn("move", F.round(F.abs(F.col("e") - F.col("median")), 9))
+    j = est.hint("merge").join(full, keys).withColumn("move", F.round(F.abs(F.col("e") - F.col("median")), 9))
     turned = F.count_if((F.abs("median") > 1e-12) & (F.col("e") != 0) & (F.signum("e") != F.signum("median")))
     return j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("days"), F.min("e").alias("lowest"), F.percentile("e", 0.5).alias("middle"), F.max("e").alias("highest"), turned.alias("sign_reversals"), F.max_by("out", F.struct("move", -F.datediff("out", F.lit("1970-01-01")))).alias("influential_day")
