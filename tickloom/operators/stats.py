@@ -49,8 +49,9 @@ def day_bootstrap(values: DataFrame, keys: list[str], seed: int, replicates: int
 
     A replicate draws days; a value counts as often as its day was drawn. The medians are exact, without a copy of the
     values per replicate: values fall into buckets, a replicate adds up the days' counts per bucket, and only the bucket
-    that holds its middle ranks is looked into. Draws and values are merged, never broadcast. That makes replicates x (days x buckets + values / buckets) rows, least for
-    the root of values / days, which is the number of buckets, BUCKETS at most."""
+    that holds its middle ranks is looked into. That makes replicates x (days x buckets + values / buckets) rows, least for
+    the root of values / days, which is the number of buckets, BUCKETS at most. Draws and values are merged, never
+    broadcast."""
     v = values.where("value is not null").groupBy(*keys, "day", "value").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*keys)
     days = v.groupBy(*keys, "day").agg(F.sum("c").alias("n"))
